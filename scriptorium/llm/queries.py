@@ -27,6 +27,15 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import remainder
+    from .toxicity import fit, score
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = fit(documents, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return score(documents, index).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan
 
@@ -75,6 +84,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
     "op7_url_filter": op7_url_filter,
     "op8_fingerprint": op8_fingerprint,
