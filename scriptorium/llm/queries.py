@@ -42,6 +42,21 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find
+
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import remainder
+    from .quality import fit, score
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, grades = fit(documents, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return score(documents, model, grades).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "expected_grade", "tail_prob", "keep")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import RULES, judge
 
@@ -86,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_toxicity": op3_toxicity,
     "op4_license_scan": op4_license_scan,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
     "op8_fingerprint": op8_fingerprint,
     "op9_byte_bpe": op9_byte_bpe,
