@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import others, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a task remembers before it starts anew, and the longest that it remembers.
@@ -162,4 +162,5 @@ def digests(documents: DataFrame, text: str = "text", path: str | None = None, p
                 rows.append((len(ids), hashlib.sha256(shown).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.withColumn("_both", both(whole_text(text))).select(*(F.col(f"`{c}`") for c in documents.columns), "_both.*")
+    coded = documents.select(*others(documents, "n_tokens", "ids_sha256", "decoded_sha256"), both(whole_text(text)).alias("_both"))
+    return coded.select(*others(coded, "_both"), "_both.*")

@@ -33,6 +33,12 @@ def words(text: Column) -> Column:
     return F.split(F.btrim(text, F.lit(SPACE_CHARS)), SPACES)
 
 
+def others(frame: DataFrame, *names: str) -> list[Column]:
+    """The frame's columns but those of these names: an operator's output replaces input columns of the same name."""
+    taken = {n.lower() for n in names}
+    return [F.col(f"`{c}`") for c in frame.columns if c.lower() not in taken]
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; what splits rows into learned and held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % modulus

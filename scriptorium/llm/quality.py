@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import others, whole_text
 
 EXAMPLES, DIMENSIONS = 6_000, 4_096
 SHAPES = 9
@@ -142,6 +142,6 @@ def score(documents: DataFrame, model: Ordinal, grades: list[int], text: str = "
                 out.append((grades[0] + float((above * steps).sum()), float(above[-1]) if len(above) else 1.0))
             yield pd.DataFrame(out, columns=["expected_grade", "tail_prob"])
 
-    columns = [F.col(f"`{c}`") for c in documents.columns]
+    columns = others(documents, "expected_grade", "tail_prob", "keep")
     judged = documents.select(*columns, judge(whole_text(text)).alias("_judged"))
     return judged.select(*columns, "_judged.expected_grade", "_judged.tail_prob", (F.col("_judged.tail_prob") >= keep).alias("keep"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import others, whole_text
 
 EXAMPLES, TERMS = 4_096, 2_048
 NEAREST, BLOCK = 15, 64
@@ -229,7 +229,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "d
 
 
 def score(documents: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with score, predicted (1 from the threshold on) and evidence: the nearest examples."""
+    """The rows with score, predicted (1 from the threshold on) and evidence, the nearest examples; they replace columns of these names."""
     sent = documents.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:long,cosine:double,toxic:double>>")
@@ -238,6 +238,7 @@ def score(documents: DataFrame, index: Index, text: str = "text", threshold: flo
         for batch in batches:
             yield pd.DataFrame([own.score(t) for t in batch], columns=["score", "evidence"])
 
-    columns = [F.col(f"`{c}`") for c in documents.columns]
+    columns = others(documents, "score", "predicted", "evidence")
     judged = documents.select(*columns, judge(whole_text(text)).alias("_judged"))
+    columns = others(judged, "_judged")
     return judged.select(*columns, "_judged.score", (F.col("_judged.score") >= threshold).cast("int").alias("predicted"), "_judged.evidence")

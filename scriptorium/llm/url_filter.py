@@ -70,6 +70,6 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     sweep = Window.partitionBy("node", "salt").orderBy("path", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = events.withColumn("open", F.last("open", ignorenulls=True).over(sweep)).where("kind = 1")
     fits = F.filter("open", lambda rule: F.startswith(F.col("path"), rule["path"]))
-    best = swept.select("host", "path", F.array_max(fits).alias("best")).where("best is not null").groupBy("host", "path").agg(F.max("best").alias("best"))
+    best = swept.select("host", "path", F.array_max(fits).alias("_best")).where("_best is not null").groupBy("host", "path").agg(F.max("_best").alias("_best"))
     judged = pages.join(best, ["host", "path"], "left")
-    return judged.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("best")
+    return judged.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best")

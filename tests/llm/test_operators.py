@@ -1,0 +1,387 @@
+"""The dealt operators against brute force on small rows with nulls, empty and long texts, ties, repeats and odd columns."""
+
+import base64
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from scriptorium.llm import byte_bpe, decontaminate, fingerprint, license_scan, lm_scoring, quality, simhash, substring_dedup, toxicity, url_filter
+from scriptorium.llm.common import ASCII_LOWER, remainder
+
+WORDS = ["ana", "Ben", "čar", "dob", "ena", "fin", "gol", "hit", "iva", "jug"]
+
+
+def prose(seed, n):
+    draw = random.Random(seed)
+    return " ".join(draw.choice(WORDS) + str(draw.randrange(40)) for _ in range(n))
+
+
+SHARED = prose("shared", 60)
+TEXTS = [
+    prose(1, 80), f"{prose(2, 30)}\n{SHARED} {prose(3, 10)}", None, "", f"{SHARED}\t{prose(4, 5)}", prose(1, 80), f"x {prose(1, 80)} y",
+    "a b c", "a b c", "  \n ", f"{prose(5, 25)} {prose(5, 25)}", "rep " * 70, prose(6, 6000), f"{prose(7, 19)} \x1c \u00a0 tail", "rep " * 45, prose(6, 6000) + " end",
+]
+SCHEMA = "doc_id long, text string, score string, fingerprint string, word string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i * 3, t, "s", None, "w") for i, t in enumerate(TEXTS)]
+    random.Random(0).shuffle(rows)
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def test_substring_dedup_equals_brute_force(docs):
+    found = {r["doc_id"]: r for r in substring_dedup.remove_repeats(docs).collect()}
+    seen, removed = set(), 0
+    for i, text in enumerate(TEXTS):
+        own = words(text)
+        keep = [True] * len(own)
+        for s in range(len(own) - 19):
+            window = tuple(own[s : s + 20])
+            if window in seen:
+                keep[s : s + 20] = [False] * 20
+            seen.add(window)
+        kept = b" ".join(w for w, k in zip(own, keep, strict=True) if k)
+        row = found.pop(i * 3)
+        assert (row["n_words"], row["n_removed"], row["kept_sha256"]) == (len(own), keep.count(False), hashlib.sha256(kept).hexdigest())
+        assert row["kept"] is None if all(keep) else row["kept"] == kept.decode()
+        removed += keep.count(False)
+    assert removed > 6000 and not found
+
+
+def test_substring_dedup_of_odd_rows(spark, empty):
+    assert substring_dedup.remove_repeats(empty).count() == 0
+    rows = spark.createDataFrame([(1, SHARED), (1, SHARED), (None, SHARED), (2, SHARED)], "doc_id long, text string")
+    found = sorted(((r["doc_id"] or 0, r["n_removed"]) for r in substring_dedup.remove_repeats(rows).collect()))
+    assert found == [(0, 0), (1, 0), (1, 0), (2, 60)]
+
+
+def test_automaton_finds_every_place():
+    text = [b"a", b"b", b"a", b"b", b"a", b"bb", b"a", b"b"]
+    places = list(substring_dedup._located([(text, np.array([0])), ([b"b", b"a", b"b"], np.array([], int))], 2))
+    assert [p.tolist() for p in places] == [[0, 2, 6], [1]]
+
+
+def test_lm_counts_and_base(docs, empty):
+    learn = remainder("doc_id", 5) != 1
+    rows = {r["doc_id"]: r for r in lm_scoring.Model(docs, learn).score(docs).collect()}
+    tokens = {i * 3: [*(t or "").encode().translate(ASCII_LOWER).split(), b""] for i, t in enumerate(TEXTS)}
+    count = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in t)
+    n, v = sum(count.values()), len(count)
+    for i, t in tokens.items():
+        base = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+        row = rows.pop(i)
+        assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (len(t), sum(count[w] > 0 for w in t), n)
+        assert row["base_score"] == pytest.approx(base) and row["score"] < 0
+    assert not rows
+    assert lm_scoring.Model(empty, learn).score(empty).count() == 0
+
+
+def test_lattice_sums_over_segmentations():
+    pieces = {"▁a": 0, "b": 1, "ab": 2, "▁": 3, "a": 4, "▁ab": 5}
+    weights = np.log(np.array([0.2, 0.2, 0.1, 0.2, 0.1, 0.1, 0.04, 0.03, 0.02, 0.01]))
+    lattice = lm_scoring.Lattice(pieces, weights)
+    p = lambda *ids: math.prod(math.exp(weights[i]) for i in ids)
+    ways = [(0, 1), (3, 4, 1), (3, 2), (5,)]
+    assert lattice.log_spelling([b"ab", "ž".encode()]) == pytest.approx([math.log(sum(p(*w) for w in ways)), math.log(p(3, 7))])
+    used = lattice.expected([b"ab"])
+    assert used[1] == pytest.approx((p(0, 1) + p(3, 4, 1)) / sum(p(*w) for w in ways))
+
+
+def test_unlearned_lm_still_scores(spark):
+    rows = spark.createDataFrame([(1, "the cat"), (None, None)], "doc_id long, text string")
+    found = lm_scoring.Model(rows, F.lit(False)).score(rows).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in found] == [1, 3] and all(math.isfinite(r["score"]) for r in found)
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        extra = f" {random.Random(i).choice(['scum', 'moron', 'loweiab', 'loweixy'])} you {random.Random(-i).choice(['scum', 'moron', 'loweizz'])}" if bad else ""
+        rows.append((i, prose(i, 40) + extra))
+        labels.append((i, int(bad), int(bad)))
+    rows += [(500, None), (501, ""), (502, "scum"), (None, "moron " * 3)]
+    labels += [(3, None, 0), (5, 0, 0), (9999, 1, 1), (None, 1, 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+
+
+def test_toxicity_on_held_out_rows(toxic):
+    docs, labels = toxic
+    index = toxicity.fit(docs, labels, remainder("doc_id", 3) != 1)
+    rows = toxicity.score(docs, index).withColumn("out", remainder("doc_id", 3) == 1).collect()
+    held = [r for r in rows if r["out"] and r["doc_id"] is not None and r["doc_id"] < 400]
+    assert len(held) > 80 and all(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in held)
+    assert all(0 <= r["score"] <= 1 for r in rows) and len(rows) == 404
+    assert next(r for r in rows if r["doc_id"] == 0)["evidence"][0]["toxic"] > 0.5
+
+
+def test_toxicity_index_is_exact(toxic):
+    docs, labels = toxic
+    index = toxicity.fit(docs, labels, remainder("doc_id", 3) != 1)
+    for text in (prose(7, 20), "scum moron", "loweizz " * 3 + prose(8, 300), "moron"):
+        ids, weights = index.vector(toxicity.terms_of(text, index.terms, index.starts))
+        at, cosines = index.nearest(ids, weights)
+        every = index.matrix[: index.size][:, ids] @ weights.astype(np.float32)
+        assert sorted(every)[::-1][: index.k] == pytest.approx(cosines.tolist(), abs=1e-5)
+
+
+def test_toxicity_without_labels(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.score(docs, toxicity.fit(docs, none, F.lit(True))).collect()} == {0.0}
+    assert toxicity.score(empty, toxicity.fit(empty, none, F.lit(True))).count() == 0
+
+
+LICENSES = [
+    "All rights reserved. CC BY 4.0", "Licensed under the Apache License, Version 2.0", "GNU General Public License, version 3 or later", "cc by cc by; CC-BY-SA 3.0",
+    None, "", "mit", "Released under the MIT License.", "all rights  reserved " * 30, "generally public licenses", "Ärights all rights reserved",
+]
+
+
+def test_license_base_counts(spark):
+    rows = spark.createDataFrame(list(enumerate(LICENSES)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in license_scan.scan(rows).collect()}
+    cut = set(range(0x30)) | set(range(0x3A, 0x61)) | set(range(0x7B, 0x80))
+    for i, text in enumerate(LICENSES):
+        low = (text or "").encode().translate(ASCII_LOWER).decode()
+        own = "".join(" " if ord(c) in cut else c for c in low).split()
+        places = [(s, label) for phrase, label in license_scan.BASE.items() for s in range(len(own)) if own[s : s + len(phrase.split())] == phrase.split()]
+        row = found[i]
+        starts = [s for s, _ in places]
+        assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (len(own), len(places), min(starts, default=None), max(starts, default=None))
+        assert row["base_labels"] == ",".join(sorted({label for _, label in places}))
+        assert set(filter(None, row["base_labels"].split(","))) <= set(row["labels"].split(",")) and 0 <= row["score"] <= 1
+    assert found[1]["labels"] == "apache-2.0,licensed"
+    assert found[2]["labels"] == "gpl,gpl-3.0-or-later"
+    assert "cc-by-sa-3.0" in found[3]["labels"] and "mit" in found[7]["labels"]
+    assert found[9]["labels"] == "" and found[9]["score"] == 0
+
+
+def test_license_rules_are_many():
+    assert len(license_scan.rules()) > 200
+
+
+def test_decontamination_finds_edited_items(spark, docs):
+    items = [(1, prose("i1", 30)), (2, prose("i2", 20)), (3, None), (4, "a b c"), (5, prose("i1", 30))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    edited = prose("i1", 30).split()
+    edited[4], edited[11] = "changed", "also"
+    del edited[20]
+    far = prose("i2", 20).split()
+    for k in range(0, 20, 3):
+        far[k] = "other"
+    rows = spark.createDataFrame(
+        [(1, f"{prose(1, 50)} {' '.join(edited)} {prose(2, 50)}"), (2, f"{prose(3, 9)} {prose('i2', 20).upper()}!"), (3, " ".join(far)), (4, None), (5, "a, b, c"), (None, prose("i2", 20)), (6, prose(9, 3000))],
+        "doc_id long, text string",
+    )
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find(rows, benchmark).collect()}
+    assert set(found) == {(1, 1), (1, 5), (2, 2), (5, 4), (None, 2)}
+    assert found[(1, 1)]["distance"] == 3 and found[(2, 2)]["first_word"] == 9 and found[(2, 2)]["end_word"] == 29
+    assert {r["doc_id"] for r in decontaminate.without_items(rows, benchmark).collect()} == {3, 4, 6}
+    assert decontaminate.find(rows, benchmark.limit(0)).count() == 0
+
+
+def test_edit_distance_equals_plain_one():
+    draw = random.Random(5)
+    for _ in range(200):
+        a = [draw.choice([b"x", b"y", b"z"]) for _ in range(draw.randint(1, 9))]
+        b = [draw.choice([b"x", b"y", b"z"]) for _ in range(draw.randint(0, 12))]
+        mask = {}
+        for at, w in enumerate(a):
+            mask[w] = mask.get(w, 0) | 1 << at
+        last = list(range(len(a) + 1))
+        best = last[-1]
+        for j, w in enumerate(b[: len(a) + 3], 1):
+            row = [j]
+            for i, x in enumerate(a, 1):
+                row.append(min(last[i] + 1, row[-1] + 1, last[i - 1] + (x != w)))
+            last, best = row, min(best, row[-1])
+        assert decontaminate.edit_within(mask, len(a), b, 3)[0] == best
+
+
+def test_decontamination_recall():
+    draw = random.Random(11)
+    items = [(i, prose(f"r{i}", draw.randint(14, 50))) for i in range(80)]
+    walks, hits = decontaminate.Walks(items), 0
+    for i, text in items:
+        own = text.split()
+        for _ in range(max(1, len(own) // 10)):
+            at = draw.randrange(len(own))
+            own[at : at + 1] = draw.choice([["zz"], [], [own[at], "zz"]])
+        hits += any(m[0] == i for m in walks.matches(f"{prose('before', 40)} {' '.join(own)} {prose('after', 40)}"))
+    assert hits >= 72
+
+
+def test_quality_on_held_out_rows(spark, toxic):
+    docs, labels = toxic
+    graded = labels.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("quality"))
+    texts = docs.where("doc_id < 400").select("doc_id", F.concat("text", F.repeat(F.lit(" !! spam"), ((2 - F.col("doc_id") % 3) * 6).cast("int"))).alias("text"))
+    model, grades = quality.fit(texts, graded, remainder("doc_id", 3) != 1)
+    assert grades == [0, 1, 2] and model.cuts[0] < model.cuts[1]
+    held = quality.score(texts, model, grades).where(remainder("doc_id", 3) == 1).collect()
+    means = [np.mean([r["expected_grade"] for r in held if r["doc_id"] % 3 == g]) for g in range(3)]
+    assert means[0] < means[1] - 0.3 < means[2] - 0.6
+    assert all(0 <= r["tail_prob"] <= 1 for r in held)
+
+
+def test_quality_of_odd_rows(docs, empty):
+    none = docs.select("doc_id", F.lit(None).cast("int").alias("quality"))
+    model, grades = quality.fit(docs, none, F.lit(True))
+    assert {r["expected_grade"] for r in quality.score(docs, model, grades).collect()} == {0.0}
+    assert quality.score(empty, model, grades).count() == 0
+
+
+URLS = [
+    "http://A.Example.com/en/7?x", "https://example.com/en/", "http://x.net/de/8", "http://www.example.net/de/81#t", "http://net/de/", "ftp://org", "no url", None, "http://sub.org/es/a://b",
+    "http://example.net?/de/8", "http://example.com/en/7", "http://example.com/en/7", "http://.com/en/", "//x", "http://notexample.com/en/7", "http://" + "a." * 300 + "com/en/" + "z" * 9000,
+]
+
+
+def test_urls_equal_brute_force(spark):
+    pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(URLS)], "page_id long, url string, html string, rules string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    found = {r["page_id"]: r for r in url_filter.judge(pages, rules).collect()}
+    for i, url in enumerate(URLS):
+        host = path = ""
+        if url and "://" in url:
+            rest = url.partition("://")[2]
+            end = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+            host, rest = rest[:end].encode().translate(ASCII_LOWER).decode(), rest[end:]
+            path = rest[: min([rest.index(c) for c in "?#" if c in rest], default=len(rest))]
+        fits = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith(f".{h}")) and path.startswith(p)]
+        _, rule, verdict = max(fits, default=(0, None, "allow"))
+        assert (found[i]["host"], found[i]["path"], found[i]["rule"], found[i]["verdict"]) == (host, path, rule, verdict)
+    assert len(found) == len(URLS)
+    assert url_filter.judge(pages.limit(0), rules).count() == 0
+    assert {r["verdict"] for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_fingerprints(spark, docs, empty):
+    rows = {(r["doc_id"], r["nth"]): r for r in fingerprint.with_edited(docs).collect()}
+    ids = sorted(i for i, _ in rows)
+    text = {i * 3: t or "" for i, t in enumerate(TEXTS)}
+    for i, after in zip(ids, [*ids[1:], ids[0]], strict=True):
+        half = len(text[i]) // 2
+        assert rows[(i, 1)]["edited"] == text[i][: len(text[i]) - half] + text[after][:half]
+    key = ["part", "doc_id", "nth"]
+    signed = {r["doc_id"]: r["own"] for r in fingerprint.signatures(fingerprint.with_edited(docs), key, {"own": "text"}).collect()}
+    assert signed[0] == signed[15] and signed[6] == signed[9] and signed[21] == signed[24] and signed[0] != signed[3]
+    assert fingerprint.with_edited(empty).count() == 0
+
+
+def test_collisions_estimate_generalised_jaccard(spark):
+    a, b = Counter({f"w{i}": 1 + i % 4 for i in range(40)}), Counter({f"w{i}": 1 + i % 3 for i in range(12, 50)})
+    exact = sum((a & b).values()) / sum((a | b).values())
+    texts = [(0, 1, i, " ".join(c.elements())) for i, c in enumerate((a, b))]
+    frame = spark.createDataFrame(texts, "part int, doc_id long, nth int, text string")
+    own, other = (r["own"] for r in fingerprint.signatures(frame, ["part", "doc_id", "nth"], {"own": "text"}, samples=256).orderBy("nth").collect())
+    assert abs(np.mean([x == y for x, y in zip(own, other, strict=True)]) - exact) < 0.1
+
+
+def test_byte_bpe_equals_tiktoken(spark, docs):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(byte_bpe.VOCABULARY), "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    odd = ["<|endoftext|>", "  \n\n x", "naïve 漢字 🙂👩‍👩‍👧", "\x00\x01 Ġ ▁", "don't  stop" * 50, "a" * 5000, None, "", "\u2028é\u0301"]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    coded = byte_bpe.decode(byte_bpe.encode(rows)).collect()
+    for r in coded:
+        assert list(r["ids"]) == plain.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
+    short = {r["doc_id"]: r for r in byte_bpe.digests(rows).collect()}
+    for r in coded:
+        got = short[r["doc_id"]]
+        assert (got["n_tokens"], got["ids_sha256"]) == (len(r["ids"]), hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest())
+
+
+def bits_of(text):
+    own = (text or "").encode().translate(ASCII_LOWER).split()
+    shingles = [b" ".join(own[k : k + 4]) for k in range(len(own) - 3)] or ([b" ".join(own)] if own else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_fingerprints(docs):
+    found = {r["doc_id"]: r["bits"] for r in simhash.near_duplicates(docs).collect()}
+    assert found == {i * 3: int(np.uint64(bits_of(t)).astype(np.int64)) for i, t in enumerate(TEXTS)}
+
+
+def classes(values, distance=4):
+    above = list(range(len(values)))
+
+    def root(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for i in range(len(values)):
+        for j in range(i):
+            if bin(values[i] ^ values[j]).count("1") <= distance:
+                above[root(i)] = root(j)
+    groups = defaultdict(list)
+    for i in range(len(values)):
+        groups[root(i)].append(i)
+    return sorted(sorted(g) for g in groups.values())
+
+
+def test_simhash_links_lose_nothing(spark):
+    draw = random.Random(2)
+    values = [draw.getrandbits(64) for _ in range(60)] + [0, (1 << 64) - 1]
+    for v in values[:30]:
+        for _ in range(6):
+            for b in draw.sample(range(64), draw.randint(1, 6)):
+                v ^= 1 << b
+            values.append(v)
+    hub = draw.getrandbits(64)
+    values = list(dict.fromkeys([*values, *(hub ^ (i << 20) for i in range(300)), *(hub ^ (1 << i) ^ (1 << j) for i in range(12) for j in range(i))]))
+    frame = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in values], "bits long")
+    member = {r["node"]: r["component"] for r in simhash.components(frame, simhash.links(frame)).collect()}
+    groups = defaultdict(list)
+    for i, (bits,) in enumerate(frame.collect()):
+        groups[member.get(bits, bits)].append(i)
+    order = {int(np.uint64(v).astype(np.int64)): i for i, v in enumerate(values)}
+    found = sorted(sorted(order[frame_bits] for frame_bits in g) for g in _by_bits(frame, member))
+    assert found == classes(values)
+
+
+def _by_bits(frame, member):
+    groups = defaultdict(list)
+    for (bits,) in frame.collect():
+        groups[member.get(bits, bits)].append(bits)
+    return groups.values()
+
+
+def test_gray_index_equals_all_pairs():
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 63, 40, dtype=np.uint64)
+    values = np.unique(np.concatenate([base ^ (np.uint64(1) << draw.integers(0, 63, 40).astype(np.uint64)) for _ in range(20)]))
+    values = values[np.argsort(simhash.gray_rank(values))]
+    found = {(int(a), int(b)) for x, y in simhash.near_pairs(values, 2) for a, b in zip(x, y, strict=True)}
+    pairs = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if bin(int(values[i] ^ values[j])).count("1") <= 2}
+    assert found == pairs
+
+
+def test_simhash_of_odd_rows(spark, empty):
+    assert simhash.near_duplicates(empty).count() == 0
+    rows = spark.createDataFrame([(2, None), (1, ""), (None, " "), (7, "a b"), (None, "only here"), (7, "a b")], "doc_id long, text string")
+    found = sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_duplicates(rows).collect())
+    assert found == [("1", "1"), ("2", "1"), ("7", "7"), ("7", "7"), ("None", "1"), ("None", "None")]
