@@ -59,10 +59,9 @@ def normal_chunks(rows: DataFrame) -> DataFrame:
 def first_of(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key by a total order; each task keeps one row of a key before the shuffle."""
     columns = [c for c in rows.columns if c not in keys]
-    names = [f"_o{i}" for i in range(len(order))]
-    ordered = rows.select(*keys, F.struct(*(F.expr(o).alias(n) if isinstance(o, str) else o.alias(n) for n, o in zip(names, order, strict=True)), F.struct(*columns).alias("_row")).alias("_first"))
-    kept = ordered.groupBy(*keys).agg(F.min("_first").alias("_first"))
-    return kept.select(*keys, *(F.col(f"_first._row.{c}").alias(c) for c in columns)).select(*rows.columns)
+    place = F.struct(*(F.expr(o).alias(f"o{i}") if isinstance(o, str) else o.alias(f"o{i}") for i, o in enumerate(order)))
+    kept = rows.groupBy(*keys).agg(F.min_by(F.struct(*columns), place).alias("_row"))
+    return kept.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in columns)).select(*rows.columns)
 
 
 def by_precedence(sources: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:

@@ -8,13 +8,12 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RAW_DOCUMENT = T.StructType.fromDDL("source string, source_id string, title string, text string, lang string, metadata map<string,string>")
-CHUNK = T.StructType.fromDDL(
+RAW_DOCUMENT = "source string, source_id string, title string, text string, lang string, metadata map<string,string>"
+CHUNK = (
     "chunk_id string, source_id string, kind string, title string, text string, url string, author string, case_number string, article_number string, date string, year int"
 )
-SOURCE_CHUNK = T.StructType.fromDDL("source_id string, source_type string, source string, title string, url string, author string, year int, chunk_index long, chunk_count long, article_number string, text string")
+SOURCE_CHUNK = "source_id string, source_type string, source string, title string, url string, author string, year int, chunk_index long, chunk_count long, article_number string, text string"
 
 # Parts of a page that are no content, and where its content is looked for, first match wins.
 SKIPPED = {"script", "style", "noscript", "nav", "aside", "header", "footer", "form"}
@@ -24,12 +23,12 @@ OCR_CHARS_A_PAGE = 100
 VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
-def json_lines(spark: SparkSession, paths: list[str], schema: T.StructType, *, strict: bool = True) -> DataFrame:
+def json_lines(spark: SparkSession, paths: list[str], schema: str, *, strict: bool = True) -> DataFrame:
     """Blank lines are skipped; a malformed line is an error, or is dropped if not strict."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(paths)
 
 
-def ranked_files(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+def ranked_files(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Rows with file_rank, the place of their file in the list: what first-wins rules order by."""
     rows = json_lines(spark, paths, schema, strict=False).withColumn("_file", F.element_at(F.split("_metadata.file_path", "/"), -1))
     rank = F.array_position(F.array(*(F.lit(p.rstrip("/").rpartition("/")[2]) for p in paths)), F.col("_file"))
