@@ -372,3 +372,27 @@ def llm_json_items(spark: SparkSession, d: str) -> DataFrame:
 def rich_text(spark: SparkSession, d: str) -> DataFrame:
     tree = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(F.struct(F.substring("text", 1, 20).alias("text"))).alias("children")), F.struct(F.array(F.struct(F.lit("kraj").alias("text"))).alias("children"))).alias("children")).alias("root")))
     return table(spark, d, "documents").select("doc_id", tables.rich_text(tree).alias("text"))
+
+
+@query("dataset_scan", f"select cast(count(*) as bigint) as n, cast(sum(k) as bigint) as tokens from (select conv_id, turn, len({sql_tokens('text')}) as k from conversations order by conv_id, turn limit 200) where k > 8")
+def dataset_scan(spark: SparkSession, d: str) -> DataFrame:
+    first = table(spark, d, "conversations").orderBy("conv_id", "turn").limit(200).withColumn("k", F.size(X.token_list(F.col("text"))).cast("long"))
+    return first.where("k > 8").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("tokens"))
+
+
+@query("article_counts", "select doc_id % 3 as source_id, cast(count(*) filter (doc_id % 2 = 0) as bigint) as articles, cast(count(*) as bigint) as chunks from documents group by 1")
+def article_counts(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "documents").select((F.col("doc_id") % 3).alias("source_id"), F.when(F.col("doc_id") % 2 == 0, "1").alias("article_number"))
+    return chunks.groupBy("source_id").agg(F.count("article_number").alias("articles"), F.count(F.lit(1)).alias("chunks"))
+
+
+@query("url_parts", "select page_id, regexp_extract(url, '://([^/?#]+)', 1) as host, regexp_extract(url, '/([a-z]{2})/([0-9]+)', 1) as lang, try_cast(regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2) as bigint) as number from pages")
+def url_parts(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda pattern, i: F.regexp_extract("url", pattern, i)
+    return table(spark, d, "pages").select("page_id", part("://([^/?#]+)", 1).alias("host"), part("/([a-z]{2})/([0-9]+)", 1).alias("lang"), F.nullif(part("/([a-z]{2})/([0-9]+)", 2), F.lit("")).try_cast("long").alias("number"))
+
+
+@query("without_fields", "select doc_id, source from documents")
+def without_fields(spark: SparkSession, d: str) -> DataFrame:
+    nested = table(spark, d, "documents").select("doc_id", F.struct("source", "lang", "text").alias("r"))
+    return nested.select("doc_id", F.col("r").dropFields("lang", "text").alias("r")).select("doc_id", "r.source")
