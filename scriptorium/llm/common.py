@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +63,13 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver to let go of what no frame refers to any more, so that Spark deletes the shuffle files of steps that
+    are written. Spark does so by itself when the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class WordHashes(dict):
     """Bytes of a word to its 64-bit hash. It is emptied when it has grown to `limit` words, so its memory is bounded."""
 

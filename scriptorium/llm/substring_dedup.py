@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, whole_text, written
+from .common import WordHashes, gram_hashes, release, whole_text, written
 
 WINDOW, PHRASE = 20, 6
 #: Phrases of one automaton: a few tens of MB.
@@ -111,6 +111,8 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     places = surveyed.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("h", "p")).alias("s")).select("doc_id", "s.h", "s.p")
     recurring = surveyed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # A table of its own, so that the join below has two plain sides and a phrase of very many documents can be split.
+    recurring = written(recurring, "recurring")
     hits = places.join(recurring, "h").join(copies.select("doc_id"), "doc_id", "left_anti")
     hits = hits.groupBy("doc_id").agg(F.collect_list("p").alias("places"))
 
@@ -141,8 +143,11 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
                 yield shard(docs, ids, texts)
 
     confirmed = written(rows.join(hits, "doc_id").mapInPandas(confirm, "doc_id long, text string, windows array<long>"), "confirmed")
+    del hits, places
+    release(documents.sparkSession)
     windows = confirmed.select("doc_id", F.explode("windows").alias("w"))
     earliest = windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
+    earliest = written(earliest, "earliest")
     losing = windows.join(earliest, "w").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("w").alias("later"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
