@@ -83,19 +83,24 @@ class Index:
         # Entries with the same strongest term stand together, so that blocks differ in what they bound.
         order = sorted(entries, key=lambda e: (max(e, key=lambda x: (x[1], x[0]))[0] if len(e) else -1, len(e), e))
         self.size = len(order)
-        self.matrix = np.zeros((max(1, -(-self.size // BLOCK)) * BLOCK, len(self.terms)), np.float32)
-        self.weight, self.toxic, self.example = np.zeros(len(self.matrix)), np.zeros(len(self.matrix)), np.full(len(self.matrix), -1, np.int64)
-        self.of_row: dict[int, int] = {}
+        blocks = max(1, -(-self.size // BLOCK))
+        self.weight, self.toxic, self.example = np.zeros(self.size), np.zeros(self.size), np.full(self.size, -1, np.int64)
+        postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for i, entry in enumerate(order):
             for t, w in entry:
-                self.matrix[i, t] = w
-            for doc_id, label in entries[entry]:
+                postings[t].append((i, w))
+            for _, label in entries[entry]:
                 self.weight[i] += shares[label]
                 self.toxic[i] += shares[label] * label
             self.example[i] = min(d for d, _ in entries[entry])
-        self.blocks = self.matrix.reshape(-1, BLOCK, len(self.terms))
-        self.bounds = np.ascontiguousarray(self.blocks.max(axis=1).T)
-        # Postings of a block: only the terms that it has.
+        # Per term: its entries in order, their weights, where each block begins in them, and each block's largest weight.
+        self.at = [np.array([i for i, _ in p], np.int64) for p in postings]
+        self.of = [np.array([w for _, w in p]) for p in postings]
+        edges = np.arange(blocks + 1) * BLOCK
+        self.cut = [np.searchsorted(at, edges).tolist() for at in self.at]
+        self.bounds = np.zeros((len(self.terms), blocks))
+        for t, (at, of) in enumerate(zip(self.at, self.of, strict=True)):
+            np.maximum.at(self.bounds[t], at // BLOCK, of)
         self.prior = float(self.toxic.sum() / self.weight.sum()) if self.weight.sum() else 0.0
         self.curve = (1.0, 0.0)
         self.known: dict[tuple, tuple[float, list[tuple[int, float, float]]]] = {}
@@ -112,23 +117,23 @@ class Index:
         """Positions and cosines of the k nearest entries, exactly; ties by position."""
         if not self.size or not len(ids):
             return np.empty(0, np.int64), np.empty(0)
-        q = weights.astype(np.float32)
-        bounds = q @ self.bounds[ids] + np.float32(1e-6)
-        order = np.argsort(-bounds, kind="stable")
-        at, cosines = np.empty(0, np.int64), np.empty(0, np.float32)
-        step = 0
-        while step < len(order):
-            taken = order[step : step + 4]
-            if len(cosines) >= self.k and bounds[taken[0]] < cosines[self.k - 1]:
+        bounds = weights @ self.bounds[ids] + 1e-9
+        order = np.argsort(-bounds, kind="stable").tolist()
+        query = list(zip(ids.tolist(), weights.tolist(), strict=True))
+        at, cosines = np.empty(0, np.int64), np.empty(0)
+        for block in order:
+            if len(cosines) >= self.k and bounds[block] < cosines[-1]:
                 break
-            own = (self.blocks[taken][:, :, ids] @ q).ravel()
-            where = (taken[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            real = where < self.size
-            at, cosines = np.concatenate([at, where[real]]), np.concatenate([cosines, own[real]])
+            first = block * BLOCK
+            sums = np.zeros(min(BLOCK, self.size - first))
+            for t, w in query:
+                lo, hi = self.cut[t][block], self.cut[t][block + 1]
+                if lo < hi:
+                    sums[self.at[t][lo:hi] - first] += w * self.of[t][lo:hi]
+            at, cosines = np.concatenate([at, np.arange(first, first + len(sums))]), np.concatenate([cosines, sums])
             best = np.lexsort((at, -cosines))[: self.k]
             at, cosines = at[best], cosines[best]
-            step += 4
-        return at, cosines.astype(np.float64)
+        return at, cosines
 
     def vote(self, at: np.ndarray, cosines: np.ndarray, without: tuple[int, float, float] | None = None) -> float:
         """The share of label 1, as the nearest entries see it, drawn a little to the overall share."""
