@@ -144,7 +144,8 @@ def distractors(questions: DataFrame, candidates: DataFrame, n: int, seed: str,
         asked = asked.withColumn("cell", F.explode(F.array("cell", (F.col("cell") + 1) % cells)))
     met = asked.join(table, "cell").where(~F.col("other").eqNullSafe(F.col(source)))
     order = Window.partitionBy(key).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col("other").cast("string"))), "other")
-    return met.withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < n).select(key, "pos", F.col("other").alias(source))
+    first = met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    return first.select(key, (F.col("_n") - 1).alias("pos"), F.col("other").alias(source))
 
 
 def sibling(chunks: DataFrame, source: str = "source_id", text: str = "text", order: str = "ord") -> DataFrame:

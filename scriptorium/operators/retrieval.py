@@ -22,6 +22,13 @@ DENSE_LEAST, BM25_LEAST = 0.55, 5.0
 QUERY_BLOCK = 1_024
 
 
+def ranked(rows: DataFrame, order: Window, k: int, name: str) -> DataFrame:
+    """The first k rows of each window partition and their rank from 0. The bound is on the row number itself, so that
+    each task keeps k rows of a partition before the shuffle."""
+    first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    return first.withColumn(name, (F.col("_n") - 1).cast("int")).drop("_n")
+
+
 @dataclass
 class LexicalIndex:
     postings: DataFrame
@@ -75,7 +82,7 @@ def top_bm25(index: LexicalIndex, queries: DataFrame, k: int, query_id: str = "q
     # A document that scores below zero ranks under the fillers, of which there may be more than k were all kept.
     everything = scored.unionByName(filler.withColumn("bm25_score", F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.desc("bm25_score"), F.desc("id"))
-    return everything.withColumn("bm25_rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("bm25_rank") < k)
+    return ranked(everything, order, k, "bm25_rank")
 
 
 def top_dense(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
@@ -90,7 +97,7 @@ def top_dense(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec
     for at in range(0, max(1, total), QUERY_BLOCK):
         block = wanted if total <= QUERY_BLOCK else wanted.orderBy("query_id").offset(at).limit(QUERY_BLOCK)
         scored = vectors.select(F.col(vec_id).alias("id"), F.col(vector).alias("_v")).join(F.broadcast(block)).select("query_id", "id", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("dense_score"))
-        best = scored.withColumn("dense_rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("dense_rank") < k)
+        best = ranked(scored, order, k, "dense_rank")
         out = best if out is None else out.unionByName(best)
     return out
 
@@ -108,7 +115,7 @@ def exact_hits(documents: DataFrame, queries: DataFrame, most: int = 3, pattern:
     known = documents.where(F.col(number) != "").groupBy(collapsed(F.col(number)).alias("name")).agg(F.min(doc_id).alias("id"))
     found = named.join(known, "name").groupBy("query_id", "id").agg(F.min("pos").alias("pos"))
     order = Window.partitionBy("query_id").orderBy("pos", "id")
-    return found.withColumn("exact_pos", (F.row_number().over(order) - 1).cast("int")).where(F.col("exact_pos") < most).select("query_id", "id", "exact_pos")
+    return ranked(found, order, most, "exact_pos").select("query_id", "id", "exact_pos")
 
 
 def promoted(hybrid: DataFrame, exact: DataFrame, k: int) -> DataFrame:
@@ -117,7 +124,7 @@ def promoted(hybrid: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     hit = F.col("exact_pos").isNotNull()
     joined = joined.withColumn("fused_score", F.when(hit, F.coalesce("fused_score", F.lit(1.0)) + 10.0).otherwise(F.col("fused_score")))
     order = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("exact_pos"), F.desc("fused_score"), "id")
-    return joined.withColumn("pos", (F.row_number().over(order) - 1).cast("int")).where(F.col("pos") < k)
+    return ranked(joined, order, k, "pos")
 
 
 def gate(queries: DataFrame, hits: DataFrame, dense_least: float = DENSE_LEAST, bm25_least: float = BM25_LEAST) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, plain, rfc2822, token_list, trigrams, xml_escaped
+from ..functions.text import STOP_WORDS, TOKEN, jaccard, plain, rfc2822, token_list, trigrams, xml_escaped
 
 # Steps of the fee base (from, base, share of what exceeds it), its cap, and the proceedings.
 FEE_STEPS = [(497.92, 6.64, 0.01), (4979.20, 51.46, 0.005), (24896.02, 151.05, 0.0025)]
@@ -74,9 +75,12 @@ def has_all_words(columns: list[str], words: str) -> Column:
 def search(documents: DataFrame, query: str, text: str = "text") -> DataFrame:
     """The rows that have every token of the query, with rank: the share of their tokens that are the query's, 6 digits.
 
-    An empty query finds nothing.
+    An empty query finds nothing. Rows without one of the query's words as a plain substring go before any is cut into tokens.
     """
     wanted = token_list(F.lit(query))
+    low = F.lower(F.col(text))
+    for word in re.findall(TOKEN, query.lower()):
+        documents = documents.where(F.contains(low, F.lit(word))) if len(word) > 1 and word not in STOP_WORDS else documents
     found = documents.withColumns({"_tokens": token_list(F.col(text)), "_wanted": wanted})
     match = (F.size("_wanted") > 0) & F.forall("_wanted", lambda t: F.array_contains(F.col("_tokens"), t))
     hits = F.size(F.filter("_tokens", lambda t: F.array_contains(F.col("_wanted"), t)))
