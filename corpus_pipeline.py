@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import byte_bpe, decontaminate, simhash, substring_dedup, toxicity
+from scriptorium.llm import byte_bpe, decontaminate, near_copies, substring_dedup, toxicity
 from scriptorium.llm.common import remainder, whole_text, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,11 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of rows that repeat its id, one."""
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """The document with the smallest id of each group of near copies (five-word Jaccard similarity 0.8 or more), once."""
+    keyed = docs.select(*COLUMNS).withColumn("text_key", F.xxhash64(whole_text()))
+    kept = keyed.join(near_copies.near_copies(docs), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return kept.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -206,6 +206,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """doc_id, bits, component_id and copies (rows of the same fingerprint), a row for each row of documents."""
     signed = written(documents.select(F.col(doc_id).alias("doc_id"), fingerprint(whole_text(text), shingle).alias("bits")), "simhash")
+    return grouped(signed, distance)
+
+
+def grouped(signed: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """near_duplicates() of rows whose fingerprints are known: doc_id and bits."""
     classes = signed.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     found = links(classes.select("bits"), distance)
     member = components(classes.select("bits"), found)
