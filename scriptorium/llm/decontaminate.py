@@ -4,15 +4,19 @@ Texts and benchmark items are sequences of words (lower case A-Z, letters and di
 through a sequence: at each step it emits the current word and, as a random bit of word and step says, stays or moves on.
 Sequences at a small edit distance get embeddings at a small Hamming distance, as their walks fall into step again after
 an edit. Bit-sampling LSH draws `SAMPLED` steps for each of `REPEATS` walks; an item's key is what its walk emits there.
+Items are grouped by length (the longest of a group has at most GROUP times the words of the shortest), and each group
+draws its steps over the whole walk of its shortest item, so a key samples all of an item and short items change nothing
+for long ones. An item that a walk has left before its last sampled step has no key there; each group's first walk stays
+inside all of its items, so equal passages always collide.
 
-Every word of a document starts a window. All windows of a text walk at once; a window leaves the walk as soon as what
-it emits at a sampled step begins no item's key, so that few go far. Windows that reach an item's whole key are
-candidates and are verified: the word-level edit distance of the item to the best-ending window from there, by bit
-parallel dynamic programming, must be at most `1 - similarity` of the item's words. Equal passages always collide.
+Every word of a document starts a window. What a walk emits from a sampled step on depends only on the word where it
+stands then, so a walk is taken up at its first sampled step, at every word that begins an item's key, and leaves as soon
+as it begins none. Places are left out from the first where no run of words is made of enough words of the group's items
+to hold one of them, which loses nothing. The few walks that reach an item's whole key are followed back to the windows they come from. These are
+candidates and are verified: the smallest word-level edit distance of the item to a window that starts at most as many
+words off as edits are allowed, by bit parallel dynamic programming, must be at most `1 - similarity` of its words.
 
-Recall: for an item that differs in a share e of its embedding, one walk finds it with probability (1 - e) ** SAMPLED;
-windows that start one word off are tried too, and REPEATS is chosen so that ten per cent of edited words are found with
-well over 0.9.
+Recall: for an item that differs in a share e of its embedding, one walk finds it with probability (1 - e) ** SAMPLED.
 
 The benchmark is sent to the tasks in shards of SHARD items and ITEM_WORDS words at most, so a shard's size is bounded
 whatever the benchmark's; each shard is one more pass over the documents. Nothing is shuffled.
@@ -33,7 +37,9 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, whole_text
 
 SIMILARITY = 0.8
-REPEATS, SAMPLED = 12, 4
+REPEATS, SAMPLED = 32, 3
+#: Greatest ratio of the lengths in a group of items.
+GROUP = 1.3
 #: Bits of a word's number in a key; a shard has fewer words than that.
 BITS = 21
 #: Words that walk together in a task.
@@ -48,16 +54,16 @@ def sequence(text: str) -> list[bytes]:
     return text.encode().translate(_TABLE).split()
 
 
-def edit_within(item: dict[bytes, int], length: int, words: list[bytes], most: int) -> tuple[int, int]:
+def edit_within(item: dict[bytes, int], length: int, words: list[bytes], most: int, anywhere: bool = False) -> tuple[int, int]:
     """(distance, words used): the smallest edit distance of the item to a prefix of `words`, the longest such prefix.
 
     item: for each of its words the bit mask of its places. Python's integers hold the vertical differences of a column,
-    so an item of any length is one step per word.
+    so an item of any length is one step per word. anywhere: the distance to a passage that starts at any of `words`.
     """
     full, last = (1 << length) - 1, 1 << (length - 1)
     plus, minus, score = full, 0, length
     best, used = length, 0
-    for at, word in enumerate(words[: length + most], 1):
+    for at, word in enumerate(words if anywhere else words[: length + most], 1):
         equal = item.get(word, 0)
         zero = (((equal & plus) + plus) ^ plus) | equal | minus
         up, down = minus | ~(zero | plus) & full, plus & zero
@@ -65,8 +71,8 @@ def edit_within(item: dict[bytes, int], length: int, words: list[bytes], most: i
             score += 1
         elif down & last:
             score -= 1
-        # The text must begin here: the top row rises with each word.
-        up, down = ((up << 1) | 1) & full, (down << 1) & full
+        # Where the text must begin here, the top row rises with each word.
+        up, down = ((up << 1) | (not anywhere)) & full, (down << 1) & full
         plus, minus = down | ~(zero | up) & full, up & zero
         if score <= best:
             best, used = score, at
@@ -91,31 +97,53 @@ class Walks:
                 mask[word] = mask.get(word, 0) | 1 << at
                 self.ids.setdefault(word, len(self.ids) + 1)
             self.masks.append(mask)
-        shortest = min((len(w) for _, w in self.items), default=1)
-        draw = np.random.default_rng(seed)
-        # A walk advances by half a word a step on average, so steps up to the shortest item's length stay inside it.
-        steps = max(1, min(shortest, 24))
-        self.walks = [self._walk(draw, r, steps, sampled) for r in range(repeats)]
         self.lengths = np.array([len(w) for _, w in self.items], np.int64)
         self.slack = np.where(self.lengths < LEAST, 0, ((1 - similarity) * self.lengths + 1e-9).astype(np.int64))
+        draw = np.random.default_rng(seed)
+        groups: dict[int, list[int]] = {}
+        least = group = 0
+        for length in sorted({len(w) for _, w in self.items}):
+            if length <= LEAST or length > least * GROUP:
+                least, group = length, length
+            groups.setdefault(group, []).extend(i for i, (_, w) in enumerate(self.items) if len(w) == length)
+        #: By group: its words, the least length of a passage, the most words of it that are not the group's, the words around, the walks.
+        self.groups = []
+        for shortest, own in groups.items():
+            walks = []
+            there = np.zeros(len(self.ids) + 1, bool)
+            there[[self.ids[w] for i in own for w in self.items[i][1]]] = True
+            most, reach = int(self.slack[own].max()), int((self.lengths[own] + self.slack[own]).max())
+            self.groups.append((there, int((self.lengths[own] - self.slack[own]).min()), most, reach, walks))
+            for r in range(repeats if shortest >= LEAST else 1):
+                # A walk advances by half a word a step on average, and never by more than one.
+                steps = shortest if r == 0 else max(shortest, int(2 * shortest - (2 * shortest) ** 0.5))
+                walk = self._walk(draw, own, steps, sampled)
+                if walk:
+                    walks.append(walk)
         #: The words of each item, as sorted pairs of item and word.
         self.pairs = np.unique(np.array([i << BITS | self.ids[w] for i, (_, words) in enumerate(self.items) for w in words], np.int64))
 
-    def _walk(self, draw: np.random.Generator, r: int, steps: int, sampled: int):
-        """The sampled steps, a bit for each word and step, and the items by the words that they emit there."""
-        first = r % min(3, steps)  # early, as few windows get beyond it
-        later = np.arange(first + 1, steps)
-        at = [first, *np.sort(draw.choice(later, min(sampled - 1, len(later)), replace=False)).tolist()]
-        bits = draw.integers(0, 1 << 24, len(self.ids) + 1, dtype=np.int64).astype(np.int32)
+    def _walk(self, draw: np.random.Generator, own: list[int], steps: int, sampled: int):
+        """The sampled steps, a bit for each word and step, and the group's items by the words that they emit there."""
+        at = np.sort(draw.choice(steps, min(sampled, steps), replace=False)).tolist()
+        bits = draw.integers(0, 1 << 62, len(self.ids) + 1, dtype=np.int64)
         keys: list[list[int]] = []
-        for _, words in self.items:
+        members = []
+        for item in own:
+            words = self.items[item][1]
             cursor, emitted = 0, []
             for step in range(at[-1] + 1):
-                word = self.ids[words[min(cursor, len(words) - 1)]]
+                if cursor >= len(words):
+                    break
+                word = self.ids[words[cursor]]
                 if step in at:
                     emitted.append(word)
-                cursor += int(bits[word]) >> step & 1
-            keys.append(emitted)
+                cursor += int(bits[word]) >> step % 62 & 1
+            if len(emitted) == len(at):
+                keys.append(emitted)
+                members.append(item)
+        if not keys:
+            return None
         opening = np.zeros(len(self.ids) + 1, bool)
         opening[[k[0] for k in keys]] = True
         # A key's number is its place among the keys of its length; with the next word it makes the next level's key.
@@ -126,21 +154,20 @@ class Walks:
             levels.append(np.unique(longer))
             number = np.searchsorted(levels[-1], longer)
         by_key: dict[int, list[int]] = {}
-        for item, k in enumerate(number.tolist()):
+        for item, k in zip(members, number.tolist(), strict=True):
             by_key.setdefault(k, []).append(item)
         return at, bits, opening, levels, by_key
 
-    def candidates(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First words and items of the windows that share a key with an item; text: numbers of words, 0 after each document."""
+    def candidates(self, text: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First words and items of the windows that share a key with an item.
+
+        text: numbers of words, 0 after each document; begins: where documents begin.
+        """
         starts, items = [], []
         last = len(text) - 1
-        for at, bits, opening, levels, by_key in self.walks:
-            cursor = np.arange(len(text), dtype=np.int32)
-            for step in range(at[0]):
-                cursor += bits[text[cursor]] >> step & 1
-                np.minimum(cursor, last, out=cursor)
-            start = np.flatnonzero(opening[text[cursor]])
-            cursor = cursor[start]
+        for live, (at, bits, opening, levels, by_key) in ((live, walk) for group in self.groups for live in [self._live(text, *group[:4])] for walk in group[4]):
+            start = live[opening[text[live]]]
+            cursor = start
             key, level = text[cursor].astype(np.int64), 0
             for step in range(at[0], at[-1] + 1):
                 word = text[cursor]
@@ -152,7 +179,18 @@ class Walks:
                     level += 1
                 if not len(start):
                     break
-                cursor = np.minimum(cursor + (bits[word] >> step & 1), last)
+                cursor = np.minimum(cursor + (bits[word] >> step % 62 & 1), last)
+            if not len(start):
+                continue
+            # Back from the first sampled step to the windows; one that would start in the document before starts here.
+            floor = begins[np.searchsorted(begins, start, "right") - 1]
+            for step in range(at[0] - 1, -1, -1):
+                stays = bits[text[start]] >> step % 62 & 1 == 0
+                prior = np.maximum(start - 1, 0)
+                moves = (start > floor) & (bits[text[prior]] >> step % 62 & 1 == 1)
+                edge = (start == floor) & ~stays
+                stays |= edge
+                start, key, floor = (np.concatenate([x, y]) for x, y in ((start[stays], prior[moves]), (key[stays], key[moves]), (floor[stays], floor[moves])))
             for s, k in zip(start.tolist(), key.tolist(), strict=True):
                 for item in by_key[k]:
                     starts.append(s)
@@ -160,8 +198,20 @@ class Walks:
         pairs = np.unique(np.array(starts, np.int64) << BITS | np.array(items, np.int64))
         return self._possible(text, pairs >> BITS, pairs & ((1 << BITS) - 1))
 
+    @staticmethod
+    def _live(text: np.ndarray, there: np.ndarray, length: int, most: int, reach: int) -> np.ndarray:
+        """The places around runs of `length` words of which all but `most` are the group's: each edit brings in one other word at most."""
+        n = len(text)
+        others = np.zeros(n + length + 1, np.int32)
+        np.cumsum(~there[text], out=others[1 : n + 1])
+        others[n + 1 :] = others[n] + np.arange(1, length + 1)
+        dense = np.zeros(n + 2 * reach + 2, np.int32)
+        np.cumsum(others[length : length + n] - others[:n] <= most, out=dense[reach + 1 : reach + n + 1])
+        dense[reach + n + 1 :] = dense[reach + n]
+        return np.flatnonzero(dense[2 * reach + 1 : 2 * reach + 1 + n] > dense[:n])
+
     def _possible(self, text: np.ndarray, starts: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates whose windows, one word wider at both ends, have enough of the item's words.
+        """Candidates whose windows, wider at both ends by the words that they may be off, have enough of the item's words.
 
         An edit distance is at least the number of the item's words that the window can't match. Word by word, windows
         go as soon as what is left of them can't make up for what they lack.
@@ -171,17 +221,17 @@ class Walks:
         live = np.arange(len(starts))
         done = [np.empty(0, np.int64)]
         while len(live):
-            # Of length + slack + 2 words, length - slack must be the item's.
-            wide = length[live] + slack[live] + 2
+            # Of length + 3 * slack + 2 words, length - slack must be the item's.
+            wide = length[live] + 3 * slack[live] + 2
             ended = wide <= at
             done.append(live[ended])
             live = live[~ended]
-            place = starts[live] + at - 1
+            place = starts[live] + at - slack[live] - 1
             word = np.where((place >= 0) & (place < len(text)), text[np.clip(place, 0, len(text) - 1)], 0)
             key = items[live] << BITS | word
             known = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] == key
             missed[live] += ~known
-            live = live[missed[live] <= 2 * slack[live] + 2]
+            live = live[missed[live] <= 4 * slack[live] + 2]
             at += 1
         kept = np.sort(np.concatenate(done))
         return starts[kept], items[kept]
@@ -208,7 +258,7 @@ class Walks:
             numbers += [get(w, 0) for w in words]
             numbers.append(0)
             ends.append(len(numbers))
-        starts, items = self.candidates(np.array(numbers, np.int32)) if numbers else (np.empty(0, np.int64), np.empty(0, np.int64))
+        starts, items = self.candidates(np.array(numbers, np.int32), np.array([0, *ends[:-1]])) if numbers else (np.empty(0, np.int64), np.empty(0, np.int64))
         bounds = np.searchsorted(starts, [0, *ends]).tolist()
         for d, words in enumerate(block):
             own = slice(bounds[d], bounds[d + 1])
@@ -220,11 +270,16 @@ class Walks:
 
     def _verified(self, words: list[bytes], starts: list[int], items: list[int]) -> list[tuple[int, int, int, int, float]]:
         best: dict[int, tuple[int, int, int]] = {}
+        met: set[tuple[int, int]] = set()
         tried: set[tuple[int, int]] = set()
         for s, k in zip(starts, items, strict=True):
             length = len(self.items[k][1])
             most = 0 if length < LEAST else int((1 - self.similarity) * length + 1e-9)
-            for first in (s, s - 1, s + 1):
+            around = words[max(s - most - 1, 0) : s + length + 2 * most + 1]
+            if (s, k) in met or edit_within(self.masks[k], length, around, most, anywhere=True)[0] > most:
+                continue
+            met.add((s, k))
+            for first in range(s - most - 1, s + most + 2):
                 if first < 0 or first >= len(words) or (first, k) in tried:
                     continue
                 tried.add((first, k))

@@ -387,3 +387,17 @@ def test_simhash_of_odd_rows(spark, empty):
     rows = spark.createDataFrame([(2, None), (1, ""), (None, " "), (7, "a b"), (None, "only here"), (7, "a b")], "doc_id long, text string")
     found = sorted((str(r["doc_id"]), str(r["component_id"])) for r in simhash.near_duplicates(rows).collect())
     assert found == [("1", "1"), ("2", "1"), ("7", "7"), ("7", "7"), ("None", "1"), ("None", "None")]
+
+
+def test_decontamination_finds_edits_wherever_they_are():
+    draw = np.random.default_rng(8)
+    items = [(i, " ".join(f"w{x}" for x in draw.integers(0, 3000, 15 + i % 45))) for i in range(180)]
+    around = lambda words: " ".join(["before"] * 20 + words + ["behind"] * 20)
+    edited = []
+    for i, text in items:
+        words = text.split()
+        k = len(words) // 5
+        edited += [(i, around(w)) for w in (["new"] * k + words[k:], words[k:], words[:-k] + ["new"] * k, words[:-k])]
+    for short in ([], [(999, "w1")]):  # a one-word item changes nothing for the others
+        found = decontaminate.Walks(items + short).all_matches(t for _, t in edited)
+        assert all(i in {m[0] for m in own} for (i, _), own in zip(edited, found, strict=True))
