@@ -38,7 +38,7 @@ MARK = "▁"
 HEAD, HEAD_BYTES = 65_536, 32
 #: Distinct words that a counting task gathers before it passes them on.
 GATHER = 400_000
-ROUNDS = 1
+ROUNDS = 2
 #: Classes of documents, and the rows that they are fitted to (a bounded sample, the smallest hashes of the ids).
 CLASSES, SAMPLE = 5, 4_096
 #: Sizes of the tables that find pieces, and the base of the hash of their characters.

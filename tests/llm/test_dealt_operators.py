@@ -401,3 +401,9 @@ def test_decontamination_finds_edits_wherever_they_are():
     for short in ([], [(999, "w1")]):  # a one-word item changes nothing for the others
         found = decontaminate.Walks(items + short).all_matches(t for _, t in edited)
         assert all(i in {m[0] for m in own} for (i, _), own in zip(edited, found, strict=True))
+
+
+def test_lm_weights_are_fitted_in_two_rounds(spark):
+    documents = spark.createDataFrame([(i, f"the cat{i} sat on the mat and sang again") for i in range(12)], "doc_id long, text string")
+    own, twice = (lm_scoring.Model(documents, F.lit(True), classes=1, **more).weights[0] for more in ({}, {"rounds": 2}))
+    assert np.allclose(own, twice)
