@@ -32,10 +32,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur earlier; those of which nothing is left go."""
-    cut = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept").distinct()
-    joined = docs.select(*COLUMNS).join(cut, "doc_id", "left").where("kept is null or kept != ''")
-    changed = F.col("kept").isNotNull()
-    return joined.withColumns({"text": F.coalesce("kept", "text"), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(*COLUMNS)
+    cut = substring_dedup.remove_repeats(docs.select(*COLUMNS)).where("n_removed = 0 or kept != ''")
+    changed = F.col("n_removed") > 0
+    texts = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
+    return cut.withColumns(texts).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -46,41 +45,70 @@ def remainder(doc_id: str, modulus: int) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where that is unset a local session gets one of
+    its own; a cluster is refused, as a folder of the driver's machine would not be its executors'."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="scriptorium-")
         context.setCheckpointDir(root)
     return root
 
 
+#: Spark then deletes a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: its lineage ends there, and a lost executor loses nothing."""
     spark = frame.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of texts that a Python worker gets at a time.
+BATCH_BYTES = 4 << 20
 
 
-def release(spark: SparkSession) -> None:
-    """Asks the driver to let go of what no frame refers to any more, so that Spark deletes the shuffle files of steps that
-    are written. Spark does so by itself when the driver collects its garbage, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on an Arrow batch to BATCH_BYTES, as texts may be long: what a worker holds at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 class WordHashes(dict):
-    """Bytes of a word to its 64-bit hash. It is emptied when it has grown to `limit` words, so its memory is bounded."""
+    """Bytes of a word to its 64-bit hash. Long words are not kept, and it is emptied when it has grown to `limit` words,
+    so its memory is bounded (some 30 MB)."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000):
+    def __init__(self, seed: int = 0, limit: int = 150_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word, self.seed)
+        value = xxhash.xxh64_intdigest(word, self.seed)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, tokens: list[bytes]) -> np.ndarray:

@@ -3,19 +3,26 @@
 A window is `window` consecutive words of one document. Each word is removed that a window covers whose words also
 start earlier: in a smaller doc_id, or earlier in the same document. Windows are judged on the input.
 
-1. Each document gives its seeds: of the six-word phrases of each window the one with the smallest hash. Two equal
-   windows have the same seed, and about one phrase in eight is a seed.
-2. Recurring seeds are counted with map-side sums; where they occur is joined back to the documents.
-3. Confirmation: documents with recurring phrases are cut into shards of a bounded number of phrases, each shard's
-   phrases are compiled into one Aho-Corasick automaton, and its documents are streamed through it, which locates every
-   occurrence by its text. The windows around them are the candidates.
-4. The first document of each candidate window is the smallest doc_id of its group (again summed before the shuffle).
-   A document then loses the windows that have an earlier first document or that it has had before itself.
+1. Survey: each document gives its seeds, of the phrases of six words of each window the one with the smallest hash. Two
+   equal windows have the same seed, and about one phrase in eight is a seed. No places are kept.
+2. Documents whose words all equal those of an earlier one lose everything; they take no part in what follows.
+3. Confirmation: sums before the shuffle tell which phrases recur across documents. Documents are dealt at random over
+   shards of about SHARD_WORDS words, and each shard is sent the numbers of the confirmed phrases of its documents. The
+   shard adds the phrases that recur within it, reads each one's text off one document that has it, and compiles these
+   texts into Aho-Corasick automata of AUTOMATON phrases at most.
+4. All documents of the shard are streamed through its automata, which alone say where phrases occur: every occurrence,
+   by text, also those that are no seed of their window.
+5. The windows around occurrences are the candidates. Those that repeat within the shard are settled there. The first of
+   each in the shard, if it holds a phrase that recurs across documents, meets those of other shards: the smallest
+   doc_id of a window, again summed before the shuffle, keeps it.
+6. Texts are read once more to cut what is to go.
 
-Documents whose words all equal those of an earlier one lose everything and skip steps 3 and 4.
+Windows of different shards are equal if two independent 64-bit hashes of them are: 128 bits, so that of 10^13 windows no
+two different ones are expected to meet (chance 10^-13). What leaves a task for each document is its seeds or windows.
 
 A null text has no words. Texts shorter than a window keep all. Rows that share a doc_id don't count as earlier than
-each other. Rows without doc_id keep everything and are nobody's earlier occurrence.
+each other; rows that share doc_id and text are one document, returned as often as it comes. Rows without doc_id keep
+everything and are nobody's earlier occurrence. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -24,15 +31,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import WordHashes, gram_hashes, release, whole_text, written
+from .common import WordHashes, discard, gram_hashes, mix, others, small_batches, whole_text, written
 
 WINDOW, PHRASE = 20, 6
-#: Phrases of one automaton: a few tens of MB.
-SHARD = 20_000
+#: Words of a shard's documents together, and phrases of one automaton (some 1 KB each).
+SHARD_WORDS, AUTOMATON = 200_000, 50_000
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _sliding(values: np.ndarray, n: int, best) -> np.ndarray:
@@ -61,123 +70,188 @@ def sha256(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def _located(documents: list[tuple[list[bytes], np.ndarray]], phrase: int) -> Iterator[np.ndarray]:
-    """For each document (words, places of its recurring phrases) every place of a phrase of the shard."""
+def occurrences(phrases: list[tuple[bytes, bool]], documents: list[list[bytes]], most: int = AUTOMATON) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each document the first words of every occurrence of a phrase, in no order, and the phrases' marks.
+
+    Phrases are words joined by one space. They are compiled into automata of `most` phrases at most, and each document
+    is streamed through each of these.
+    """
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
-    for words, places in documents:
-        for p in places.tolist():
-            text = b" ".join(words[p : p + phrase]).decode("latin-1")  # a character for each byte
-            automaton.add_word(f" {text} ", len(text) + 1)
-    automaton.make_automaton()
-    for words, _ in documents:
+    found: list[tuple[list[int], list[bool]]] = [([], []) for _ in documents]
+    texts = [f" {b' '.join(words).decode('latin-1')} " for words in documents]  # a character for each byte
+    for first in range(0, len(phrases), most):
+        automaton = ahocorasick.Automaton()
+        for text, mark in phrases[first : first + most]:
+            automaton.add_word(f" {text.decode('latin-1')} ", (len(text) + 1, mark))
+        automaton.make_automaton()
+        for text, (places, marks) in zip(texts, found, strict=True):
+            for end, (size, mark) in automaton.iter(text):
+                places.append(end - size)
+                marks.append(mark)
+    out = []
+    for words, (places, marks) in zip(documents, found, strict=True):
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(sizes + 1) - sizes
-        found = [end - size for end, size in automaton.iter(f" {b' '.join(words).decode('latin-1')} ")]
-        yield np.searchsorted(starts, np.array(found, np.int64) + 1)
+        out.append((np.searchsorted(starts, np.array(places, np.int64) + 1), np.array(marks, bool)))
+    return out
 
 
 def _around(places: np.ndarray, n_windows: int, window: int, phrase: int) -> np.ndarray:
-    """First words of the windows that hold a phrase at one of these places."""
+    """Whether each window holds a phrase at one of these places."""
     change = np.zeros(n_windows + 1, np.int64)
-    first = np.clip(places - (window - phrase), 0, n_windows)
-    np.add.at(change, first, 1)
+    np.add.at(change, np.clip(places - (window - phrase), 0, n_windows), 1)
     np.add.at(change, np.clip(places + 1, 0, n_windows), -1)
-    return np.flatnonzero(np.cumsum(change[:-1]) > 0)
+    return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by a space) and kept, these words; kept is null where n_removed is 0."""
-    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
+def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts by the columns, and for each place of it whether the first two columns differ from the place before."""
+    order = np.lexsort(columns[::-1])
+    a, b = columns[0][order], columns[1][order]
+    return order, np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]
+
+
+def settle(documents: list[tuple[int, int, list[bytes]]], confirmed: set[int], known: WordHashes, window: int = WINDOW, phrase: int = PHRASE):
+    """A shard's documents (doc_id, key of the text, words): for each the windows that go for certain, and the windows
+    that other shards must be asked about, as first words and two hashes."""
+    hashes = [known.of(words) for _, _, words in documents]
+    own = [seeds(h, window, phrase) for h in hashes]
+    every, first, times = np.unique(np.concatenate([h for h, _ in own]), return_index=True, return_counts=True)
+    across = np.isin(every, np.fromiter(confirmed, np.uint64, len(confirmed)))
+    document = np.repeat(np.arange(len(own)), [len(h) for h, _ in own])
+    place = np.concatenate([p for _, p in own])
+    phrases = []
+    for i in np.flatnonzero(across | (times > 1)).tolist():
+        at = int(place[first[i]])
+        phrases.append((b" ".join(documents[document[first[i]]][2][at : at + phrase]), bool(across[i])))
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
+    for i, (places, marks) in enumerate(occurrences(phrases, [words for _, _, words in documents])):
+        n = len(hashes[i]) - window + 1
+        near = np.flatnonzero(_around(places, n, window, phrase))
+        a = gram_hashes(hashes[i], window)[near]
+        b = gram_hashes(mix(hashes[i] ^ _SECOND), window)[near]
+        for column, values in zip(columns, (a, b, np.full(len(near), i), near, _around(places[marks], n, window, phrase)[near]), strict=True):
+            column.append(values)
+    a, b, index, at, asked = (np.concatenate(c) for c in columns)
+    ids, keys = (np.array([d[k] for d in documents], np.int64)[index] for k in (0, 1))
+    order, starts = _groups(a, b, ids, keys, at)
+    group = np.cumsum(starts) - 1
+    ids, index, at, asked, a, b = (x[order] for x in (ids, index, at, asked, a, b))
+    again = np.append(False, (group[1:] == group[:-1]) & (index[1:] == index[:-1]))[: len(order)]
+    gone = again | (ids > ids[starts][group])
+    out = []
+    for i in range(len(documents)):
+        mine = index == i
+        ask = mine & ~gone & asked
+        out.append((np.sort(at[mine & gone]), at[ask], a[ask], b[ask]))
+    return out
+
 
-    def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole_text(text)).alias("text_key"), whole_text(text).alias("text"))
+
+
+def lost_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), whole and starts: the documents that lose words, all of them or those of
+    the windows that start at these words (in no order, some repeatedly)."""
+    spark = documents.sparkSession
+    small_batches(spark)
+    rows = _keyed(documents, doc_id, text)
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                words = text.encode().split()
-                h, p = seeds(known.of(words), window, phrase) if len(words) >= window else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                out.append((len(words), sha256(words), h.view(np.int64), p.astype(np.int32)))
-            frame = pd.DataFrame(out, columns=["n_words", "sha", "h", "p"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield frame
-
-    surveyed = written(rows.mapInPandas(survey, "doc_id long, n_words long, sha string, h array<long>, p array<int>"), "survey")
-    # Whole copies of an earlier document.
-    first = surveyed.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = surveyed.select("doc_id", "n_words", "sha").join(first, "sha").where("doc_id > first").select("doc_id", "n_words")
-    copies = written(copies, "copies")
-
-    places = surveyed.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("h", "p")).alias("s")).select("doc_id", "s.h", "s.p")
-    recurring = surveyed.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+            sizes, digests, found = [], [], []
+            for value in batch.column("text"):
+                words = value.as_py().encode().split()
+                h = np.unique(seeds(known.of(words), window, phrase)[0]) if len(words) >= window else np.empty(0, np.uint64)
+                sizes.append(len(words))
+                digests.append(sha256(words))
+                found.append(h.view(np.int64))
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_words", "sha", "h"])
+
+    surveyed = written(rows.mapInArrow(survey, "doc_id long, text_key long, n_words long, sha string, h array<long>"), "survey")
+    n_words = surveyed.agg(F.sum("n_words")).first()[0] or 0
+    shards = max(1, -(-n_words // SHARD_WORDS))
+    shard = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).alias("shard")
+
+    first = surveyed.where(F.col("n_words") >= window).groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = surveyed.select("doc_id", "text_key", "n_words", "sha").join(first, "sha").where((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window))
+    copies = written(copies.select("doc_id", "text_key").distinct(), "copies")
+
+    # Whole copies have one content, so they alone make no phrase recur.
+    content = F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("content")
+    across = surveyed.select(content, F.explode("h").alias("h")).groupBy("h").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a < b").select("h")
     # A table of its own, so that the join below has two plain sides and a phrase of very many documents can be split.
-    recurring = written(recurring, "recurring")
-    hits = places.join(recurring, "h").join(copies.select("doc_id"), "doc_id", "left_anti")
-    hits = hits.groupBy("doc_id").agg(F.collect_list("p").alias("places"))
+    across = written(across, "across")
+    confirmed = surveyed.select(shard, F.explode("h").alias("h")).join(across, "h").select("shard", "h").distinct()
+    none = F.lit(None).cast("long")
+    notes = confirmed.select("shard", "h", none.alias("doc_id"), none.alias("text_key")).unionByName(copies.select(shard, none.alias("h"), "doc_id", "text_key"))
 
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
+    fields = [pa.field("doc_id", pa.int64()), pa.field("text_key", pa.int64()), pa.field("gone", pa.list_(pa.int32())), pa.field("at", pa.list_(pa.int32())), pa.field("a", pa.list_(pa.int64())), pa.field("b", pa.list_(pa.int64()))]
 
-        def shard(docs, ids, texts):
-            out = []
-            for (words, _), places in zip(docs, _located(docs, phrase), strict=True):
-                grams = gram_hashes(known.of(words), window)
-                out.append(np.unique(grams[_around(places, len(grams), window, phrase)]).view(np.int64))
-            return pd.DataFrame({"doc_id": ids, "text": texts, "windows": out})
+    def locate(texts: pa.Table, notes: pa.Table) -> pa.Table:
+        skip = {(i, k) for i, k in zip(notes["doc_id"].to_pylist(), notes["text_key"].to_pylist(), strict=True) if i is not None}
+        phrases = notes["h"].drop_null().to_numpy().astype(np.int64).view(np.uint64)
+        held = {}
+        for i, k, value in zip(texts["doc_id"].to_pylist(), texts["text_key"].to_pylist(), texts["text"], strict=True):
+            if (i, k) not in skip and (i, k) not in held:
+                words = value.as_py().encode().split()
+                if len(words) >= window:
+                    held[i, k] = words
+        shard = [(i, k, held[i, k]) for i, k in sorted(held)]
+        found = settle(shard, set(phrases.tolist()), WordHashes(), window, phrase) if shard else []
+        rows = [(d[0], d[1], g.astype(np.int32), at.astype(np.int32), a.view(np.int64), b.view(np.int64)) for d, (g, at, a, b) in zip(shard, found, strict=True) if len(g) or len(at)]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=pa.schema(fields))
 
-        for batch in batches:
-            docs, ids, texts, phrases = [], [], [], 0
-            for i, text, at in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
-                words, at = text.encode().split(), np.asarray(at)
-                if len(words) < window:
-                    continue  # another row of the same id has these places
-                docs.append((words, at[at <= len(words) - phrase]))
-                ids.append(i)
-                texts.append(text)
-                phrases += len(at)
-                if phrases >= SHARD:
-                    yield shard(docs, ids, texts)
-                    docs, ids, texts, phrases = [], [], [], 0
-            if docs:
-                yield shard(docs, ids, texts)
-
-    confirmed = written(rows.join(hits, "doc_id").mapInPandas(confirm, "doc_id long, text string, windows array<long>"), "confirmed")
-    del hits, places
-    release(documents.sparkSession)
-    windows = confirmed.select("doc_id", F.explode("windows").alias("w"))
-    earliest = windows.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w", "first")
+    schema = "doc_id long, text_key long, gone array<int>, at array<int>, a array<long>, b array<long>"
+    dealt = rows.withColumn("shard", shard).groupBy("shard").cogroup(notes.groupBy("shard"))
+    located = written(dealt.applyInArrow(locate, schema), "located")
+    discard(surveyed, across)
+
+    windows = located.select("doc_id", "text_key", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select("doc_id", "text_key", "w.*")
+    earliest = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a", "b", "first")
     earliest = written(earliest, "earliest")
-    losing = windows.join(earliest, "w").where("doc_id > first").groupBy("doc_id").agg(F.collect_list("w").alias("later"))
+    later = windows.join(earliest, ["a", "b"]).where("doc_id > first").groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("later"))
+    whole = copies.select("doc_id", "text_key", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts"))
+    parts = located.where("size(gone) > 0").select("doc_id", "text_key", "gone").join(later, ["doc_id", "text_key"], "full")
+    none = F.array().cast("array<int>")
+    parts = parts.select("doc_id", "text_key", F.lit(False).alias("whole"), F.concat(F.coalesce("gone", none), F.coalesce("later", none)).alias("starts"))
+    lost = written(parts.unionByName(whole), "lost")
+    discard(located, earliest, copies)
+    return lost
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
+
+def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """The rows with n_words, n_removed, kept_sha256 (of the kept words, joined by a space) and kept, these words; kept is
+    null where n_removed is 0. The four replace columns of these names."""
+    small_batches(documents.sparkSession)
+    lost = lost_windows(documents, doc_id, text, window, phrase).toDF("_lost_id", "_lost_key", "_whole", "_starts")
+    rows = documents.select(*others(documents, "n_words", "n_removed", "kept_sha256", "kept"), whole_text(text).alias("_text"))
+    columns = rows.columns[:-1]
+    joined = rows.join(lost, (F.col(f"`{doc_id}`").cast("long") == F.col("_lost_id")) & (F.xxhash64("_text") == F.col("_lost_key")), "left")
+    joined = joined.select(*(F.col(f"`{c}`") for c in columns), "_text", "_whole", "_starts")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, text, later in zip(batch["doc_id"], batch["text"], batch["later"], strict=True):
-                words = text.encode().split()
-                grams = gram_hashes(known.of(words), window)
-                own = np.ones(len(grams), bool)
-                own[np.unique(grams, return_index=True)[1]] = False
-                gone = own if later is None else own | np.isin(grams, np.asarray(later).view(np.uint64))
-                change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, np.flatnonzero(gone), 1)
-                np.add.at(change, np.flatnonzero(gone) + window, -1)
-                keep = np.cumsum(change[:-1]) == 0
-                kept = words if keep.all() else [words[k] for k in np.flatnonzero(keep).tolist()]
-                out.append((i, len(words), len(words) - len(kept), sha256(kept), None if len(kept) == len(words) else b" ".join(kept).decode()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    cleaned = confirmed.select("doc_id", "text").join(losing, "doc_id", "left").mapInPandas(cut, schema)
-    whole = surveyed.select("doc_id", "n_words", "sha").join(confirmed.select("doc_id").distinct(), "doc_id", "left_anti")
-    whole = whole.join(copies.select("doc_id", F.lit(True).alias("copy")).distinct(), "doc_id", "left")
-    gone = F.col("copy") & (F.col("n_words") >= window)
-    untouched = whole.select(
-        "doc_id",
-        "n_words",
-        F.when(gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
-        F.when(gone, F.lit(sha256([]))).otherwise(F.col("sha")).alias("kept_sha256"),
-        F.when(gone, F.lit("")).alias("kept"),
-    )
-    return cleaned.unionByName(untouched)
+            sizes, removed, digests, texts = [], [], [], []
+            for value, whole, starts in zip(batch.column("_text"), batch.column("_whole").to_pylist(), batch.column("_starts"), strict=True):
+                words = value.as_py().encode().split()
+                kept = [] if whole else words
+                if starts.is_valid and not whole:
+                    change = np.zeros(len(words) + 1, np.int64)
+                    gone = np.unique(starts.values.to_numpy())
+                    change[gone] += 1
+                    change[gone + window] -= 1
+                    kept = [words[k] for k in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
+                sizes.append(len(words))
+                removed.append(len(words) - len(kept))
+                digests.append(sha256(kept))
+                texts.append(b" ".join(kept).decode() if removed[-1] else None)
+            out = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *out], [*columns, "n_words", "n_removed", "kept_sha256", "kept"])
+
+    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept", StringType())]
+    return joined.mapInArrow(cut, StructType([*joined.select(*(F.col(f"`{c}`") for c in columns)).schema.fields, *added]))

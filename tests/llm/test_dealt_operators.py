@@ -73,10 +73,58 @@ def test_substring_dedup_of_odd_rows(spark, empty):
     assert found == [(0, 0), (1, 0), (1, 0), (2, 60)]
 
 
-def test_automaton_finds_every_place():
-    text = [b"a", b"b", b"a", b"b", b"a", b"bb", b"a", b"b"]
-    places = list(substring_dedup._located([(text, np.array([0])), ([b"b", b"a", b"b"], np.array([], int))], 2))
-    assert [p.tolist() for p in places] == [[0, 2, 6], [1]]
+def removed_by_brute_force(rows, window=20):
+    """n_removed of each (doc_id, text): by every window that starts in a smaller doc_id, or earlier in the same text."""
+    first = {}
+    for i, text in rows:
+        own = words(text)
+        for s in range(len(own) - window + 1):
+            key = tuple(own[s : s + window])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, text in rows:
+        own, seen, gone = words(text), set(), set()
+        for s in range(len(own) - window + 1):
+            key = tuple(own[s : s + window])
+            if first[key] < i or key in seen:
+                gone.update(range(s, s + window))
+            seen.add(key)
+        out.append((i, text, len(gone)))
+    return sorted(out)
+
+
+def test_substring_dedup_keeps_rows_that_share_an_id(spark):
+    a, b = prose("a", 60), prose("b", 60)
+    rows = [(1, a), (5, a), (5, b), (7, f"x {a}"), (7, "short one"), (9, b), (9, b), (9, b.replace(" ", "  ", 1)), (12, f"{b} {b}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in substring_dedup.remove_repeats(frame).collect())
+    assert found == removed_by_brute_force(rows)
+    assert (5, b, 0) in found and (7, "short one", 0) in found and (9, b, 60) in found
+
+
+def test_substring_dedup_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 400)
+    monkeypatch.setattr(substring_dedup, "AUTOMATON", 7)
+    draw = random.Random(4)
+    passages = [prose(f"p{k}", draw.randint(15, 70)) for k in range(12)]
+    rows = [(draw.randrange(60), " ".join([prose(f"{n}x", draw.randint(0, 40)), *draw.sample(passages, 2), prose(f"{n}y", draw.randint(0, 40))])) for n in range(60)]
+    frame = spark.createDataFrame([(*r, "n", "k") for r in rows], "doc_id long, text string, kept string, n_words string")
+    found = sorted((r["doc_id"], r["text"], r["n_removed"]) for r in substring_dedup.remove_repeats(frame).collect())
+    assert found == removed_by_brute_force(rows) and sum(r[2] for r in found) > 2000
+
+
+def test_without_automata_nothing_is_found(spark, monkeypatch):
+    rows = [(1, SHARED), (2, f"x {SHARED}")]
+    shard = [(i, i, words(t)) for i, t in rows]
+    assert len(substring_dedup.settle(shard, set(), substring_dedup.WordHashes())[1][0]) == 41
+    monkeypatch.setattr(substring_dedup, "occurrences", lambda phrases, documents: [(np.empty(0, np.int64), np.empty(0, bool)) for _ in documents])
+    assert len(substring_dedup.settle(shard, set(), substring_dedup.WordHashes())[1][0]) == 0
+
+
+def test_automata_find_every_place():
+    texts = [[b"a", b"b", b"a", b"b", b"a", b"bb", b"a", b"b"], [b"b", b"a", b"b"]]
+    found = substring_dedup.occurrences([(b"a b", True), (b"b a", False)], texts, most=1)
+    assert [sorted(zip(p.tolist(), m.tolist())) for p, m in found] == [[(0, True), (1, False), (2, True), (3, False), (6, True)], [(0, False), (1, True)]]
 
 
 def test_lm_counts_and_base(docs, empty):
@@ -372,14 +420,37 @@ def _by_bits(frame, member):
     return groups.values()
 
 
-def test_gray_index_equals_all_pairs():
-    draw = np.random.default_rng(3)
+def family(seed=3):
+    draw = np.random.default_rng(seed)
     base = draw.integers(0, 1 << 63, 40, dtype=np.uint64)
     values = np.unique(np.concatenate([base ^ (np.uint64(1) << draw.integers(0, 63, 40).astype(np.uint64)) for _ in range(20)]))
-    values = values[np.argsort(simhash.gray_rank(values))]
-    found = {(int(a), int(b)) for x, y in simhash.near_pairs(values, 2) for a, b in zip(x, y, strict=True)}
-    pairs = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if bin(int(values[i] ^ values[j])).count("1") <= 2}
-    assert found == pairs
+    return values[np.argsort(simhash.gray_rank(values))]
+
+
+def test_gray_index_finds_all_pairs():
+    values = family()
+    levels = simhash.index_levels(values)
+    none = [np.full(len(fixed), -1) for fixed, _ in levels]
+    found = {(int(i), int(j)) for a, b in simhash.node_pairs(levels, 2, none) for x, y in [simhash.near_pairs(values, a, b, 2)] for i, j in zip(x, y, strict=True)}
+    assert found == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if bin(int(values[i] ^ values[j])).count("1") <= 2}
+
+
+def test_links_of_a_shard_are_a_forest():
+    hub = np.uint64(0x0123456789ABCDEF)
+    star = np.unique([hub ^ np.uint64(1 << i) ^ np.uint64(1 << j) for i in range(40) for j in range(i)])
+    for values in (family(), star[np.argsort(simhash.gray_rank(star))], hub + np.arange(5, dtype=np.uint64), np.array([hub])):
+        for distance in (2, 4):
+            left, right = simhash.spanning_links(values, distance)
+            assert len(left) < len(values) and all(bin(int(values[i] ^ values[j])).count("1") <= distance for i, j in zip(left, right, strict=True))
+            above = list(range(len(values)))
+            for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                a, b = above[i], above[j]
+                assert a != b
+                above = [a if x == b else x for x in above]
+            groups = defaultdict(list)
+            for i, x in enumerate(above):
+                groups[x].append(i)
+            assert sorted(groups.values()) == classes([int(v) for v in values], distance)
 
 
 def test_simhash_of_odd_rows(spark, empty):
