@@ -1,195 +1,156 @@
-"""License scans: ordered signature rules over normalised words, with a keyword prefilter.
+"""License scans: ordered signature rules over normalised words, behind a keyword prefilter.
 
 A text is lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters. A rule is a label, a
-keyword, a regular expression over the words joined by spaces, and a priority. Only texts that contain a keyword of
-some rule meet regular expressions, and only those of the keywords they contain. Detections are swept in order of
-their start: one that lies inside another of the same or a higher priority is suppressed. Base phrases are exempt.
+keyword of one or two words, a regular expression over the words from the keyword on (REACH words at most), and a
+priority. Texts without the keyword of any rule go no further; in the others each rule is tried where its keyword stands.
+What a rule finds is an interval of words. It is suppressed if it lies inside an interval of the same or a higher
+priority; of the same interval, the higher priority and then the earlier rule stays. Base phrases are exempt.
 
-The whole scan is one projection over each row: no shuffle, no key, so one row in gives one row out, whatever its id.
-A null text counts as empty: no words, no labels, score 0.
+An interval has REACH words at most, so what could contain it starts at most so many words before it: each keyword looks
+back over the keywords of these words, and a text costs as much as it has words and keywords, however many repeat.
+
+The whole scan is one projection over each row in DataFrame functions: no shuffle, no key, so one row in gives one row
+out, whatever its id; repeated rows are scanned each, and an empty table gives an empty one. A null text counts as
+empty: no words, no labels, score 0. The added columns replace input columns of the same names.
 """
 
 from __future__ import annotations
 
-from itertools import product
+from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, whole_text
+from .common import lower_ascii, others, whole_text
+from .license_rules import EXACT, FAMILY, KEYWORD, NOTICE, rules
 
 #: Phrases that every scan counts, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Priorities: a notice names no license, a family names one, an exact rule names its version or variant too.
-NOTICE, FAMILY, EXACT = 1, 2, 3
 CONFIDENCE = {NOTICE: 0.4, FAMILY: 0.7, EXACT: 0.95}
 NOT_WORDS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Words from a keyword on that an expression may take.
+REACH = 32
+OUTPUT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "detections", "score")
 
 
-def _versioned(label: str, keyword: str, names: list[str], versions: list[str]) -> list[tuple[str, str, str, int]]:
-    """A family rule for each name, and exact rules for each of its versions: plain, "or later", and as an SPDX id."""
-    rules = []
-    for name in names:
-        rules.append((label, keyword, name, FAMILY))
-        for version in versions:
-            number = version.replace(".", " ")
-            shown = number if not number.endswith(" 0") else f"{number[:-2]}(?: 0)?"
-            link = "(?: license| licence)?(?: v| version| ver)? ?"
-            rules.append((f"{label}-{version}", keyword, f"{name}{link}{shown}", EXACT))
-            rules.append((f"{label}-{version}-or-later", keyword, f"{name}{link}{shown} or (?:at your option )?(?:any )?later", EXACT))
-    return rules
-
-
-def rules() -> list[tuple[str, str, str, int]]:
-    """(label, keyword, expression over words, priority) of every rule, in order; some hundreds."""
-    found = []
-    for short, long in (("gpl", "general public"), ("lgpl", "lesser general public"), ("agpl", "affero general public"), ("fdl", "free documentation")):
-        versions = {"gpl": ["1.0", "2.0", "3.0"], "lgpl": ["2.0", "2.1", "3.0"], "agpl": ["1.0", "3.0"], "fdl": ["1.1", "1.2", "1.3"]}[short]
-        found += _versioned(short, "public" if short != "fdl" else "documentation", [f"(?:gnu )?{long} licen[cs]e"], versions)
-        found += _versioned(short, short, [f"(?:gnu )?{short}"], versions)
-    for label, names, versions in (
-        ("apache", ["apache(?: software)?"], ["1.0", "1.1", "2.0"]),
-        ("mpl", ["mozilla public", "mpl"], ["1.0", "1.1", "2.0"]),
-        ("epl", ["eclipse public", "epl"], ["1.0", "2.0"]),
-        ("cddl", ["common development and distribution", "cddl"], ["1.0", "1.1"]),
-        ("eupl", ["european union public", "eupl"], ["1.0", "1.1", "1.2"]),
-        ("artistic", ["artistic"], ["1.0", "2.0"]),
-        ("osl", ["open software", "osl"], ["1.0", "2.0", "2.1", "3.0"]),
-        ("afl", ["academic free", "afl"], ["1.1", "1.2", "2.0", "2.1", "3.0"]),
-        ("boost", ["boost software", "bsl"], ["1.0"]),
-        ("ofl", ["open font", "ofl"], ["1.0", "1.1"]),
-        ("cecill", ["cecill"], ["1.0", "1.1", "2.0", "2.1"]),
-        ("odc", ["open data commons", "odc by", "odbl"], ["1.0"]),
-        ("zpl", ["zope public", "zpl"], ["1.1", "2.0", "2.1"]),
-        ("lppl", ["latex project public", "lppl"], ["1.0", "1.1", "1.2", "1.3"]),
-        ("openssl", ["openssl"], ["1.0"]),
-        ("php", ["php licen[cs]e"], ["3.0", "3.01"]),
-        ("python", ["python software foundation", "psf"], ["2.0"]),
-    ):
-        for name in names:
-            keyword = name.split()[0].split("(")[0]
-            found += _versioned(label, keyword, [name], versions)
-    for variant, version in product(("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"), ("", "1.0", "2.0", "2.5", "3.0", "4.0")):
-        tag = "-".join(["cc", *variant.split(), *([version] if version else [])])
-        tail = f" {version.replace('.', ' ')}" if version else ""
-        long = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?"}
-        spelt = " ".join(long[x] for x in variant.split())
-        found.append((tag, "cc", f"cc {variant}{tail}", EXACT if version or variant != "by" else FAMILY))
-        found.append((tag, "creative", f"creative commons {spelt}{tail}", EXACT if version or variant != "by" else FAMILY))
-    for clauses in ("0", "1", "2", "3", "4"):
-        found.append((f"bsd-{clauses}", "bsd", f"bsd {clauses} clause", EXACT))
-        found.append((f"bsd-{clauses}", "bsd", f"{clauses} clause bsd", EXACT))
-    for label, keyword, expression in (
-        ("mit", "mit", "(?:the )?mit licen[cs]e"), ("mit", "mit", "licen[cs]ed? under (?:the )?mit"), ("mit", "spdx", "spdx license identifier mit"),
-        ("bsd", "bsd", "bsd(?: style)? licen[cs]e"), ("isc", "isc", "isc licen[cs]e"), ("zlib", "zlib", "zlib(?: libpng)? licen[cs]e"),
-        ("unlicense", "unlicense", "(?:the )?unlicense"), ("wtfpl", "wtfpl", "wtfpl"), ("cc0", "cc0", "cc0(?: 1 0)?"), ("public-domain", "public", "public domain"),
-        ("ms-pl", "microsoft", "microsoft public licen[cs]e"), ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e"), ("beerware", "beer", "beer ?ware"),
-    ):
-        found.append((label, keyword, expression, FAMILY))
-    for label, keyword, expression in (
-        ("reserved", "rights", "all rights reserved"), ("licensed", "licensed", "licensed under"), ("licensed", "released", "released under"),
-        ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"), ("permission", "permission", "permission is hereby granted"), ("warranty", "warranty", "without warranty of any kind"),
-    ):
-        found.append((label, keyword, expression, NOTICE))
-    return found
-
-
-def _literal(rows: list[tuple[str, str, str, int]]) -> Column:
-    fields = ("label", "keyword", "expression", "priority")
-    return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(fields, row, strict=True))) for row in rows))
-
-
-def _starts(norm: Column, phrase: str) -> Column:
-    """Character offsets at which a phrase's words stand consecutively; norm has a space before and after each word."""
-    pieces = F.split(norm, f" {phrase}(?= )", -1)
-    gap = len(phrase) + 1
-    total = F.transform(pieces, lambda p: F.length(p))
-    return F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda n: F.aggregate(F.slice(total, 1, n), F.lit(0), lambda a, x: a + x) + (n - 1) * gap)
-
-
-def _labelled(starts: Column, label: str) -> Column:
-    return F.transform(starts, lambda at: F.struct(at.alias("at"), F.lit(label).alias("label")))
-
-
-def _spans(norm: Column, rule: Column) -> Column:
-    """Every detection of a rule, as (start, -end, -priority, label) by characters, so that they sort as the sweep needs them."""
-    pieces = F.split(norm, rule["expression"], -1)
-    hits = F.regexp_extract_all(norm, rule["expression"], F.lit(0))
-    empty = F.lit([]).cast("array<struct<start:int,back:int,rank:int,label:string>>")
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.size(hits)),
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda acc, n: F.struct(
-            (acc["at"] + F.length(F.get(pieces, n - 1)) + F.length(F.get(hits, n - 1))).alias("at"),
-            F.array_append(
-                acc["spans"],
-                F.struct(
-                    (acc["at"] + F.length(F.get(pieces, n - 1))).alias("start"),
-                    (-(acc["at"] + F.length(F.get(pieces, n - 1)) + F.length(F.get(hits, n - 1)))).alias("back"),
-                    (-rule["priority"]).alias("rank"),
-                    rule["label"].alias("label"),
-                ),
-            ).alias("spans"),
-        ),
-    )
-    return step["spans"]
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def any_of(keywords: list[str]) -> str:
+    """An expression for any of the keywords, with their common beginnings shared."""
+    by_first = defaultdict(list)
+    for keyword in sorted(set(keywords)):
+        by_first[keyword[:1]].append(keyword[1:])
+    # A keyword ends before a space.
+    parts = ["(?= )" if first == "" else first + any_of(rest) for first, rest in by_first.items()]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _by_keyword(every: list[tuple[str, str, str, int]]) -> Column:
+    """A map from a keyword to its rules, as one literal."""
+    grouped = defaultdict(list)
+    for order, (label, keyword, expression, priority) in enumerate(every):
+        grouped[keyword].append(f"named_struct('expression', {_text(f'^(?:{expression})(?= |$)')}, 'rank', {priority}, 'order', {order}, 'label', {_text(label)})")
+    return F.expr(f"map({', '.join(f'{_text(keyword)}, array({', '.join(own)})' for keyword, own in grouped.items())})")
+
+
+def _found(words: Column, at: Column, table: Column) -> Column:
+    """at, and spans: what the rules of the keywords at this word find, with the word behind each end."""
+    word = F.get(words, at)
+    pair = F.concat(word, F.lit(" "), F.get(words, at + 1))
+    none = F.filter(F.array(F.struct(F.lit("").alias("expression"), F.lit(0).alias("rank"), F.lit(0).alias("order"), F.lit("").alias("label"))), lambda r: F.lit(False))
+    own = F.concat(F.coalesce(F.try_element_at(table, pair), none), F.coalesce(F.try_element_at(table, word), none))
+
+    def tried(text: Column) -> Column:
+        hits = F.transform(own, lambda r: F.struct(F.regexp_substr(text, r["expression"]).alias("hit"), r["rank"].alias("rank"), r["order"].alias("order"), r["label"].alias("label")))
+        size = lambda hit: F.length(hit) - F.length(F.replace(hit, F.lit(" "))) + 1
+        return F.transform(F.filter(hits, lambda h: h["hit"].isNotNull()), lambda h: F.struct((at + size(h["hit"])).alias("end"), h["rank"].alias("rank"), h["order"].alias("order"), h["label"].alias("label")))
 
+    return F.struct(at.alias("at"), let(F.array_join(F.slice(words, at + 1, REACH), " "), tried).alias("spans"))
 
-def _swept(spans: Column) -> Column:
-    """Spans that no earlier span of the same or a higher priority contains; one pass over the sorted spans."""
-    reach = {p: f"reach{p}" for p in (NOTICE, FAMILY, EXACT)}
-    empty = F.lit([]).cast("array<struct<start:int,back:int,rank:int,label:string>>")
 
-    def step(acc: Column, s: Column) -> Column:
-        covered = F.greatest(*(F.when(-s["rank"] <= p, acc[name]).otherwise(F.lit(-1)) for p, name in reach.items()))
-        return F.struct(
-            *(F.when(-s["rank"] == p, F.greatest(acc[name], -s["back"])).otherwise(acc[name]).alias(name) for p, name in reach.items()),
-            F.when(-s["back"] > covered, F.array_append(acc["kept"], s)).otherwise(acc["kept"]).alias("kept"),
-        )
+def _unsuppressed(found: Column) -> Column:
+    """The spans, with the word where they start, that no other contains at the same or a higher priority."""
 
-    return F.aggregate(F.array_sort(spans), F.struct(*(F.lit(-1).alias(name) for name in reach.values()), empty.alias("kept")), step)["kept"]
+    def kept(own: Column, n: Column) -> Column:
+        back = F.slice(found, F.greatest(n - REACH + 2, F.lit(1)), F.least(n, F.lit(REACH - 1)))
+
+        def stays(s: Column) -> Column:
+            inside = F.exists(back, lambda b: F.exists(b["spans"], lambda t: (t["end"] >= s["end"]) & (t["rank"] >= s["rank"])))
+            beside = F.exists(
+                own["spans"],
+                lambda t: ((t["end"] > s["end"]) & (t["rank"] >= s["rank"])) | ((t["end"] == s["end"]) & ((t["rank"] > s["rank"]) | ((t["rank"] == s["rank"]) & (t["order"] < s["order"])))),
+            )
+            return ~inside & ~beside
+
+        return F.transform(F.filter(own["spans"], stays), lambda s: F.struct(own["at"].alias("word"), s["end"].alias("end"), s["label"].alias("label"), s["rank"].alias("rank")))
+
+    return F.flatten(F.transform(found, kept))
+
+
+def _scanned(words: Column, every: list[tuple[str, str, str, int]]) -> Column:
+    """base (word, label) and kept (word, end, label, rank) of a text by its words."""
+    table = _by_keyword(every)
+    known = [F.lit(sorted({r[1] for r in every if (" " in r[1]) == two})) for two in (False, True)]
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(known[0], F.get(words, i)) | F.array_contains(known[1], F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1))))
+
+    def placed(phrase: str, label: str, at: Column) -> Column:
+        """Where the phrase's words stand consecutively, of the places at which a keyword does."""
+
+        def stands(i: Column) -> Column:
+            together = F.lit(True)
+            for k, word in enumerate(phrase.split()):
+                together &= F.get(words, i + k) == word
+            return F.coalesce(together, F.lit(False))
+
+        return F.transform(F.filter(at, stands), lambda i: F.struct(i.alias("word"), F.lit(label).alias("label")))
+
+    def both(at: Column) -> Column:
+        base = [placed(phrase, label, at) for phrase, label in BASE.items()]
+        found = F.filter(F.transform(at, lambda i: _found(words, i, table)), lambda f: F.size(f["spans"]) > 0)
+        return F.struct(F.concat(*base).alias("base"), let(found, _unsuppressed).alias("kept"))
+
+    return let(places, both)
 
 
 def scan(documents: DataFrame, text: str = "text", more: list[tuple[str, str, str, int]] | None = None) -> DataFrame:
     """The rows with n_words, n_base, first_word, last_word, base_labels, labels, detections and score.
 
-    more: further rules, after the built-in ones. detections: (first word, label) of what was not suppressed.
+    more: further rules, after the built-in ones: label, keyword (the expression's first one or two words), expression,
+    priority. detections: (word, end, label) of what was not suppressed.
     """
-    every = [(label, keyword, f" (?:{expression})(?= )", priority) for label, keyword, expression, priority in [*rules(), *(more or [])]]
-    keywords = sorted({rule[1] for rule in every} | {"cc", "public", "rights"})  # the last three: of the base phrases
-    frame = documents.withColumn("_norm", F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(whole_text(text)), NOT_WORDS, " ")), F.lit(" ")))
+    every = [*rules(), *(more or [])]
+    gate = " " + any_of([rule[1] for rule in every] + [KEYWORD.match(phrase)[0] for phrase in BASE])
+    columns = others(documents, *OUTPUT)
+    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(whole_text(text)), NOT_WORDS, " ")), F.lit(" "))
+    frame = documents.select(*columns, norm.alias("_norm"))
     norm = F.col("_norm")
-    blank = norm == "  "
-    # The prefilter: texts without any rule's keyword go no further.
-    gate = norm.rlike(" (?:" + "|".join(keywords) + ")")
-    frame = frame.withColumns({"n_words": F.when(blank, F.lit(0)).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "))) - 1).cast("long"), "_gate": gate})
-    gated = F.col("_gate")
-    nothing = F.lit([]).cast("array<struct<at:int,label:string>>")
-    places = [_labelled(_starts(norm, phrase), label) for phrase, label in BASE.items()]
-    places = [F.when(F.contains(norm, F.lit(f" {phrase} ")), place).otherwise(nothing) for phrase, place in zip(BASE, places, strict=True)]
-    named = F.filter(_literal(every), lambda r: F.contains(norm, r["keyword"]))
-    met = F.filter(named, lambda r: F.regexp_like(norm, r["expression"]))
-    spans = F.flatten(F.transform(met, lambda r: _spans(norm, r)))
-    frame = frame.withColumns({"_base": F.when(gated, F.concat(*places)), "_kept": F.when(gated, _swept(spans))})
-
-    def word(at: Column) -> Column:
-        """The number of the word that starts after the space at this offset."""
-        before = F.substring(norm, F.lit(1), at + 1)
-        return (F.length(before) - F.length(F.replace(before, F.lit(" "))) - 1).cast("long")
-
-    base, kept = F.col("_base"), F.col("_kept")
-    labels = F.array_sort(F.array_distinct(F.concat(F.transform(base, lambda x: x["label"]), F.transform(kept, lambda x: x["label"]))))
-    rank = F.array_max(F.transform(kept, lambda x: -x["rank"]))
-    score = F.when(rank == EXACT, CONFIDENCE[EXACT]).when(rank == FAMILY, CONFIDENCE[FAMILY]).when(rank == NOTICE, CONFIDENCE[NOTICE]).otherwise(0.0)
-    return frame.withColumns(
-        {
-            "n_base": F.when(gated, F.size(base)).otherwise(0).cast("long"),
-            "first_word": word(F.array_min(F.transform(base, lambda x: x["at"]))),
-            "last_word": word(F.array_max(F.transform(base, lambda x: x["at"]))),
-            "base_labels": F.when(gated, F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda x: x["label"]))), ",")).otherwise(""),
-            "labels": F.when(gated, F.array_join(labels, ",")).otherwise(""),
-            "detections": F.when(gated, F.transform(kept, lambda x: F.struct(word(x["start"]).alias("word"), x["label"].alias("label")))),
-            "score": score,
-        }
-    ).drop("_norm", "_gate", "_base", "_kept")
+    n_words = F.when(norm == "  ", F.lit(0)).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "))) - 1).cast("long")
+    found = F.when(norm.rlike(gate), let(F.split(F.trim(norm), " "), lambda words: _scanned(words, every)))
+    frame = frame.select(*columns, n_words.alias("n_words"), found.alias("_found"))
+    base, kept = F.col("_found.base"), F.col("_found.kept")
+    starts, names = F.transform(base, lambda x: x["word"].cast("long")), F.transform(base, lambda x: x["label"])
+    joined = lambda labels: F.coalesce(F.array_join(F.array_sort(F.array_distinct(labels)), ","), F.lit(""))
+    rank = F.array_max(F.transform(kept, lambda x: x["rank"]))
+    score = F.lit(0.0)
+    for priority, confidence in CONFIDENCE.items():
+        score = F.when(rank == priority, confidence).otherwise(score)
+    return frame.select(
+        *columns,
+        "n_words",
+        F.coalesce(F.size(F.when(base.isNotNull(), base)), F.lit(0)).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(names).alias("base_labels"),
+        joined(F.concat(names, F.transform(kept, lambda x: x["label"]))).alias("labels"),
+        F.transform(kept, lambda x: F.struct(x["word"].alias("word"), x["end"].alias("end"), x["label"].alias("label"))).alias("detections"),
+        score.alias("score"),
+    )
