@@ -65,14 +65,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .fingerprint import as_text, likeness, signatures, with_edited, with_next
-
-    key = ["part", "doc_id", "nth"]
-    rows = with_edited(table(spark, sf_dir, "documents"))
-    signed = signatures(rows, key, {"own": "text", "changed": "edited"})
-    facts = rows.select(*key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    out = with_next(facts.join(signed, key), ["own"], ["doc_id", "nth"])
-    return out.select(
+    from .fingerprint import as_text, fingerprints, likeness
+
+    return fingerprints(table(spark, sf_dir, "documents")).select(
         "doc_id",
         "n_chars",
         "edited_sha256",

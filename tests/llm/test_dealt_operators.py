@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import byte_bpe, decontaminate, fingerprint, license_scan, lm_scoring, quality, simhash, substring_dedup, toxicity, url_filter
 from scriptorium.llm.common import ASCII_LOWER, remainder
+from scriptorium.llm.queries import op8_fingerprint
 
 WORDS = ["ana", "Ben", "čar", "dob", "ena", "fin", "gol", "hit", "iva", "jug"]
 
@@ -225,8 +227,51 @@ def test_license_base_counts(spark):
     assert found[9]["labels"] == "" and found[9]["score"] == 0
 
 
+def scanned(text, every):
+    """(n_words, base places, detections, labels, score) by trying every rule at every word."""
+    low = (text or "").encode().translate(ASCII_LOWER).decode()
+    own = [w for w in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", low) if w]
+    base = [(s, label) for phrase, label in license_scan.BASE.items() for s in range(len(own)) if own[s : s + len(phrase.split())] == phrase.split()]
+    spans = []
+    for i in range(len(own)):
+        ahead = " ".join(own[i : i + license_scan.REACH])
+        for order, (label, keyword, expression, rank) in enumerate(every):
+            if (ahead + " ").startswith(keyword + " ") and (hit := re.match(f"(?:{expression})(?= |$)", ahead)):
+                spans.append((i, i + len(hit[0].split()), rank, -order, label))
+    kept = [s for s in spans if not any(t != s and t[0] <= s[0] and t[1] >= s[1] and t[2] >= s[2] and (t[:2] != s[:2] or t[2:4] > s[2:4]) for t in spans)]
+    labels = sorted({label for _, label in base} | {s[4] for s in kept})
+    return len(own), sorted(base), sorted((s[0], s[1], s[4]) for s in kept), labels, max([license_scan.CONFIDENCE[s[2]] for s in kept], default=0.0)
+
+
+def test_license_scan_equals_brute_force(spark):
+    """Every rule's own words, alone and run together, in random order, cut short, repeated; nulls, empties, clashing columns."""
+    draw = random.Random(9)
+    every = license_scan.rules()
+    plain = [re.sub(r"\[a-z0-9 \]\{1,60\}", "acme", re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", e)).replace("[a-z0-9 ]{1,60}", "acme").replace("[cs]", "c").replace("[0-9]{2}", "07").replace(" ?", " ").replace("?", "").replace("(?:", "").replace(")", "") for _, _, e, _ in every]
+    texts = [*LICENSES, *plain, "cc by " * 300, "all rights reserved " * 70, "word " * 2000, "x" * 50_000]
+    for _ in range(120):
+        some = draw.sample(plain, 4)
+        words_ = " and ".join(some).split() if draw.random() < 0.5 else " ".join(some).split()
+        cut = draw.randrange(len(words_))
+        texts.append(", ".join(words_[cut:] + words_[:cut]).upper())
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("labels", F.lit("old")).repartition(4)
+    found = license_scan.scan(frame).collect()
+    assert len(found) == len(texts)
+    for row in found:
+        n_words, base, detections, labels, score = scanned(texts[row["doc_id"]], every)
+        starts = [s for s, _ in base]
+        assert (row["n_words"], row["n_base"], row["first_word"], row["last_word"]) == (n_words, len(base), min(starts, default=None), max(starts, default=None))
+        assert sorted((d["word"], d["end"], d["label"]) for d in row["detections"] or []) == detections, texts[row["doc_id"]]
+        assert (row["labels"], row["score"], row["base_labels"]) == (",".join(labels), score, ",".join(sorted({x for _, x in base})))
+    alone = {i: scanned(t, every)[3] for i, t in enumerate(plain)}
+    assert sum(every[i][0] in labels for i, labels in alone.items()) > 0.9 * len(every)
+    assert license_scan.scan(frame.limit(0)).count() == 0
+
+
 def test_license_rules_are_many():
-    assert len(license_scan.rules()) > 200
+    every = license_scan.rules()
+    assert len(every) > 300 and len({e for _, _, e, _ in every}) == len(every)
+    assert max(e.count(" ") for _, _, e, _ in every) < license_scan.REACH
 
 
 def test_decontamination_finds_edited_items(spark, docs):
@@ -331,19 +376,58 @@ def test_fingerprints(spark, docs, empty):
     for i, after in zip(ids, [*ids[1:], ids[0]], strict=True):
         half = len(text[i]) // 2
         assert rows[(i, 1)]["edited"] == text[i][: len(text[i]) - half] + text[after][:half]
-    key = ["part", "doc_id", "nth"]
-    signed = {r["doc_id"]: r["own"] for r in fingerprint.signatures(fingerprint.with_edited(docs), key, {"own": "text"}).collect()}
-    assert signed[0] == signed[15] and signed[6] == signed[9] and signed[21] == signed[24] and signed[0] != signed[3]
-    assert fingerprint.with_edited(empty).count() == 0
+    assert fingerprint.with_edited(empty).count() == 0 and fingerprint.fingerprints(empty).count() == 0
+
+
+def jaccard_of_bags(a, b):
+    a, b = (Counter(fingerprint_words(t)) for t in (a, b))
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def fingerprint_words(text):
+    return re.split(f"[{' '}\t\n\x0b\x0c\r]+", text.strip(" \t\n\x0b\x0c\r"))
+
+
+def test_fingerprint_query_equals_brute_force(spark, tmp_path):
+    """All columns; likeness against the exact generalised Jaccard similarity, within the error of 64 samples."""
+    rows = [*((i * i * 7 - 40, t) for i, t in enumerate(TEXTS)), (10**15, TEXTS[1]), (None, "no id"), (None, None), (3, "same id"), (3, "id, same")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op8_fingerprint(spark, str(tmp_path)).collect()
+    placed = sorted(((i, t or "") for i, t in rows if i is not None))
+    errors = []
+    for (i, text), (_, after) in zip(placed, [*placed[1:], placed[0]], strict=True):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        digest = hashlib.sha256(edited.encode()).hexdigest()
+        (row,) = [r for r in found if (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (i, len(text), digest) and not found.remove(r)][:1] or [None]
+        errors += [row["near_edited"] - jaccard_of_bags(text, edited), row["near_next"] - jaccard_of_bags(text, after)]
+        assert len(row["fingerprint"]) == 8 * fingerprint.SAMPLES
+    assert np.abs(errors).max() < 0.25 and np.abs(errors).mean() < 0.05
+    assert sorted(r["n_chars"] for r in found) == [0, 5]
+    assert all(r["fingerprint"] and r["edited_sha256"] is r["edited_fingerprint"] is r["near_edited"] is r["near_next"] is None for r in found)
+
+
+def test_equal_texts_have_equal_fingerprints(spark):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a", "a a b", "", None, "a b", "a b a"])], "doc_id long, text string")
+    found = {r["doc_id"]: r["own"] for r in fingerprint.fingerprints(frame).collect()}
+    assert found[0] == found[1] == found[5] != found[4] and found[2] == found[3]
+
+
+def test_ranges_hold_as_many_rows_each(spark):
+    frame = spark.createDataFrame([(i,) for i in [*range(1000), 10**15, -5]], "doc_id long")
+    ranged, parts = fingerprint.in_ranges(frame)
+    sizes = {r["part"]: r["count"] for r in ranged.groupBy("part").count().collect()}
+    assert max(sizes.values()) < 2 * 1002 / parts and ranged.agg(F.corr("part", F.least("doc_id", F.lit(1001)))).first()[0] > 0.99
 
 
-def test_collisions_estimate_generalised_jaccard(spark):
+@pytest.mark.parametrize("samples", [20, 256])
+def test_collisions_estimate_generalised_jaccard(spark, samples):
     a, b = Counter({f"w{i}": 1 + i % 4 for i in range(40)}), Counter({f"w{i}": 1 + i % 3 for i in range(12, 50)})
     exact = sum((a & b).values()) / sum((a | b).values())
     texts = [(0, 1, i, " ".join(c.elements())) for i, c in enumerate((a, b))]
     frame = spark.createDataFrame(texts, "part int, doc_id long, nth int, text string")
-    own, other = (r["own"] for r in fingerprint.signatures(frame, ["part", "doc_id", "nth"], {"own": "text"}, samples=256).orderBy("nth").collect())
-    assert abs(np.mean([x == y for x, y in zip(own, other, strict=True)]) - exact) < 0.1
+    own, other = (r["own"] for r in fingerprint.signatures(frame, ["part", "doc_id", "nth"], {"own": "text"}, samples=samples).orderBy("nth").collect())
+    assert len(own) == samples and abs(np.mean([x == y for x, y in zip(own, other, strict=True)]) - exact) < 1.6 / samples**0.5
 
 
 def test_byte_bpe_equals_tiktoken(spark, docs):
