@@ -1,8 +1,8 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words (lower case) and their first four and five letters. Of the learned rows a bounded sample, EXAMPLES of
-each label at most and the smallest hashes of their ids, gives the examples. Terms that toxic examples have significantly
-more often make the vocabulary (TERMS at most); all other words of a text together are one more term, so that a single
+each label at most and the smallest hashes of their ids, gives the examples. All terms that toxic examples have
+significantly more often make the vocabulary; all other words of a text together are one more term, so that a single
 hit in a long text weighs little. A vector has (1 + ln(count)) * ln(1 + rows / rows with the term), to length one.
 Examples with the same vector are one entry with the mean of its labels, weighted back to the labels' true shares.
 
@@ -11,10 +11,10 @@ is the sum of its weights times those; blocks are taken by falling bound, until
 cosine found so far. The nearest entries vote with the inverse square of their distance. Votes become a probability by a
 logistic curve, fitted to the votes that the examples themselves get with their own entry's row left out.
 
-What is learned is bounded by EXAMPLES and TERMS, so it is sent to every task; scoring is one pass without a shuffle.
+What is learned is bounded by EXAMPLES, so it is sent to every task; scoring is one pass without a shuffle.
 
 A null or empty text has no terms: its score is the learned share of label 1 among entries without terms. Labels that
-disagree on a doc_id count as the larger; null labels and labels without a document count as none. With no examples of
+disagree on a doc_id count as the larger, and of examples that share a doc_id the smallest text is learned; null labels and labels without a document count as none. With no examples of
 both labels every score is the share of label 1 (0 with no labels at all). Repeated rows are scored each.
 """
 
@@ -29,10 +29,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import others, whole_text
+from .common import others, small_batches, whole_text
 
-EXAMPLES, TERMS = 4_096, 2_048
+EXAMPLES = 4_096
 NEAREST, BLOCK = 15, 64
+#: Results that a task remembers by their few terms before it starts anew.
+KNOWN = 5_000
 #: The background term: all words without a term in the vocabulary.
 REST = ""
 THRESHOLD = 0.7
@@ -44,14 +46,14 @@ def terms_of(text: str, wanted: dict[str, int] | None = None, starts: set[str] |
     found: Counter[str] = Counter()
     if wanted is None:
         for word, n in words.items():
-            for term in {word[:40], f"{word[:5]}*" if len(word) >= 5 else word, f"{word[:4]}*" if len(word) >= 4 else word}:
+            for term in {word, f"{word[:5]}*" if len(word) >= 5 else word, f"{word[:4]}*" if len(word) >= 4 else word}:
                 found[term] += n
         return found
     rest = 0
     for word, n in words.items():
         hit = False
         if word[:4] in starts:
-            for term in {word[:40], f"{word[:5]}*" if len(word) >= 5 else word, f"{word[:4]}*" if len(word) >= 4 else word}:
+            for term in {word, f"{word[:5]}*" if len(word) >= 5 else word, f"{word[:4]}*" if len(word) >= 4 else word}:
                 if term in wanted:
                     found[term] += n
                     hit = True
@@ -189,19 +191,22 @@ class Index:
         x = np.log(min(max(vote, 1e-4), 1 - 1e-4) / (1 - min(max(vote, 1e-4), 1 - 1e-4)))
         p = float(1 / (1 + np.exp(-(self.curve[0] * x + self.curve[1])))) if len(at) else self.prior
         evidence = [(int(self.example[i]), float(c), float(self.toxic[i] / self.weight[i])) for i, c in zip(at[:3].tolist(), cosines[:3].tolist(), strict=True)]
-        if len(self.known) > 100_000:
-            self.known.clear()
-        self.known[key] = (p, evidence)
+        if len(key) <= 16:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[key] = (p, evidence)
         return p, evidence
 
 
-def fit(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS, k: int = NEAREST) -> Index:
+def fit(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, k: int = NEAREST) -> Index:
     """Learns from the labelled rows for which `learn`, an expression over doc_id, holds."""
+    small_batches(documents.sparkSession)
     marked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).where(learn).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     some = [marked.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
     some = some[0].union(some[1])  # at most 2 * examples rows of two numbers
     rows = documents.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of rows that share an id, one
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,7 +220,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "d
     both = (F.col("ones") + F.col("zeros") + 1.0) / (n1 + n0 + 2.0)
     z = (p1 - p0) / F.sqrt(both * (1 - both) * (1.0 / n1 + 1.0 / n0))
     # Terms that are at least four times as frequent in toxic examples, and not by chance.
-    picked = found.where((F.col("ones") >= 3) & (p1 > 4 * (p0 + 0.5 / n0))).select("term", z.alias("z")).where("z > 3.5").orderBy(F.desc("z"), "term").limit(terms)
+    picked = found.where((F.col("ones") >= 3) & (p1 > 4 * (p0 + 0.5 / n0))).select("term", z.alias("z")).where("z > 3.5")
     vocabulary = sorted(r["term"] for r in picked.collect())
     wanted = dict.fromkeys(vocabulary, 0)
     starts = {t.rstrip("*")[:4] for t in vocabulary}
@@ -235,6 +240,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "d
 
 def score(documents: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows with score, predicted (1 from the threshold on) and evidence, the nearest examples; they replace columns of these names."""
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:long,cosine:double,toxic:double>>")
