@@ -21,7 +21,8 @@ Recall: for an item that differs in a share e of its embedding, one walk finds i
 The benchmark is sent to the tasks in shards of SHARD items and ITEM_WORDS words at most, so a shard's size is bounded
 whatever the benchmark's; each shard is one more pass over the documents. Nothing is shuffled.
 
-Null or empty texts and items match nothing. Items of fewer than `LEAST` words are matched by equality of all words.
+Null or empty texts and items match nothing. Items so short that `1 - similarity` of their words is less than one word
+are matched by equality of all words.
 Repeated items are reported each; repeated rows too.
 """
 
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, whole_text
+from .common import ASCII_LOWER, small_batches, whole_text
 
 SIMILARITY = 0.8
 REPEATS, SAMPLED = 32, 3
@@ -44,7 +45,6 @@ GROUP = 1.3
 BITS = 21
 #: Words that walk together in a task.
 BLOCK = 400_000
-LEAST = 5
 SHARD, ITEM_WORDS = 20_000, 2_000_000
 #: Bytes other than letters and digits become spaces.
 _TABLE = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in ASCII_LOWER)
@@ -98,12 +98,12 @@ class Walks:
                 self.ids.setdefault(word, len(self.ids) + 1)
             self.masks.append(mask)
         self.lengths = np.array([len(w) for _, w in self.items], np.int64)
-        self.slack = np.where(self.lengths < LEAST, 0, ((1 - similarity) * self.lengths + 1e-9).astype(np.int64))
+        self.slack = ((1 - similarity) * self.lengths + 1e-9).astype(np.int64)
         draw = np.random.default_rng(seed)
         groups: dict[int, list[int]] = {}
         least = group = 0
         for length in sorted({len(w) for _, w in self.items}):
-            if length <= LEAST or length > least * GROUP:
+            if length > least * GROUP:
                 least, group = length, length
             groups.setdefault(group, []).extend(i for i, (_, w) in enumerate(self.items) if len(w) == length)
         #: By group: its words, the least length of a passage, the most words of it that are not the group's, the words around, the walks.
@@ -114,7 +114,7 @@ class Walks:
             there[[self.ids[w] for i in own for w in self.items[i][1]]] = True
             most, reach = int(self.slack[own].max()), int((self.lengths[own] + self.slack[own]).max())
             self.groups.append((there, int((self.lengths[own] - self.slack[own]).min()), most, reach, walks))
-            for r in range(repeats if shortest >= LEAST else 1):
+            for r in range(repeats if most else 1):  # where no edit is allowed, the first walk finds all
                 # A walk advances by half a word a step on average, and never by more than one.
                 steps = shortest if r == 0 else max(shortest, int(2 * shortest - (2 * shortest) ** 0.5))
                 walk = self._walk(draw, own, steps, sampled)
@@ -274,7 +274,7 @@ class Walks:
         tried: set[tuple[int, int]] = set()
         for s, k in zip(starts, items, strict=True):
             length = len(self.items[k][1])
-            most = 0 if length < LEAST else int((1 - self.similarity) * length + 1e-9)
+            most = int(self.slack[k])
             around = words[max(s - most - 1, 0) : s + length + 2 * most + 1]
             if (s, k) in met or edit_within(self.masks[k], length, around, most, anywhere=True)[0] > most:
                 continue
@@ -304,6 +304,7 @@ def _shards(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
 
 def find(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, first_word, end_word, distance and similarity: a row for each item that a document holds."""
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     out = None
     for shard in _shards(benchmark, item_id, item_text):
@@ -332,6 +333,7 @@ def _clean(sent, similarity: float) -> Callable:
 
 def without_items(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows that hold no item, unchanged; each row is judged where it is read, so nothing is shuffled."""
+    small_batches(documents.sparkSession)
     for shard in _shards(benchmark, item_id, item_text):
         documents = documents.where(_clean(documents.sparkSession.sparkContext.broadcast(shard), similarity)(whole_text(text)))
     return documents

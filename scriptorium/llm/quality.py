@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import others, whole_text
+from .common import others, small_batches, whole_text
 
 EXAMPLES, DIMENSIONS = 6_000, 4_096
 SHAPES = 9
@@ -111,9 +111,11 @@ class Ordinal:
 
 def fit(documents: DataFrame, ratings: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", rating: str = "quality", examples: int = EXAMPLES) -> tuple[Ordinal, list[int]]:
     """The model and the grades in order. learn: an expression over doc_id that picks the rated rows to learn from."""
+    small_batches(documents.sparkSession)
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col(rating).isNotNull()).where(learn).groupBy("doc_id").agg(F.min(rating).cast("int").alias("grade"))
     some = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     rows = documents.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).join(F.broadcast(some), "doc_id")
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # of rows that share an id, one
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,6 +131,7 @@ def fit(documents: DataFrame, ratings: DataFrame, learn: Column, doc_id: str = "
 
 def score(documents: DataFrame, model: Ordinal, grades: list[int], text: str = "text", keep: float = KEEP) -> DataFrame:
     """The rows with expected_grade, tail_prob (of the top grade) and keep (tail_prob is at least `keep`)."""
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast((model, grades))
 
     @F.pandas_udf("expected_grade double, tail_prob double")
