@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -48,13 +49,41 @@ STOP_MARKERS = ["--- END CONTEXT ---", "--- CONTEXT ---", "\n---\n", "\nPitanje:
 ABBREVIATIONS = ["čl", "st", "tč", "br", "god", "str", "al", "npr", "tzv"]
 
 
+#: White space of any script, with the four separators that Java's class leaves out.
+SPACE = "(?U)[\\s\\x1c-\\x1f]+"
+
+
 def collapsed(text: Column) -> Column:
-    """Runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(text, "\\s+", " "))
+    """Runs of white space of any script as one space, trimmed."""
+    return F.trim(F.regexp_replace(text, SPACE, " "))
+
+
+def _pairs() -> tuple[dict[str, str], dict[str, list[str]]]:
+    """Small letters with one combining mark that have a composed form: those that tokens are made of, to that form; for
+    the other letters their marks."""
+    kept, other = {}, {}
+    for letter in "abcdefghijklmnopqrstuvwxyz":
+        for mark in map(chr, range(0x300, 0x370)):
+            one = unicodedata.normalize("NFC", letter + mark)
+            if len(one) == 1 and re.fullmatch(TOKEN, one):
+                kept[letter + mark] = one
+            elif len(one) == 1:
+                other.setdefault(letter, []).append(mark)
+    return kept, other
+
+
+def composed(low: Column) -> Column:
+    """A lower-case text whose decomposed letters are as tokens see them: composed if tokens have them, else no token's."""
+    kept, other = _pairs()
+    out = low
+    for pair, one in kept.items():
+        out = F.replace(out, F.lit(pair), F.lit(one))
+    foreign = "|".join(f"{letter}[{''.join(marks)}]" for letter, marks in other.items())
+    return F.when(low.rlike("[\u0300-\u036f]"), F.regexp_replace(out, foreign, "\u00f1")).otherwise(low)
 
 
 def normalized(text: Column) -> Column:
-    """NFC, lower case, white space collapsed. Only NFC needs Python; ASCII texts skip nothing but pay little."""
+    """NFC, lower case, white space collapsed. Only NFC of texts with more than ASCII needs Python."""
 
     @F.pandas_udf("string")
     def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -65,14 +94,19 @@ def normalized(text: Column) -> Column:
 
 
 def token_list(text: Column) -> Column:
-    """The tokens of the lexical index: of more than one character, without stop words. Texts are taken as NFC."""
-    found = F.regexp_extract_all(collapsed(F.lower(text)), F.lit(TOKEN), F.lit(0))
+    """The tokens of the lexical index: of more than one character, without stop words; letters may be decomposed."""
+    found = F.regexp_extract_all(composed(F.lower(text)), F.lit(TOKEN), F.lit(0))
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slug(text: Column) -> Column:
     out = F.trim(F.lower(F.translate(text, FOLD_FROM, FOLD_TO)))
-    for pattern, to in (("[^a-z0-9\\s-]", ""), ("\\s+", "-"), ("-+", "-"), ("^-|-$", "")):
+    for pattern, to in (("[^a-z0-9\\s-]", ""), (SPACE, "-"), ("-+", "-"), ("^-|-$", "")):
         out = F.regexp_replace(out, pattern, to)
     return out
 

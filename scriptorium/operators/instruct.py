@@ -15,6 +15,8 @@ from .corpus import kind, shown_kind
 MODES = [("naked", 40), ("grounded", 30), ("multi", 10), ("refusal", 10), ("contra", 5), ("off_topic", 5)]
 MIXES = [("grounded", 85), ("refusal", 10), ("naked", 5)]
 PASSAGES_LEAST, PASSAGES_MOST = 3, 6
+#: Cells that candidates of distractors are numbered by.
+CELLS = 4096
 REFUSAL = "Na temelju priloženih izvora ne mogu pouzdano odgovoriti na ovo pitanje. Preporučujem konzultirati izvornu zakonsku odredbu ili nadležni sud."
 
 
@@ -130,22 +132,33 @@ def contradicted(text: Column, seed: str, key: Column) -> Column:
     return F.when(whole == "", text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), changed, F.substring(text, at + F.length(whole), F.length(text))))
 
 
-def distractors(questions: DataFrame, candidates: DataFrame, n: int, seed: str, key: str = "question_id", source: str = "source_id", slots: int = 64) -> DataFrame:
-    """key, pos (from 0) and source_id: n other sources for each question, spread evenly.
+def ring_number(*parts: Column) -> Column:
+    """A reproducible number from the first fifteen hex digits of an md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
-    Sources are dealt over `slots` per expected row by a hash; a question looks into its own few slots, so that no
-    question meets all sources. With fewer than n other sources in them, what there is comes.
+
+def distractors(questions: DataFrame, candidates: DataFrame, n: int, seed: str, key: str = "question_id", source: str = "source_id") -> DataFrame:
+    """key, pos (from 0) and source_id: n other sources for each question, or all others where there are fewer.
+
+    Sources stand in a ring in the order of a hash; a question takes those from a place of its own on, without its
+    source. A place in the ring is a row's place in its cell, one of CELLS, behind the rows of the cells before; a
+    question meets n + 1 places by equality, so none meets all sources.
     """
-    total = candidates.select(source).distinct().agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    cells = max(1, total // slots)
-    table = candidates.select(F.col(source).alias("other")).distinct().withColumn("cell", bucket(F.lit(seed), F.col("other").cast("string"), of=cells))
-    asked = questions.select(key, source).withColumn("cell", bucket(F.lit(f"{seed}q"), F.col(key).cast("string"), of=cells))
-    if cells > 1:  # the next cell too, should one be short
-        asked = asked.withColumn("cell", F.explode(F.array("cell", (F.col("cell") + 1) % cells)))
-    met = asked.join(table, "cell").where(~F.col("other").eqNullSafe(F.col(source)))
-    order = Window.partitionBy(key).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col("other").cast("string"))), "other")
-    first = met.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
-    return first.select(key, (F.col("_n") - 1).alias("pos"), F.col("other").alias(source))
+    ring = candidates.select(F.col(source).alias("other")).where("other is not null").distinct()
+    ring = ring.withColumns({"hash": ring_number(F.lit(seed), F.col("other").cast("string"))}).withColumn("cell", F.col("hash") % CELLS)
+    # At most CELLS rows.
+    before = ring.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).withColumn("before", F.sum("rows").over(Window.orderBy("cell")) - F.col("rows"))
+    placed = ring.withColumn("nth", F.row_number().over(Window.partitionBy("cell").orderBy("hash", "other"))).join(F.broadcast(before.select("cell", "before")), "cell")
+    placed = placed.select("other", (F.col("before") + F.col("nth") - 1).alias("place"))
+    total = ring.count()
+    if not total:
+        return questions.select(key, F.lit(0).alias("pos"), source).limit(0)
+    start = ring_number(F.lit(f"{seed}q"), F.col(key).cast("string")) % total
+    asked = questions.select(key, source, start.alias("start")).join(placed.select(F.col("other").alias(source), F.col("place").alias("own")), source, "left")
+    skipped = F.pmod(F.col("own") - F.col("start"), F.lit(total))
+    steps = F.filter(F.sequence(F.lit(0), F.lit(min(n, total - 1))), lambda i: ~i.eqNullSafe(skipped.cast("int")))
+    each = asked.select(key, F.posexplode(F.slice(steps, 1, n)).alias("pos", "step"), "start").withColumn("place", (F.col("start") + F.col("step")) % total)
+    return each.join(placed, "place").select(key, "pos", F.col("other").alias(source))
 
 
 def sibling(chunks: DataFrame, source: str = "source_id", text: str = "text", order: str = "ord") -> DataFrame:
@@ -197,3 +210,30 @@ def context_rows(questions: DataFrame, sources: DataFrame, seed: str) -> DataFra
     )
     user = F.when(F.col("context").isNull(), F.col("question")).otherwise(framed(style, F.col("context"), F.col("question")))
     return joined.select("question_id", "mode", user.alias("user"), reply.alias("assistant"))
+
+
+def bucket_rows(questions: DataFrame, sources: DataFrame, seed: str, excerpts: int = PASSAGES_MOST) -> DataFrame:
+    """question_id, bucket, slot, user, assistant: questions in three buckets by the shares of MIXES.
+
+    grounded: the gold source at a slot (from 1) among others, the answer as it is. refusal: others alone, and a refusal.
+    naked: the question and answer as they are. A grounded question without its source falls back to naked. An excerpt
+    looks for what the question names in the gold source alone. questions and sources as in context_rows().
+    """
+    key = F.col("question_id").cast("string")
+    rows = questions.join(sources.select("source_id", F.lit(True).alias("has_gold")), "source_id", "left")
+    mix = picked(seed, F.col("question_id"), MIXES)
+    rows = rows.withColumn("bucket", F.when((mix == "grounded") & F.col("has_gold").isNull(), "naked").otherwise(mix))
+    rows = rows.withColumn("slot", F.when(F.col("bucket") == "grounded", (bucket(F.lit(f"{seed}s"), key, of=excerpts) + 1).cast("int")))
+    asked = rows.where("bucket != 'naked'").select("question_id", "slot", "question")
+    others = distractors(rows, sources, excerpts, seed).join(asked, "question_id").where(F.col("pos") < excerpts - F.col("slot").isNotNull().cast("int"))
+    place = F.col("pos") + 1 + (F.coalesce("slot", F.lit(excerpts + 1)) <= F.col("pos") + 1).cast("int")
+    gold = rows.where("slot is not null").select("question_id", "source_id", F.col("slot").alias("place"), "question")
+    shown = others.select("question_id", "source_id", place.alias("place"), F.lit(None).cast("string").alias("question")).unionByName(gold).join(sources, "source_id")
+    body = F.when(F.col("question").isNull(), excerpt(F.col("text"), 500)).otherwise(excerpt(F.col("text"), 500, F.col("question")))
+    shown = shown.withColumn("p", passage(F.col("place"), F.col("source_type"), F.col("title"), F.col("author"), body))
+    contexts = shown.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "p"))), lambda x: x["p"]), "\n\n").alias("context"))
+    joined = rows.join(contexts, "question_id", "left")
+    context = F.coalesce("context", F.lit("(nema dostupnih izvoda)"))
+    naked = F.col("bucket") == "naked"
+    user = F.when(naked, F.col("question")).otherwise(framed(F.lit(0), context, F.col("question")))
+    return joined.select("question_id", "bucket", "slot", user.alias("user"), F.when(F.col("bucket") == "refusal", F.lit(REFUSAL)).otherwise(F.col("answer")).alias("assistant"))

@@ -1,25 +1,30 @@
 """Hybrid retrieval: BM25 and dense candidates, rank fusion, exact identifiers, the confidence gate.
 
-The lexical index is three tables: postings (term, id, tf), lengths (id, dl) and terms (term, df, idf). Queries are a
+The lexical index is three tables: postings (term, id, tf, dl), lengths (id, dl) and terms (term, df, idf). Queries are a
 table of their own, so any number of them runs as one job. Ties break by id, descending for BM25, ascending elsewhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LOOKUP_CASE_NUMBER, collapsed, token_list
-from ..functions.vectors import dot
+from ..sources.scratch import written
 
 # Fixed values of the scorer and the gate.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 DENSE_LEAST, BM25_LEAST = 0.55, 5.0
-#: Vectors of queries that are sent to every task; more are joined in blocks of this many.
+#: Vectors of queries that meet all vectors in one pass; more take further passes.
 QUERY_BLOCK = 1_024
+#: Terms of queries that are sent to every task; more are joined by a shuffle.
+MANY_TERMS = 100_000
 
 
 def ranked(rows: DataFrame, order: Window, k: int, name: str) -> DataFrame:
@@ -31,41 +36,62 @@ def ranked(rows: DataFrame, order: Window, k: int, name: str) -> DataFrame:
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame
+    """terms and lengths, and either saved postings or the documents' tokens, from which postings of given terms are made."""
+
     lengths: DataFrame
     terms: DataFrame
-
-    def save(self, path: str, *, force: bool = True) -> None:
-        """One table each; `force` decides whether present ones are replaced. Postings are sorted by term for pruning."""
-        mode = "overwrite" if force else "ignore"
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/postings")
-        self.lengths.write.mode(mode).parquet(f"{path}/lengths")
-        self.terms.write.mode(mode).parquet(f"{path}/terms")
+    postings: DataFrame | None = None
+    tokens: DataFrame | None = None
+
+    def of_terms(self, wanted: DataFrame) -> DataFrame:
+        """term, id, tf, dl of the wanted terms; of tokens, others go before anything is shuffled."""
+        if self.postings is not None:
+            return self.postings.join(wanted, "term", "left_semi")
+        each = self.tokens.select("id", "dl", F.explode("tokens").alias("term"))
+        return each.join(wanted, "term", "left_semi").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+    def save(self, path: str) -> None:
+        """One table each, replacing what is there: the lexical index is always built anew. Postings are sorted by term for pruning."""
+        postings = self.postings
+        if postings is None:
+            postings = self.tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LexicalIndex:
-        return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms")))
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return LexicalIndex(read("lengths"), read("terms"), postings=read("postings"))
 
 
 def build_lexical(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> LexicalIndex:
-    """Postings are summed per task before the shuffle. idf is ln(N - df + .5) - ln(df + .5); where that is negative,
-    a quarter of the mean over all terms."""
-    tokens = documents.select(F.col(doc_id).alias("id"), token_list(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    postings = tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = tokens.select("id", F.size("tokens").cast("long").alias("dl"))
-    n = lengths.agg(F.count(F.lit(1)).alias("n"))
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).withColumn("raw", F.round(F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5), 12))
+    """Texts are cut into tokens once, into a table; terms are counted per task before the shuffle. idf is
+    ln(N - df + .5) - ln(df + .5); where that is negative, a quarter of the mean over all terms."""
+    cut = documents.select(F.col(doc_id).alias("id"), token_list(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    tokens = written(cut.select("id", F.size("tokens").cast("long").alias("dl"), "tokens"), "tokens")
+    lengths = tokens.select("id", "dl")
+    n = lengths.count()
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = written(df.withColumn("raw", F.round(F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5), 12)), "terms")
     mean = raw.agg(F.avg("raw").alias("mean"))  # one number
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(postings, lengths, terms)
+    return LexicalIndex(lengths, terms, tokens=tokens)
+
+
+def bounded(frame: DataFrame, most: int) -> DataFrame:
+    """The frame, to be sent to every task if it has `most` rows at most."""
+    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
     """query_id, id, score of the documents that share a term; a term that a query repeats counts as often."""
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(token_list(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = wanted.join(index.terms.select("term", "idf"), "term")
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(token_list(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = written(asked, "asked")
+    names = bounded(asked.select("term").distinct(), MANY_TERMS)
+    wanted = asked.join(index.terms.join(names, "term", "left_semi").select("term", "idf"), "term")
     average = index.lengths.agg(F.avg("dl").alias("avgdl"))  # one number
-    hits = index.postings.join(wanted, "term").join(index.lengths, "id").join(F.broadcast(average))
+    hits = index.of_terms(names).join(bounded(wanted, MANY_TERMS), "term").join(F.broadcast(average))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
@@ -88,18 +114,62 @@ def top_bm25(index: LexicalIndex, queries: DataFrame, k: int, query_id: str = "q
 def top_dense(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """query_id, id, dense_score (6 digits) and dense_rank from 0, of the k largest inner products, exactly.
 
-    A stated set of queries meets all vectors: query vectors are sent out in blocks, and each task keeps the best k of a
-    query before anything is shuffled.
+    A stated set of queries meets all vectors: it is dealt into blocks of QUERY_BLOCK at most, each block a row that
+    stands beside each batch of vectors in one pass, as a product of two matrices. A task keeps the best k of a query
+    and batch before anything is shuffled. Null vectors match nothing.
     """
+    asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).cast("array<double>").alias("_q"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("_v"))
+    out = None
+    for block in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # about QUERY_BLOCK vectors
+        sent = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in own], [r["_q"] for r in own]))
+
+        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            names, asked = np.array(sent.value[0], np.int64), np.array(sent.value[1], np.float64)
+            for batch in batches:
+                if not len(batch) or not len(names):
+                    continue
+                ids = batch["id"].to_numpy()
+                scores = np.round(np.stack(batch["_v"].to_numpy()) @ asked.T, 6).T
+                found = []
+                for name, own in zip(names.tolist(), scores, strict=True):
+                    at = np.lexsort((ids, -own))[:k]
+                    found.append(pd.DataFrame({"query_id": name, "id": ids[at], "dense_score": own[at]}))
+                yield pd.concat(found)
+
+        part = rows.mapInPandas(best, "query_id long, id long, dense_score double")
+        out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("dense_score"), "id")
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"))
-    total, out = wanted.count(), None
-    for at in range(0, max(1, total), QUERY_BLOCK):
-        block = wanted if total <= QUERY_BLOCK else wanted.orderBy("query_id").offset(at).limit(QUERY_BLOCK)
-        scored = vectors.select(F.col(vec_id).alias("id"), F.col(vector).alias("_v")).join(F.broadcast(block)).select("query_id", "id", F.round(dot(F.col("_q"), F.col("_v")), 6).alias("dense_score"))
-        best = ranked(scored, order, k, "dense_rank")
-        out = best if out is None else out.unionByName(best)
-    return out
+    return ranked(out, order, k, "dense_rank")
+
+
+def embedded(rows: DataFrame, text: str, embed: Callable[[list[str]], np.ndarray], name: str = "embedding", batch: int = 64) -> DataFrame:
+    """The rows with the unit vector of their text by an injected model: `embed` takes some texts and gives a row of numbers
+    for each. It is called inside tasks, some texts at a time; a null text counts as empty, a zero vector stays zero."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = []
+            for at in range(0, len(texts), batch):
+                own = np.asarray(embed(texts.iloc[at : at + batch].tolist()), np.float64)
+                size = np.linalg.norm(own, axis=1, keepdims=True)
+                found += list(own / np.where(size > 0, size, 1.0))
+            yield pd.Series(found, dtype=object)
+
+    return rows.withColumn(name, vectors(F.coalesce(F.col(text), F.lit(""))))
+
+
+def save_dense(rows: DataFrame, path: str, embed: Callable[[list[str]], np.ndarray], doc_id: str = "id", text: str = "text", *, force: bool = False) -> bool:
+    """Writes the dense index (id, embedding) unless it is there; force replaces it. Whether it was written."""
+    spark = rows.sparkSession
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/dense/_SUCCESS")
+    if not force and file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        return False
+    embedded(rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", embed).select("id", "embedding").write.mode("overwrite").parquet(f"{path}/dense")
+    return True
 
 
 def fused(lexical: DataFrame, dense: DataFrame, rrf_k: int = RRF_K) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, TOKEN, jaccard, plain, rfc2822, token_list, trigrams, xml_escaped
+from ..functions.text import STOP_WORDS, TOKEN, jaccard, let, plain, rfc2822, token_list, trigrams, xml_escaped
 
 # Steps of the fee base (from, base, share of what exceeds it), its cap, and the proceedings.
 FEE_STEPS = [(497.92, 6.64, 0.01), (4979.20, 51.46, 0.005), (24896.02, 151.05, 0.0025)]
@@ -81,10 +81,11 @@ def search(documents: DataFrame, query: str, text: str = "text") -> DataFrame:
     low = F.lower(F.col(text))
     for word in re.findall(TOKEN, query.lower()):
         documents = documents.where(F.contains(low, F.lit(word))) if len(word) > 1 and word not in STOP_WORDS else documents
-    found = documents.withColumns({"_tokens": token_list(F.col(text)), "_wanted": wanted})
-    match = (F.size("_wanted") > 0) & F.forall("_wanted", lambda t: F.array_contains(F.col("_tokens"), t))
-    hits = F.size(F.filter("_tokens", lambda t: F.array_contains(F.col("_wanted"), t)))
-    return found.where(match).withColumn("rank", F.round(hits / F.size("_tokens"), 6)).drop("_tokens", "_wanted")
+    hit = lambda tokens: F.size(F.filter(tokens, lambda t: F.array_contains(wanted, t)))
+    facts = lambda tokens: F.struct((F.size(wanted) > 0) & F.forall(wanted, lambda t: F.array_contains(tokens, t)), F.round(hit(tokens) / F.size(tokens), 6).alias("rank"))
+    # Exploded, not filtered by: else the tokens would be cut for the filter and again for the rank.
+    match = F.filter(F.array(let(token_list(F.col(text)), facts)), lambda m: m["col1"])
+    return documents.select(*documents.columns, F.explode(match).alias("_m")).select(*documents.columns, F.col("_m.rank").alias("rank"))
 
 
 def headline(text: Column, word: str, around: int = 15) -> Column:
@@ -111,8 +112,14 @@ def envelope(rows: DataFrame, number: int, size: int) -> DataFrame:
 
 
 def global_search(sources: dict[str, tuple[DataFrame, str, list[str]]], words: str, most: int = 3) -> DataFrame:
-    """type, id, title of at most `most` hits of each source (frame, id column, columns searched, the first as title), by title and id."""
-    parts = [frame.where(has_all_words(columns, words)).select(F.lit(name).alias("type"), F.col(key).cast("long").alias("id"), F.col(columns[0]).alias("title")) for name, (frame, key, columns) in sources.items()]
+    """type, id, title of at most `most` hits of each source (frame, id column, columns searched, the first as title), by title and id.
+
+    A source whose columns are not there finds nothing, and the others are searched all the same.
+    """
+    parts = []
+    for name, (frame, key, columns) in sources.items():
+        if {key, *columns} <= set(frame.columns):
+            parts.append(frame.where(has_all_words(columns, words)).select(F.lit(name).alias("type"), F.col(key).cast("long").alias("id"), F.col(columns[0]).alias("title")))
     every = reduce(lambda a, b: a.unionByName(b), parts)
     order = Window.partitionBy("type").orderBy("title", "id")
     return every.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
@@ -150,6 +157,11 @@ def contact_errors(name: Column, email: Column, subject: Column, message: Column
     return F.array_compact(F.array(*(F.when(wrong, field) for field, wrong in checks.items())))
 
 
+def contact_outcome(trap: Column, errors: Column) -> Column:
+    """What a form does: a filled trap field, which people don't see, is answered as if sent but dropped; errors are told."""
+    return F.when(F.length(F.coalesce(trap, F.lit(""))) > 0, "dropped").when(F.size(errors) > 0, "rejected").otherwise("sent")
+
+
 def question_ok(question: Column, k: Column) -> Column:
     return F.length(F.trim(question)).between(3, 2000) & k.between(1, 20)
 
@@ -166,18 +178,25 @@ def edges(features: DataFrame, order: str, kind: str = "kind", coordinates: str
     return each.select(order, "polygon", F.col("e.a")[0].alias("xi"), F.col("e.a")[1].alias("yi"), F.col("e.b")[0].alias("xj"), F.col("e.b")[1].alias("yj"))
 
 
-def located(points: DataFrame, features: DataFrame, key: str, x: str, y: str, order: str = "ord", most_edges: int = 200_000) -> DataFrame:
+def located(points: DataFrame, features: DataFrame, key: str, x: str, y: str, order: str = "ord", cells: int = 1024) -> DataFrame:
     """key and the first feature, by order, whose outer ring holds the point; points in none are left out.
 
-    The rings' edges, checked to be few, are sent to every task and met by the edge's range of y; crossings of each point
-    and ring are counted before the shuffle.
+    The y range of all rings is cut into `cells` bands. A ring's edge stands in each band that it touches, a point in its
+    own; they meet by band and by the ring's box, so a point meets the edges of its band, not all. Both sides may be of
+    any size. Crossings of each point and ring are counted before the shuffle.
     """
     table = edges(features, order)
-    if table.count() > most_edges:
-        raise ValueError("features have more edges than may be sent to every task")
+    ends = table.agg(F.min(F.least("yi", "yj")).alias("lo"), F.max(F.greatest("yi", "yj")).alias("hi")).first()
+    if ends["lo"] is None:
+        return points.select(key).limit(0).withColumn(order, F.lit(None).cast(features.schema[order].dataType))
+    low, height = ends["lo"], max(ends["hi"] - ends["lo"], 1e-9) / cells
+    band = lambda c: F.floor((c - low) / height)
+    ring = Window.partitionBy(order, "polygon")
+    reach = {"west": F.min(F.least("xi", "xj")).over(ring), "east": F.max(F.greatest("xi", "xj")).over(ring)}
+    banded = table.withColumns(reach).withColumn("band", F.explode(F.sequence(band(F.least("yi", "yj")), band(F.greatest("yi", "yj")))))
     crosses = (F.col("yi") > F.col(y)) != (F.col("yj") > F.col(y))
     left_of = F.col(x) < (F.col("xj") - F.col("xi")) * (F.col(y) - F.col("yi")) / F.when(F.col("yj") != F.col("yi"), F.col("yj") - F.col("yi")) + F.col("xi")
-    hit = points.select(key, x, y).join(F.broadcast(table), crosses & left_of)
+    hit = points.select(key, x, y, band(F.col(y)).alias("band")).join(banded, "band").where(F.col(x).between(F.col("west"), F.col("east")) & crosses & left_of)
     inside = hit.groupBy(key, order, "polygon").agg((F.count(F.lit(1)) % 2).alias("odd")).where("odd = 1")
     return inside.groupBy(key).agg(F.min(order).alias(order))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import HARD_ENTITIES, citations, entities, is_claim, is_refusal, sentences, verdict
+from ..functions.text import HARD_ENTITIES, citations, entities, is_claim, is_refusal, sentences, until_marker, verdict
 
 
 def with_verification(answers: DataFrame, answer: str = "answer", passages: str = "passages") -> DataFrame:
@@ -75,6 +75,36 @@ def roll_up(verdicts: DataFrame, key: str) -> DataFrame:
     )
 
 
+def judged_answers(answers: DataFrame, key: str, judge: Callable[[Column, Column], Column], answer: str = "answer", passages: str = "passages", most: int = 8) -> DataFrame:
+    """key, the counts of verdicts and faithful of the answers that claim something: claims, the passages that each
+    cites, the judge's verdicts and their roll-up as one query."""
+    rows = claims(answers, key, answer, most).join(answers.select(key, passages), key)
+    evidence = F.array_join(cited_passages(F.col("sentence"), F.col(passages)), "\n\n")
+    return roll_up(judged(rows.withColumn("evidence", evidence), judge), key)
+
+
+def answered(asked: DataFrame, gates: DataFrame, model: Callable[[Column, Column], Column], judge: Callable[[Column, Column], Column] | None = None, key: str = "query_id", legacy_refusal: str = "") -> DataFrame:
+    """Questions answered and checked: adds answer, status, trustworthy, what verification found and what the judge did.
+
+    asked: key, query, passages (an array of texts). gates: key and confident, as retrieval.gate() gives them. model: a
+    column function of question and context (say a pandas UDF around a chat model) whose null reply is an error. Only
+    questions with a confident retrieval reach the model, only answers that are no refusal the judge.
+    """
+    context = F.array_join(F.transform(F.col("passages"), lambda p, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), p)), "\n\n")
+    joined = asked.join(gates.select(key, "confident"), key, "left").withColumn("confident", F.coalesce("confident", F.lit(False)))
+    sure = joined.where("confident").withColumn("reply", model(F.col("query"), context))
+    unsure = joined.where("not confident").withColumn("reply", F.lit(None).cast("string"))
+    rows = sure.unionByName(unsure).withColumns({"error": F.col("confident") & F.col("reply").isNull(), "answer": F.when(F.col("confident"), F.coalesce(until_marker(F.col("reply")), F.lit(""))).otherwise(F.lit(legacy_refusal))})
+    checked = with_verification(rows, "answer", "passages")
+    if judge is None:
+        checked = checked.withColumn("faithful", F.lit(None).cast("boolean"))
+    else:
+        worth = checked.where("confident and not error and not refusal and trim(answer) != ''")
+        checked = checked.join(judged_answers(worth, key, judge), key, "left")
+    state = status(F.col("confident"), F.col("error"), F.col("refusal"), F.col("citations_valid"), F.col("entities_grounded"), F.col("faithful"))
+    return checked.withColumn("status", state).withColumn("trustworthy", trustworthy(F.col("status"))).drop("reply")
+
+
 def entity_recall(predicted: Column, gold: Column) -> Column:
     """The share of gold entities that the answer contains; without gold ones, 1 if it says anything."""
     low = F.lower(predicted)

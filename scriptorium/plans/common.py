@@ -33,9 +33,13 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.createDataFrame(rows, schema)
 
 
+#: White space of any script, as DuckDB's expressions name it.
+SQL_SPACE = "[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+"
+
+
 def sql_tokens(text: str) -> str:
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    return f"list_filter(regexp_extract_all(trim(regexp_replace(lower({text}), '\\s+', ' ', 'g')), '{TOKEN}'), lambda t: length(t) > 1 and not list_contains([{stop}], t))"
+    return f"list_filter(regexp_extract_all({sql_collapsed(f'lower(nfc_normalize({text}))')}, '{TOKEN}'), lambda t: length(t) > 1 and not list_contains([{stop}], t))"
 
 
 def sql_bucket(parts: str, of: int) -> str:
@@ -47,7 +51,7 @@ def sql_fold(text: str) -> str:
 
 
 def sql_collapsed(text: str) -> str:
-    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({text}, '{SQL_SPACE}', ' ', 'g'))"
 
 
 def long(c):

@@ -74,7 +74,7 @@ def ocr_route(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "header_lines",
-    """select doc_id, 'Jezik: ' || lang || case when doc_id % 3 = 0 then '' else chr(10) || 'Izvor: ' || source end || chr(10) || chr(10) || substr(text, 1, 50) as body,
+    """select doc_id, 'Jezik: ' || lang || case when doc_id % 3 = 0 then '' else chr(10) || 'Izvor: ' || source end || chr(10) || chr(10) || text as body,
               case when doc_id % 3 = 0 then 'x' || doc_id else source || ' — ' || doc_id end as title from documents""",
 )
 def header_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def header_lines(spark: SparkSession, d: str) -> DataFrame:
     name = F.col("doc_id").cast("string")
     return docs.select(
         "doc_id",
-        corpus.header({"Jezik": F.col("lang"), "Izvor": F.col("court")}, F.substring("text", 1, 50)).alias("body"),
+        corpus.header({"Jezik": F.col("lang"), "Izvor": F.col("court")}, F.col("text")).alias("body"),
         corpus.title_or(F.lit(""), F.col("court"), name, F.concat(F.lit("x"), name)).alias("title"),
     )
 
@@ -92,7 +92,7 @@ SOURCE_TYPE = "case doc_id % 4 when 0 then 'eu.legislation' when 1 then 'court_d
 
 @query(
     "kind_classify",
-    f"""select case when contains(st, 'legislation') or contains(lower(substr(text, 1, 40)), 'zakon') then 'legislation'
+    f"""select case when contains(st, 'legislation') or contains(lower(text), 'zakon') then 'legislation'
                     when contains(st, 'decision') or contains(lower(source), 'src1') then 'decision'
                     when contains(st, 'commentary') then 'commentary' else 'other' end as kind,
                cast(count(*) as bigint) as n
@@ -100,7 +100,7 @@ SOURCE_TYPE = "case doc_id % 4 when 0 then 'eu.legislation' when 1 then 'court_d
 )
 def kind_classify(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumn("st", F.expr(SOURCE_TYPE))
-    kind = corpus.kind(F.col("st"), F.substring("text", 1, 40), F.col("source"), author_mark="src1")
+    kind = corpus.kind(F.col("st"), F.col("text"), F.col("source"), author_mark="src1")
     return docs.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -115,13 +115,13 @@ def area_types(spark: SparkSession, d: str) -> DataFrame:
     f"""select doc_id || ':' || (doc_id % 7) as chunk_id, cast(doc_id as varchar) as source_id,
                case when {SOURCE_TYPE} = 'eu.legislation' then 'legislation' when {SOURCE_TYPE} = 'court_decision' or contains(source, 'court') then 'decision'
                     when {SOURCE_TYPE} = 'commentary' then 'commentary' else 'other' end as kind,
-               substr(substr(text, 1, 600), 1, 400) as title, cast(length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) as bigint) as n, '' as url, lang as author, cast(null as integer) as year
-        from documents where length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) >= 120 and not contains(lower(substr(text, 1, 600)), 'zakon')""",
+               substr(text, 1, 400) as title, cast(length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) as bigint) as n, '' as url, lang as author, cast(null as integer) as year
+        from documents where length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) >= 120 and not contains(lower(text), 'zakon')""",
 )
 def normalize_chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(~F.contains(F.lower(F.substring("text", 1, 600)), F.lit("zakon")))
+    docs = table(spark, d, "documents").where(~F.contains(F.lower("text"), F.lit("zakon")))
     rows = docs.select(
-        F.col("doc_id").alias("source_id"), F.expr(SOURCE_TYPE).alias("source_type"), "source", F.substring("text", 1, 600).alias("title"), "text",
+        F.col("doc_id").alias("source_id"), F.expr(SOURCE_TYPE).alias("source_type"), "source", F.col("text").alias("title"), "text",
         F.lit(None).cast("string").alias("url"), F.col("lang").alias("author"), (F.col("doc_id") % 7).alias("chunk_index"), F.lit(None).cast("int").alias("year"),
     )
     return corpus.normal_chunks(rows).withColumn("n", F.length("text").cast("long")).drop("text")
@@ -186,7 +186,20 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(X.normalized(F.col("text"))).alias("digest"))
 
 
-@query("strip_boilerplate")
+#: The boilerplate rules as DuckDB states them; white space at a line's ends is ASCII here.
+LINE = "trim(l, ' ' || chr(9) || chr(13) || chr(12) || chr(11))"
+KNOWN_LINES = ", ".join(f"'{x}'" for x in X.BOILERPLATE_LINES)
+KEPT_LINE = f"""({LINE} = '' or not (list_contains([{KNOWN_LINES}], lower({LINE})) or regexp_matches({LINE}, '(?i)^(klasa|urbroj|zagreb|predsjednik|proglašavam|na temelju članka 89|odlukom|nn\\s+\\d+/\\d{{2,4}}|s\\.r\\.|br\\.\\s*\\d+)')
+    or regexp_matches({LINE}, '^\\d{{1,6}}\\.?$') or regexp_matches({LINE}, '^[IVX]{{1,5}}\\.?$')))"""
+
+
+@query(
+    "strip_boilerplate",
+    f"""select doc_id, case when body = '' then whole else body end as text from (
+          select doc_id, whole, trim(regexp_replace(array_to_string(list_transform(list_filter(string_split(whole, chr(10)), lambda l: {KEPT_LINE}), lambda l: case when {LINE} = '' then '' else l end), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'),
+                                     ' ' || chr(10) || chr(9) || chr(13) || chr(12) || chr(11)) as body
+          from (select doc_id, 'Narodne novine' || chr(10) || '12' || chr(10) || 'IV.' || chr(10) || 'KLASA: 1' || chr(10) || chr(10) || chr(10) || chr(10) || text as whole from documents))""",
+)
 def strip_boilerplate(spark: SparkSession, d: str) -> DataFrame:
     lines = F.concat(F.lit("Narodne novine\n12\nIV.\nKLASA: 1\n\n\n\n"), F.col("text"))
     return table(spark, d, "documents").select("doc_id", X.without_boilerplate(lines).alias("text"))
@@ -200,6 +213,16 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", X.slug(F.concat("p_name", F.lit(" Šđ Ž-"), "p_brand", F.lit(" -"))).alias("slug"))
 
 
+DECOMPOSED = "'c' || chr(780) || 'lanak' || chr(160) || 'kuc' || chr(769) || 'a' || chr(8195) || 'S' || chr(780) || 'uma mn' || chr(771) || 'ogo de' || chr(769) || 'ja' || chr(160) || text"
+
+
+@query("token_forms", f"select doc_id, md5(array_to_string({sql_tokens(DECOMPOSED)}, ' ')) as tokens, md5({sql_collapsed(f'lower(nfc_normalize({DECOMPOSED}))')}) as normal from documents")
+def token_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Letters in decomposed form, white space that is not ASCII."""
+    text = F.concat(F.lit("c\u030clanak\u00a0kuc\u0301a\u2003S\u030cuma mn\u0303ogo de\u0301ja\u00a0"), "text")
+    return table(spark, d, "documents").select("doc_id", F.md5(F.array_join(X.token_list(text), " ")).alias("tokens"), F.md5(X.normalized(text)).alias("normal"))
+
+
 @query(
     "token_stats",
     f"select lang, cast(count(*) as bigint) as n, cast(count(distinct t) as bigint) as n_distinct from (select lang, unnest({sql_tokens('text')}) as t from documents) group by lang",
@@ -237,15 +260,43 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("chunks"), F.max("chunk_count").alias("most"), F.sum(F.length("chunk")).alias("chars"))
 
 
-@query("chunk_paragraphs")
+@query(
+    "chunk_paragraphs",
+    """with recursive p as (select doc_id, string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)) as ps from documents),
+       f(doc_id, i, held, size, chunk) as (
+         select doc_id, 0, cast([] as varchar[]), cast(0 as bigint), cast(null as varchar) from p
+         union all
+         select doc_id, i + 1, case when flush then [x] else list_append(held, x) end, case when flush then length(x) else size + length(x) + 2 end, case when flush then array_to_string(held, chr(10) || chr(10)) end
+         from (select f.doc_id, f.i, f.held, f.size, p.ps[f.i + 1] as x, f.size + length(p.ps[f.i + 1]) > 3500 and f.size >= 500 as flush from f join p on f.doc_id = p.doc_id where f.i < len(p.ps))),
+       c as (select doc_id, i, chunk from f where chunk is not null union all select f.doc_id, f.i + 1, array_to_string(f.held, chr(10) || chr(10)) from f join p on f.doc_id = p.doc_id where f.i = len(p.ps)),
+       kept as (select * from c where length(chunk) >= 500)
+       select doc_id, cast(count(*) over (partition by doc_id) as bigint) as chunk_count, cast(row_number() over (partition by doc_id order by i) - 1 as bigint) as chunk_index, chunk from kept""",
+)
 def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.paragraph_chunks(table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
+    return chunking.paragraph_chunks(table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))).drop("text")
+
 
+#: Two articles of each text: the second's heading ends the first, which is long where the text is.
+ENDS = "' ' || chr(10) || chr(9) || chr(13)"
 
-@query("chunk_articles")
+
+@query(
+    "chunk_articles",
+    f"""with recursive a as (
+          select doc_id, 1 as n, '1' as number, 'Članak 1.' || chr(10) as header, trim('Članak 1.' || chr(10) || text || chr(10) || chr(10) || 'Naslov drugi', {ENDS}) as body from documents
+          union all select doc_id, 2, '2a', '', trim('Naslov drugi' || chr(10) || 'Članak 2a.' || chr(10) || text, {ENDS}) from documents),
+        parts(doc_id, n, i, number, header, rest, chunk) as (
+          select doc_id, n, 0, number, header, body, cast(null as varchar) from a where length(body) >= 180
+          union all
+          select doc_id, n, i + 1, number, header, header || ltrim(substr(rest, cut + 1), {ENDS}), rtrim(substr(rest, 1, cut), {ENDS}) from (
+            select *, case when gap > 0 and 3500 - gap - 1 >= 1750 then 3500 - gap - 1 else 3500 end as cut from (
+              select *, instr(reverse(substr(rest, 1, 3500)), chr(10) || chr(10)) as gap from parts where length(rest) > 3500))),
+        c as (select doc_id, n, i, number, chunk from parts where chunk is not null union all select doc_id, n, i + 1, number, trim(rest, {ENDS}) from parts where length(rest) <= 3500 and trim(rest, {ENDS}) <> '')
+        select doc_id, cast(count(*) over (partition by doc_id) as bigint) as chunk_count, cast(row_number() over (partition by doc_id order by n, i) - 1 as bigint) as chunk_index, number as article_number, chunk from c""",
+)
 def chunk_articles(spark: SparkSession, d: str) -> DataFrame:
-    numbered = F.concat(F.lit("Uvod\n\nČlanak 1.\n"), F.substring("text", 1, 900), F.lit("\n\nNaslov drugi\nČlanak 2a.\n"), F.col("text"))
-    return chunking.article_chunks(table(spark, d, "documents").select("doc_id", numbered.alias("text")))
+    numbered = F.concat(F.lit("Uvod\n\nČlanak 1.\n"), F.col("text"), F.lit("\n\nNaslov drugi\nČlanak 2a.\n"), F.col("text"))
+    return chunking.article_chunks(table(spark, d, "documents").select("doc_id", numbered.alias("text"))).drop("text")
 
 
 @query("sft_messages", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as said, cast(count(*) as bigint) as n from conversations group by conv_id")
@@ -256,7 +307,7 @@ def sft_messages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "instruct_templates",
-    """with d as (select doc_id, source as court, case when doc_id % 4 = 0 then '' else 'P-' || doc_id || '/2020' end as c, case when doc_id % 3 = 0 then '2020-01-01' end as dt, trim(substr(text, 1, 40)) as s from documents)
+    """with d as (select doc_id, source as court, case when doc_id % 4 = 0 then '' else 'P-' || doc_id || '/2020' end as c, case when doc_id % 3 = 0 then '2020-01-01' end as dt, trim(text) as s from documents)
        select doc_id, 0 as pos, 'Koji sud je donio odluku u predmetu ' || c || '?' as question, 'Predmet ' || c || ' donesen je u ' || court || '.' as answer from d where c <> ''
        union all select doc_id, 1, 'Kojeg datuma je donesena odluka u predmetu ' || c || '?', 'Odluka u predmetu ' || c || ' donesena je ' || dt || '.' from d where c <> '' and dt is not null
        union all select doc_id, 3, 'Sažmi kratko predmet ' || c || '.', s from d where c <> '' and length(s) >= 30""",
@@ -264,7 +315,7 @@ def sft_messages(spark: SparkSession, d: str) -> DataFrame:
 def instruct_templates(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(
         "doc_id", F.col("source").alias("court"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.format_string("P-%d/2020", "doc_id")).alias("c"),
-        F.when(F.col("doc_id") % 3 == 0, "2020-01-01").alias("dt"), F.lit("").alias("e"), F.trim(F.substring("text", 1, 40)).alias("s"),
+        F.when(F.col("doc_id") % 3 == 0, "2020-01-01").alias("dt"), F.lit("").alias("e"), F.trim("text").alias("s"),
     )
     return instruct.template_pairs(docs, "doc_id", "court", "c", "dt", "e", "s")
 
@@ -322,10 +373,10 @@ def source_sibling(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "cited_answers",
     """select doc_id, case doc_id % 2 when 0 then case when b like '%.' then substr(b, 1, length(b) - 1) || ' [1][2].' else b || ' [1][2]' end
-              else b || case when b like '%.' then '' else '.' end || ' [1][2]' end as answer from (select doc_id, rtrim(substr(text, 1, 60)) as b from documents)""",
+              else b || case when b like '%.' then '' else '.' end || ' [1][2]' end as answer from (select doc_id, rtrim(text) as b from documents)""",
 )
 def cited_answers(spark: SparkSession, d: str) -> DataFrame:
-    body = F.rtrim(F.substring("text", 1, 60))
+    body = F.rtrim("text")
     return table(spark, d, "documents").select("doc_id", instruct.cited_answer(F.col("doc_id") % 2, body, F.array(F.lit(1), F.lit(2))).alias("answer"))
 
 
@@ -341,13 +392,34 @@ def excerpts(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", instruct.excerpt(F.col("t"), 300, F.lit("Što kaže P-17/2020 o tome?")).alias("excerpt"))
 
 
-@query("contradictions")
+def _altered(seed: str) -> str:
+    """"a do b godin" of the text's first range of years, with a lower and b higher."""
+    down, up = (sql_bucket(f"'{seed}{x}|' || doc_id", n) for x, n in (("a", 3), ("b", 5)))
+    return f"greatest(1, cast(regexp_extract(t, p, 1) as bigint) - ({down} + 1)) || ' do ' || (cast(regexp_extract(t, p, 2) as bigint) + {up} + 1) || ' godin'"
+
+
+@query(
+    "contradictions",
+    f"""select doc_id, substr(t, 1, instr(t, regexp_extract(t, p)) - 1) || {_altered('c')} || substr(t, instr(t, regexp_extract(t, p)) + length(regexp_extract(t, p))) as text
+        from (select doc_id, text || ' kazna 2 do 5 godina; 1 do 9 godina ' || text as t, '([0-9]{{1,2}})\\s*(?:do|-)\\s*([0-9]{{1,2}})\\s*godin' as p from documents)""",
+)
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("kazna 2 do 5 godina; "), F.substring("text", 1, 80))
+    text = F.concat("text", F.lit(" kazna 2 do 5 godina; 1 do 9 godina "), "text")
     return table(spark, d, "documents").select("doc_id", instruct.contradicted(text, "c", F.col("doc_id")).alias("text"))
 
 
-@query("distractor_sample")
+def _ring(seed: str) -> str:
+    number = lambda parts: f"cast('0x' || substr(md5({parts}), 1, 15) as bigint)"
+    return f"""ring as (select doc_id as other, row_number() over (order by h % {instruct.CELLS}, h, doc_id) - 1 as place from (select doc_id, {number(f"'{seed}|' || doc_id")} as h from documents)),
+       asked as (select d.doc_id as question_id, {number(f"'{seed}q|' || d.doc_id")} % (select count(*) from ring) as start from documents d)"""
+
+
+@query(
+    "distractor_sample",
+    f"""with {_ring('d')} select question_id, cast(row_number() over (partition by question_id order by step) - 1 as integer) as pos, source_id from (
+          select a.question_id, s.step, r.other as source_id from asked a cross join (select unnest(range(0, 5)) as step) s join ring r on r.place = (a.start + s.step) % (select count(*) from ring) where r.other <> a.question_id
+        ) qualify pos < 4""",
+)
 def distractor_sample(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("question_id"), F.col("doc_id").alias("source_id"))
     return instruct.distractors(docs, docs.select("source_id"), 4, "d")
@@ -356,8 +428,8 @@ def distractor_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("context_rows")
 def context_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    questions = docs.select(F.col("doc_id").alias("question_id"), F.col("doc_id").alias("source_id"), F.lit("Što piše u ovom izvoru?").alias("question"), F.substring("text", 1, 60).alias("answer"))
-    sources = docs.select(F.col("doc_id").alias("source_id"), F.expr(SOURCE_TYPE).alias("source_type"), F.substring("text", 1, 30).alias("title"), F.col("source").alias("author"), "text")
+    questions = docs.select(F.col("doc_id").alias("question_id"), F.col("doc_id").alias("source_id"), F.lit("Što piše u ovom izvoru?").alias("question"), F.col("text").alias("answer"))
+    sources = docs.select(F.col("doc_id").alias("source_id"), F.expr(SOURCE_TYPE).alias("source_type"), F.col("text").alias("title"), F.col("source").alias("author"), "text")
     return instruct.context_rows(questions, sources, "rows")
 
 
@@ -368,16 +440,16 @@ def llm_json_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("doc_id", "i.question", "i.answer")
 
 
-@query("rich_text")
+@query("rich_text", f"select doc_id, {TRIM.format('text')} || ' kraj' as text from documents")
 def rich_text(spark: SparkSession, d: str) -> DataFrame:
-    tree = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(F.struct(F.substring("text", 1, 20).alias("text"))).alias("children")), F.struct(F.array(F.struct(F.lit("kraj").alias("text"))).alias("children"))).alias("children")).alias("root")))
+    tree = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(F.struct("text")).alias("children")), F.struct(F.array(F.struct(F.lit("kraj").alias("text"))).alias("children"))).alias("children")).alias("root")))
     return table(spark, d, "documents").select("doc_id", tables.rich_text(tree).alias("text"))
 
 
-@query("dataset_scan", f"select cast(count(*) as bigint) as n, cast(sum(k) as bigint) as tokens from (select conv_id, turn, len({sql_tokens('text')}) as k from conversations order by conv_id, turn limit 200) where k > 8")
+@query("dataset_scan", f"select cast(count(*) as bigint) as n, cast(sum(k) as bigint) as tokens from (select conv_id, turn, len({sql_tokens('text')}) as k from conversations) where k > 8")
 def dataset_scan(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "conversations").orderBy("conv_id", "turn").limit(200).withColumn("k", F.size(X.token_list(F.col("text"))).cast("long"))
-    return first.where("k > 8").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("tokens"))
+    turns = table(spark, d, "conversations").withColumn("k", F.size(X.token_list(F.col("text"))).cast("long"))
+    return turns.where("k > 8").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("tokens"))
 
 
 @query("article_counts", "select doc_id % 3 as source_id, cast(count(*) filter (doc_id % 2 = 0) as bigint) as articles, cast(count(*) as bigint) as chunks from documents group by 1")

@@ -41,7 +41,13 @@ def search_count(spark: SparkSession, d: str) -> DataFrame:
     return site.envelope(found(spark, d), 2, 10)
 
 
-@query("search_headline")
+@query(
+    "search_headline",
+    """with w as (select doc_id, string_split_regex(trim(text), '\\s+') as ws from documents),
+            p as (select doc_id, ws, coalesce(list_position(list_transform(ws, lambda x: regexp_replace(lower(x), '[^\\p{L}\\p{N}-]', '', 'g')), 'that'), 0) as hit from w),
+            f as (select *, greatest(hit - 15, 1) as first from p)
+       select doc_id, array_to_string(list_transform(list_slice(ws, first, first + 29), lambda x, i: case when i + first - 1 = hit then '<mark>' || x || '</mark>' else x end), ' ') as headline from f""",
+)
 def search_headline(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", site.headline(F.col("text"), "that").alias("headline"))
 

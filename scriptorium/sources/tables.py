@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 RAW_DOCUMENT = "source string, source_id string, title string, text string, lang string, metadata map<string,string>"
@@ -29,10 +30,21 @@ def json_lines(spark: SparkSession, paths: list[str], schema: str, *, strict: bo
 
 
 def ranked_files(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Rows with file_rank, the place of their file in the list: what first-wins rules order by."""
-    rows = json_lines(spark, paths, schema, strict=False).withColumn("_file", F.element_at(F.split("_metadata.file_path", "/"), -1))
-    rank = F.array_position(F.array(*(F.lit(p.rstrip("/").rpartition("/")[2]) for p in paths)), F.col("_file"))
-    return rows.withColumn("file_rank", rank).drop("_file")
+    """Rows with file_rank (the place of their path or glob in the list, from 1), file, block and line: in this order the
+    rows stand as in the files, one after the other; what first-wins rules order by.
+
+    A file's blocks are read in one piece each, so `line`, which grows as a task reads, orders the rows of a block.
+    """
+    parts = []
+    for rank, path in enumerate(paths, 1):
+        rows = json_lines(spark, [path], schema, strict=False)
+        order = {"file_rank": F.lit(rank), "file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "line": F.monotonically_increasing_id()}
+        parts.append(rows.withColumns(order))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+#: What orders the rows of ranked_files().
+FILE_ORDER = ["file_rank", "file", "block", "line"]
 
 
 def of_sources(rows: DataFrame, only: list[str] | None) -> DataFrame:
@@ -48,12 +60,25 @@ def long_texts(rows: DataFrame, text: str, least: int = 400) -> DataFrame:
     return rows.where(F.col(text).isNotNull() & (F.length(text) >= least))
 
 
-def append_lines(frame: DataFrame, path: str) -> None:
-    frame.write.mode("append").json(path)
+def append_lines(frame: DataFrame, path: str) -> int:
+    """Appends the rows as JSON lines; how many there were, counted as they are written."""
+    seen = Observation()
+    frame.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
+    return seen.get["n"]
 
 
-def replace_lines(frame: DataFrame, path: str) -> None:
-    frame.write.mode("overwrite").json(path)
+def replace_lines(frame: DataFrame, path: str) -> int:
+    """Replaces what is there by the rows as JSON lines; how many there were, counted as they are written."""
+    seen = Observation()
+    frame.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+    return seen.get["n"]
+
+
+def save_evaluation(rows: DataFrame, summary: DataFrame, path: str, **settings: object) -> int:
+    """The evaluated rows as JSON lines under `rows`, their one-row summary with the run's settings under `summary`; how many rows."""
+    count = replace_lines(rows, f"{path}/rows")
+    summary.withColumns({name: F.lit(value) for name, value in settings.items()}).coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    return count
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
@@ -134,14 +159,21 @@ def url_id(url: Column, n: int = 16) -> Column:
     return F.substring(F.sha1(url), 1, n)
 
 
-def pdf_texts(spark: SparkSession, path: str, read: Callable[[bytes], list[str]]) -> DataFrame:
-    """path, text and pages of PDF files through an injected reader of page texts; a file it can't read has no pages."""
+def pdf_texts(spark: SparkSession, path: str, read: Callable[[bytes], Iterable[str | None | Callable[[], str | None]]]) -> DataFrame:
+    """path, text and pages of PDF files through an injected reader, which gives a file's pages: texts, or functions that
+    read one. A page that can't be read is empty; a file that can't be opened has no pages."""
 
     @F.pandas_udf("array<string>")
     def pages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def text_of(page) -> str:
+            try:
+                return (page() if callable(page) else page) or ""
+            except Exception:  # noqa: BLE001  one broken page must not end the file
+                return ""
+
         def attempt(content: bytes) -> list[str]:
             try:
-                return [p or "" for p in read(content)]
+                return [text_of(p) for p in read(content)]
             except Exception:  # noqa: BLE001  one broken file must not end the scan
                 return []
 
@@ -185,3 +217,41 @@ def rich_text(tree: Column, between: str = " ") -> Column:
             yield batch.map(one)
 
     return flat(tree)
+
+
+def joined_text(tree: Column) -> Column:
+    """A rich-text tree in JSON as the extractor reads it: a node's own text wins over its children, which are joined by
+    newlines, blank ones too; a node with neither is empty. What is no JSON is empty."""
+    import json
+
+    @F.pandas_udf("string")
+    def flat(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def walk(node: object) -> str:
+            done: list[str] = []
+            # A node, or None where as many texts as stand beside it are to be joined.
+            todo: list[tuple[object, int]] = [(node, 0)]
+            while todo:
+                node, joins = todo.pop()
+                own = node.get("text") if isinstance(node, dict) else node
+                below = node.get("children", []) if isinstance(node, dict) else node
+                if joins:
+                    done[-joins:] = ["\n".join(done[-joins:])]
+                elif isinstance(own, str):
+                    done.append(own)
+                elif isinstance(below, list) and below:
+                    todo.append((None, len(below)))
+                    todo += [(x, 0) for x in reversed(below)]
+                else:
+                    done.append("")
+            return done[0]
+
+        def one(value: str | None) -> str:
+            try:
+                return walk(json.loads(value)) if value else ""
+            except ValueError:
+                return ""
+
+        for batch in batches:
+            yield batch.map(one)
+
+    return flat(tree)

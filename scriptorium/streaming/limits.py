@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,12 @@ def replay(events: DataFrame, key: str, ts: str, order: str, most: int, seconds:
     return ordered.mapInPandas(fold, schema)
 
 
+def _slim(batches: Iterator[pd.DataFrame], order: str) -> Iterator[pd.DataFrame]:
+    """A key's rows of a trigger, of each only its time and its name: a key's requests of one trigger fit a task."""
+    for batch in batches:
+        yield batch[["at", order]]
+
+
 def limit_stream(events: DataFrame, key: str, ts: str, order: str, most: int, seconds: int, *, inclusive: bool = False) -> DataFrame:
     """The same on a stream: rows of a trigger are taken in order of time, the window is kept between triggers for twice its length."""
     length = seconds * 1_000_000
@@ -60,12 +67,16 @@ def limit_stream(events: DataFrame, key: str, ts: str, order: str, most: int, se
             state.remove()
             return
         window = state.get if state.exists else None
-        for batch in [pd.concat(list(batches)).sort_values(["at", order])]:
-            passed = []
-            for at in batch["at"].tolist():
-                window, ok = accepted(window, at, most, length, inclusive=inclusive)
-                passed.append(ok)
-            yield pd.DataFrame({key: k[0], order: batch[order], "passed": passed})
+        kept = list(_slim(batches, order))
+        times = np.concatenate([b["at"].to_numpy() for b in kept])
+        names = [name for b in kept for name in b[order].tolist()]
+        passed = np.zeros(len(times), bool)
+        for i in sorted(range(len(times)), key=lambda i: (times[i], names[i])):
+            window, passed[i] = accepted(window, int(times[i]), most, length, inclusive=inclusive)
+        first = 0
+        for b in kept:
+            yield pd.DataFrame({key: k[0], order: b[order], "passed": passed[first : first + len(b)]})
+            first += len(b)
         state.update(window)
         state.setTimeoutDuration(2 * seconds * 1000)
 
@@ -73,20 +84,32 @@ def limit_stream(events: DataFrame, key: str, ts: str, order: str, most: int, se
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {types[key]}, {order} {types[order]}, passed boolean", "start long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def keep_search_text(stream: DataFrame, derive: Column, key: str, path: str, checkpoint: str):
-    """Starts a query that writes key and search_text of changed rows: only where it differs from what is stored."""
+def keep_search_text(stream: DataFrame, derive: Column, key: str, path: str, checkpoint: str, order: str | None = None, buckets: int = 64):
+    """Starts a query that writes key, search_text, version and seen of changed rows: only where it differs from what is stored.
+
+    Of a key's rows in a trigger the last by `order` counts (by the text where none is given), and a row that comes later
+    but is older than what is stored changes nothing. Stored rows lie in `buckets` folders by the key's hash; a trigger
+    reads those of its own keys.
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.select(key, derive.alias("search_text")).dropDuplicates([key])
+        rank = F.col(order).cast("string") if order else F.lit("")
+        fresh = batch.select(key, rank.alias("seen"), derive.alias("search_text")).groupBy(key).agg(F.max(F.struct("seen", "search_text")).alias("_last"))
+        fresh = fresh.select(key, "_last.*", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")).persist()
+        met = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # `buckets` numbers at most
         try:
-            stored = spark.read.parquet(path)
+            stored = spark.read.parquet(path).where(F.col("bucket").isin(met))
+            latest = stored.groupBy("bucket", key).agg(F.max(F.struct("version", "search_text", "seen")).alias("_old"))
+            latest = latest.select("bucket", key, F.col("_old.search_text").alias("old"), F.col("_old.version").alias("before"), F.col("_old.seen").alias("old_seen"))
         except Exception as error:  # noqa: BLE001  nothing stored yet
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            stored = fresh.limit(0)
-        latest = stored.groupBy(key).agg(F.max_by("search_text", "version").alias("old"), F.max("version").alias("version")) if "version" in stored.columns else stored.select(key, F.lit(None).cast("string").alias("old"), F.lit(0).alias("version"))
-        changed = fresh.join(latest, key, "left").where(~F.col("search_text").eqNullSafe(F.col("old")))
-        changed.select(key, "search_text", (F.coalesce("version", F.lit(0)) + 1).alias("version")).write.mode("append").parquet(path)
+            latest = fresh.limit(0).select("bucket", key, F.col("search_text").alias("old"), F.lit(0).alias("before"), F.col("seen").alias("old_seen"))
+        joined = fresh.join(latest, ["bucket", key], "left")
+        newer = F.col("old_seen").isNull() | (F.col("seen") >= F.col("old_seen"))
+        changed = joined.where(newer & ~F.col("search_text").eqNullSafe(F.col("old")))
+        changed.select(key, "search_text", (F.coalesce("before", F.lit(0)) + 1).alias("version"), "seen", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+        fresh.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
