@@ -38,18 +38,18 @@ def _uniform(h: Column, shift: int, bits: int) -> Column:
 
 
 def _sample(term: Column, k: Column) -> tuple[Column, Column, Column]:
-    """r, ln(c) and b of a word for sample k."""
-    first, second = F.xxhash64(term, 2 * k), F.xxhash64(term, 2 * k + 1)
-    r = _gamma(_uniform(first, 0, 32), _uniform(first, 32, 32))
-    c = F.ln(_gamma(_uniform(second, 0, 21), _uniform(second, 21, 21)))
-    return r, c, _uniform(second, 42, 21)
+    """r, ln(c) and b of a word for sample k: 24, 28 and 12 bits of one hash, enough for draws that only have to order the words of a text."""
+    h = F.xxhash64(term, k)
+    r = _gamma(_uniform(h, 0, 12), _uniform(h, 12, 12))
+    c = F.ln(_gamma(_uniform(h, 24, 14), _uniform(h, 38, 14)))
+    return r, c, _uniform(h, 52, 12)
 
 
 def _candidate(term: Column, log_weight: Column, r: Column, c: Column, b: Column) -> Column:
     """ln(a) in the upper 32 bits, so that the smallest number has it; the word's hash, moved by t, in the lower.
 
     Null for a word of no weight, whose logarithm is null: no condition, so that both sides share r, c and b. ln(a) lies
-    between -80 and 4: r is below 46, ln(c) between -15 and 4, and no weight has a logarithm above 21.
+    between -80 and 4: r is below 19, ln(c) between -10 and 4, and no weight has a logarithm above 21.
     """
     t = F.floor(log_weight / r + b)
     log_a = c - r * (t - b + 1)
@@ -82,25 +82,28 @@ def in_ranges(documents: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame,
     return documents.where(F.col(doc_id).isNotNull()).withColumn("part", F.aggregate(steps, start, halved)["lo"]), parts
 
 
-def with_next(frame: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+def with_next(frame: DataFrame, columns: list[str], order: list[str], heads: DataFrame | None = None) -> DataFrame:
     """Adds next_<column> of the row that follows by `order` (part first); after the last row comes the first.
 
-    The window runs within each part. The first row of each part is taken to the part before: a frame of one row a part.
+    The window runs within each part. The first row of each part is taken to the part before: `heads`, a frame of one
+    row a part (part and the columns).
     """
     inside = Window.partitionBy("part").orderBy(*order)
     spots = frame.withColumns({"_last": F.lead(F.lit(1)).over(inside).isNull(), **{f"next_{c}": F.lead(c).over(inside) for c in columns}})
-    heads = frame.withColumn("_n", F.row_number().over(inside)).where("_n = 1").select("part", *(F.col(c).alias(f"_head_{c}") for c in columns))
+    if heads is None:
+        heads = frame.withColumn("_n", F.row_number().over(inside)).where("_n = 1")
+    heads = heads.select("part", *(F.col(c).alias(f"_head_{c}") for c in columns))
     # One row a part, so this unpartitioned window has a bounded size.
-    present = frame.select("part").distinct()
     chain = Window.orderBy("part")
-    before = present.select(F.col("part").alias("_to"), F.coalesce(F.lag("part").over(chain), F.max("part").over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_from"))
-    heads = heads.join(before, heads["part"] == before["_to"]).select(F.col("_from").alias("part"), *(f"_head_{c}" for c in columns))
+    first = F.first("part").over(chain.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    follows = heads.select("part").select("part", F.coalesce(F.lead("part").over(chain), first).alias("_follows"))
+    heads = follows.join(heads.withColumnRenamed("part", "_follows"), "_follows").drop("_follows")
     joined = spots.join(heads, "part", "left")
     return joined.withColumns({f"next_{c}": F.when(F.col("_last"), F.col(f"_head_{c}")).otherwise(F.col(f"next_{c}")) for c in columns}).drop("_last", *(f"_head_{c}" for c in columns))
 
 
 def signatures(frame: DataFrame, key: list[str], texts: dict[str, str], samples: int = SAMPLES) -> DataFrame:
-    """key and, for each name in texts (name to column of text), an array of `samples` 32-bit numbers; nulls for a null text.
+    """key and, for each name in texts (name to column of text), an array of `samples` ints; nulls for a null text.
 
     Words that the texts of a row share are hashed once. Rows must be unique by key and dealt by a part of it.
     """
@@ -117,7 +120,7 @@ def signatures(frame: DataFrame, key: list[str], texts: dict[str, str], samples:
     for k in range(step):
         r, c, b = _sample(F.col("_term"), F.col("_from") + k)
         least += [F.min(_candidate(F.col("_term"), F.col(f"_l{i}"), r, c, b)).alias(f"_m{i}_{k}") for i in range(len(names))]
-    low = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    low = lambda c: (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int")
     some = counted.groupBy(*key, "_from").agg(*least)
     some = some.select(*key, F.struct("_from", *(F.array(*(low(f"_m{i}_{k}") for k in range(step))).alias(name) for i, name in enumerate(names))).alias("_some"))
     every = some.groupBy(*key).agg(F.array_sort(F.collect_list("_some")).alias("_some"))
@@ -125,7 +128,7 @@ def signatures(frame: DataFrame, key: list[str], texts: dict[str, str], samples:
 
 
 def as_text(signature: Column) -> Column:
-    return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x.cast("long") + (1 << 31)), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -140,9 +143,12 @@ def with_edited(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     ranged, parts = in_ranges(rows)
+    # Of each range the text of its first row, looked up by id: not taken from all texts, once more shuffled.
+    firsts = ranged.groupBy("part").agg(F.min("doc_id").alias("doc_id"))
+    heads = ranged.join(F.broadcast(firsts), ["part", "doc_id"]).groupBy("part").agg(F.min("text").alias("text"))
     ranged = ranged.repartition(parts, "part")
     ranged = ranged.withColumn("nth", F.row_number().over(Window.partitionBy("part", "doc_id").orderBy("text")))
-    followed = with_next(ranged, ["text"], ["doc_id", "nth"])
+    followed = with_next(ranged, ["text"], ["doc_id", "nth"], heads)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     placed = followed.select("part", "doc_id", "nth", "text", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
     lone = rows.where("doc_id is null").withColumn("part", (-1 - F.pmod(F.xxhash64("text"), F.lit(parts))).cast("int"))
@@ -157,7 +163,7 @@ def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     # A table, so that signatures are made once, however often the steps below look at them.
     signed = written(signatures(rows, key, {"own": "text", "changed": "edited"}, samples), "fingerprints")
     facts = rows.select(*key, "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    there = with_next(signed.where("part >= 0"), ["own"], ["doc_id", "nth"]).unionByName(signed.where("part < 0").withColumn("next_own", F.lit(None).cast("array<long>")))
+    there = with_next(signed.where("part >= 0"), ["own"], ["doc_id", "nth"]).unionByName(signed.where("part < 0").withColumn("next_own", F.lit(None).cast("array<int>")))
     same = (facts["part"] == there["part"]) & facts["doc_id"].eqNullSafe(there["doc_id"]) & (facts["nth"] == there["nth"])
     changed = F.when(F.col("edited_sha256").isNotNull(), F.col("changed")).alias("changed")
     return facts.join(there, same).select(facts["doc_id"], "n_chars", "edited_sha256", "own", changed, "next_own")
