@@ -1,23 +1,28 @@
 """LM scoring: the likelihood of a subword lattice, marginal over all segmentations.
 
 Tokens are the words of the lower-cased (A-Z) text, then one end. The vocabulary of a public subword tokenizer gives the
-pieces and their first weights (by the rank its scores state); the tokenizer itself is not trained. The weights of the
-pieces are then fitted to the corpus by expectation-maximisation over its distinct words. The probability of a word's
-spelling is the sum over all ways to cut it into pieces, by a forward recursion in log space. Each word starts with a
-piece that carries the word mark and no other piece does, so spellings sum to one.
-
-Documents fall into a few classes by how often each byte occurs (mostly languages), fitted to a bounded sample without
-labels; counts and piece weights are kept by class. In a class with N tokens and V distinct words, a word's probability
-is (c - D) / N plus the discounts' share D * V / N of a mixture of its spelling and its frequency in all classes. D comes
-from the numbers of words seen once and twice, the mixture from how many words that a class saw once no class saw else.
-The probability of a document is the sum over classes of the class's share times the product over its tokens: its
-marginal over classes and segmentations. The score is its log10.
-
-Words are counted per task before they are shuffled. The HEAD most frequent short words, a bounded table, are sent to
-every task; only other words are shuffled to meet their counts, so no frequent word makes a large group.
+pieces; as it states ranks, not probabilities, a piece's weight is 1 / (rank + 20), to sum one. The probability of a
+word's spelling is the sum over all ways to cut it into pieces, by a forward recursion in log space. Each word starts
+with a piece that carries the word mark and no other piece does, so spellings sum to one, and the product over a text's
+tokens is its marginal probability over all segmentations: lattice_score, by the vocabulary's weights as they are.
+
+These weights know nothing of the corpus, so `score` puts what was counted in it on top of lattices: piece weights fitted
+to the corpus by expectation-maximisation over its distinct words, and counts of whole words. Documents fall into a few
+classes by how often each byte occurs (mostly languages); counts and weights are kept by class. In a class with N tokens
+and V distinct words, a word's probability is (c - D) / N plus the discounts' share D * V / N of a mixture of its
+spelling and its frequency in all classes. D comes from the numbers of words seen once and twice, the mixture from how
+many words that a class saw once no class saw else. The probability of a document is the sum over classes of the class's
+share times the product over its tokens: its marginal over classes and segmentations. Both scores are log10.
+
+Classes start from a bounded sample of rows without labels and are then fitted to all learned rows: what a task makes
+of it are classes * 257 sums. Words are counted per task before they are shuffled. The HEAD most frequent short words, a
+bounded table, are sent to every task; only other words are shuffled to meet their counts, so no frequent word makes a
+large group. Words of more than LONG characters pass the recursion one by one, BLOCK characters at a time, so a text that
+is one word of any length needs little memory.
 
 A null text counts as empty: its only token is the end. With nothing to learn from, every word is scored by its
-spelling alone. Rows that repeat an id are scored each; a row without doc_id is scored as any other.
+spelling alone. Rows that repeat an id are scored each; a row without doc_id is scored as any other. An empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, mix, whole_text, written
+from .common import ASCII_LOWER, mix, small_batches, whole_text, written
 
 PIECES = "piece_bpe_32k.model"
 MARK = "▁"
@@ -39,8 +44,11 @@ HEAD, HEAD_BYTES = 65_536, 32
 #: Distinct words that a counting task gathers before it passes them on.
 GATHER = 400_000
 ROUNDS = 2
-#: Classes of documents, and the rows that they are fitted to (a bounded sample, the smallest hashes of the ids).
-CLASSES, SAMPLE = 5, 4_096
+#: Classes of documents, the rows that they start from (a bounded sample, the smallest hashes of the ids), and how often
+#: they are then fitted to all rows.
+CLASSES, SAMPLE, FITS = 5, 4_096, 1
+#: Characters of a word that passes the recursion alone, and of its parts.
+LONG, BLOCK = 64, 1_024
 #: Sizes of the tables that find pieces, and the base of the hash of their characters.
 TABLE_BITS, BASE = 20, 0x9E3779B97F4A7C15
 LN10 = float(np.log(10.0))
@@ -67,8 +75,6 @@ class Lattice:
     def shape(self, n: int):
         """Start and end of every edge of a word of n characters, ordered by end."""
         if n not in self.shapes:
-            if len(self.shapes) > 64:
-                self.shapes.clear()
             pairs = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
             ends = np.array([j for _, j in pairs])
             bounds = np.searchsorted(ends, np.arange(1, n + 2))
@@ -144,11 +150,47 @@ class Lattice:
             beta[:, i] = _log_sum(beta[:, ends[own]] + weights[:, own])
         return beta
 
+    def parts(self, word: str) -> Iterator[tuple[int, np.ndarray]]:
+        """Of a long word some ends at a time: the first of them, and for each the numbers of the edges that start
+        `longest` to one characters before it; where the word has not begun there is no edge."""
+        none, width = len(self.weights) - 1, self.longest
+        for first in range(1, len(word) + 1, BLOCK):
+            last = min(len(word), first + BLOCK - 1)
+            lead = max(0, first - width)
+            codes = self._codes([word[lead:last]], last - lead)
+            ends = np.arange(first - lead, last - lead + 1)
+            starts = ends[:, None] - np.arange(width, 0, -1)
+            flat_ends, flat_starts = np.repeat(ends, width), np.maximum(starts, 0).ravel()
+            hashes = self._hashed(codes, flat_starts, flat_ends)[0]
+            first_slot, second_slot = self._slots(hashes)
+            out = self.tables[0][first_slot]
+            out = np.where(self.hashes[out] == hashes, out, self.tables[1][second_slot])
+            out = np.where(self.hashes[out] == hashes, out, none).reshape(len(ends), width)
+            own = codes[0, ends - 1]
+            sizes = (own >= 0x80).astype(np.int32) + (own >= 0x800) + (own >= 0x10000)
+            out[:, -1] = np.where(out[:, -1] == none, self.size + sizes, out[:, -1])
+            out[starts < 0] = none
+            yield first, out
+
+    def long_forward(self, word: str, weights: np.ndarray) -> np.ndarray:
+        """The recursion of one word: for each of its places the log of the sum over ways to get there."""
+        width = self.longest
+        alpha = np.full(width + len(word), -np.inf)  # `width` places before the word, which nothing reaches
+        alpha[width - 1 :][:1] = 0.0
+        reach = alpha[width - 1 :]
+        for first, edges in self.parts(word):
+            for k, row in enumerate(weights[edges]):
+                at = first + k
+                x = alpha[at - 1 : at - 1 + width] + row
+                top = x.max()
+                reach[at] = top + np.log(np.exp(x - top).sum()) if np.isfinite(top) else -np.inf
+        return reach
+
     def grouped(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """Positions, length and edges of words of equal length, some at a time."""
+        """Positions, length and edges of words of equal length, some at a time; long words are left out."""
         spelt = [MARK + w.decode("utf-8", "replace") for w in words]
         lengths = np.fromiter(map(len, spelt), np.int64, len(spelt))
-        for n in np.unique(lengths).tolist():
+        for n in np.unique(lengths[lengths <= LONG]).tolist():
             own = np.flatnonzero(lengths == n)
             step = max(1, 400_000 // (n * min(n, self.longest)))
             for at in range(0, len(own), step):
@@ -156,10 +198,7 @@ class Lattice:
                 yield some, n, self.edges([spelt[i] for i in some.tolist()], n)
 
     def log_spelling(self, words: list[bytes]) -> np.ndarray:
-        out = np.empty(len(words))
-        for own, n, edges in self.grouped(words):
-            out[own] = self.forward(self.weights[edges], n)[:, n]
-        return out
+        return spellings([self], words)[0]
 
     def expected(self, words: list[bytes]) -> np.ndarray:
         """How often each piece is used, expected over all segmentations of the words."""
@@ -171,8 +210,44 @@ class Lattice:
             starts, ends, _, _ = self.shape(n)
             share = np.exp(alpha[:, starts] + weights + beta[:, ends] - alpha[:, n : n + 1])
             total += np.bincount(edges.ravel(), share.ravel(), len(total))
+        for _, word in long_words(words):
+            total += self.long_expected(word)
         return total[:-1]
 
+    def long_expected(self, word: str) -> np.ndarray:
+        """expected() of one long word, whose uses are its places' chances to be passed, from the end to the start."""
+        alpha, width = self.long_forward(word, self.weights), self.longest
+        passed = np.zeros(width + len(word))  # the chance that a place is on the way; `width` places before the word
+        passed[-1] = 1.0
+        total = np.zeros(len(self.weights))
+        before = np.append(np.full(width - 1, -np.inf), alpha)
+        for first, edges in reversed(list(self.parts(word))):
+            for k in range(len(edges) - 1, -1, -1):
+                at = first + k
+                share = np.exp(before[at - 1 : at - 1 + width] + self.weights[edges[k]] - alpha[at]) * passed[width - 1 + at]
+                np.add.at(total, edges[k], share)
+                passed[at - 1 : at - 1 + width] += share
+        return total
+
+
+def long_words(words: list[bytes]) -> Iterator[tuple[int, str]]:
+    """Positions and spellings of the words of more than LONG characters."""
+    for i, w in enumerate(words):
+        if len(w) >= LONG and len(spelt := MARK + w.decode("utf-8", "replace")) > LONG:
+            yield i, spelt
+
+
+def spellings(lattices: list[Lattice], words: list[bytes]) -> list[np.ndarray]:
+    """For each lattice (of the same pieces) the log probability of each word, over all ways to cut it."""
+    out = [np.empty(len(words)) for _ in lattices]
+    for own, size, edges in lattices[0].grouped(words):
+        for lattice, values in zip(lattices, out, strict=True):
+            values[own] = lattice.forward(lattice.weights[edges], size)[:, size]
+    for i, word in long_words(words):
+        for lattice, values in zip(lattices, out, strict=True):
+            values[i] = lattices[0].long_forward(word, lattice.weights)[-1]
+    return out
+
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
     top = x.max(axis=1)
@@ -237,6 +312,7 @@ class Model:
 
     def __init__(self, documents: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES, rounds: int = ROUNDS, path: str | None = None):
         spark = documents.sparkSession
+        small_batches(spark)
         rows = documents.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learned"))
 
         @F.pandas_udf("array<int>")
@@ -248,6 +324,8 @@ class Model:
         seen = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(histogram("text").alias("bytes")).collect()
         self.shares, self.bytes = shares, byte_logs = byte_classes(np.array([r["bytes"] for r in seen]).reshape(-1, 256), classes)
         self.classes = k = len(shares)
+        for _ in range(FITS if len(seen) else 0):
+            self.shares, self.bytes = shares, byte_logs = self._over_all(rows, shares, byte_logs)
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen: list[Counter[bytes]] = [Counter() for _ in range(k)]
@@ -289,6 +367,31 @@ class Model:
         self.weights = self._fitted(spark, rounds)
         self.lexicon = written(self._scored(spark), "lexicon")
 
+    @staticmethod
+    def _over_all(rows: DataFrame, shares: np.ndarray, byte_logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares and byte probabilities of the classes from all learned rows, by what each row is believed to be now.
+        A task sums its rows; sums are summed by Spark, and classes * 257 numbers come back."""
+        k = len(shares)
+
+        def believe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((k, 257))
+            for batch in batches:
+                for text in batch["text"]:
+                    own = byte_counts(text).astype(np.float64)
+                    logs = byte_logs @ own * min(1.0, 1000.0 / max(own.sum(), 1.0)) + shares
+                    belief = np.exp(logs - logs.max())
+                    belief /= belief.sum()
+                    sums[:, :256] += belief[:, None] * own * min(1.0, 1000.0 / max(own.sum(), 1.0))
+                    sums[:, 256] += belief
+            yield pd.DataFrame({"k": range(k), "n": list(sums)})
+
+        each = rows.where("learned").select("text").mapInPandas(believe, "k int, n array<double>").select("k", F.posexplode("n").alias("b", "n"))
+        sums = np.zeros((k, 257))
+        for r in each.groupBy("k", "b").agg(F.sum("n").alias("n")).collect():
+            sums[r["k"], r["b"]] = r["n"]
+        bytes_ = sums[:, :256] + 0.5
+        return np.log((sums[:, 256] + 1.0) / (sums[:, 256].sum() + k)), np.log(bytes_ / bytes_.sum(axis=1, keepdims=True))
+
     def _fitted(self, spark: SparkSession, rounds: int) -> list[np.ndarray]:
         """Log weights by class. Each round sends them (some 30,000 numbers a class, whatever the input) out and expected counts back."""
         pieces, k = self.pieces, self.classes
@@ -319,18 +422,14 @@ class Model:
         return weights
 
     def _scored(self, spark: SparkSession) -> DataFrame:
-        """word, c and p, its log10 probability in each class."""
+        """word, c and p, its log10 probability in each class and last by the lattice of the vocabulary's weights alone."""
         sent = spark.sparkContext.broadcast(self.weights)
         pieces, k, n, class_n, discount, fresh, spelt = self.pieces, self.classes, self.n, self.class_n, self.discount, self.fresh, self.spelt
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            lattices = [Lattice(pieces, w) for w in sent.value]
+            lattices = [Lattice(pieces, w) for w in [*sent.value, Lattice.first(pieces)]]
             for batch in batches:
-                words = batch["word"].tolist()
-                spelling = [np.empty(len(words)) for _ in range(k)]
-                for own, size, edges in lattices[0].grouped(words):
-                    for lattice, out in zip(lattices, spelling, strict=True):
-                        out[own] = lattice.forward(lattice.weights[edges], size)[:, size]
+                spelling = spellings(lattices, batch["word"].tolist())
                 overall = batch["c"].to_numpy(np.float64) / max(n, 1)
                 logs = []
                 for i in range(k):
@@ -338,6 +437,7 @@ class Model:
                     seen = np.maximum(batch[f"c{i}"].to_numpy(np.float64) - discount[i], 0.0) / max(class_n[i], 1.0) + fresh[i] * (1 - share) * overall
                     with np.errstate(divide="ignore"):
                         logs.append(np.logaddexp(np.log(seen), np.log(fresh[i] * share) + spelling[i]) / LN10)
+                logs.append(spelling[k] / LN10)
                 yield pd.DataFrame({"word": batch["word"], "c": batch["c"], "p": list(np.stack(logs, axis=1))})
 
         return self.counts.mapInPandas(score, "word binary, c long, p array<double>")
@@ -357,14 +457,14 @@ class Model:
         return end if least is None else end.unionByName(short.where(F.col("step") >= least).drop("step"))
 
     def score(self, documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row; the rows must be those that were counted."""
+        """doc_id, n_tokens, n_known, train_tokens, base_score, score and lattice_score of each row; the rows must be those that were counted."""
         spark = documents.sparkSession
         top = self._head().collect()
         n, v, k = self.n, self.v, self.classes
         total = n + 0.5 * (v + 1)
         head = {bytes(r["word"]): i for i, r in enumerate(top)}
-        facts = np.array([[r["c"] > 0, np.log10((r["c"] + 0.5) / total), *r["p"]] for r in top]).reshape(len(top), k + 2)
-        sent = spark.sparkContext.broadcast((head, np.vstack([facts, np.zeros(k + 2)])))
+        facts = np.array([[r["c"] > 0, np.log10((r["c"] + 0.5) / total), *r["p"]] for r in top]).reshape(len(top), k + 3)
+        sent = spark.sparkContext.broadcast((head, np.vstack([facts, np.zeros(k + 3)])))
 
         def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             head, facts = sent.value
@@ -384,7 +484,7 @@ class Model:
         looked = rows.mapInPandas(look_up, "doc_id long, n_tokens long, known long, low double, own array<double>, rest array<binary>")
         looked = written(looked.withColumn("row", F.monotonically_increasing_id()), "looked")
         met = looked.select("row", F.explode("rest").alias("word")).join(self.lexicon, "word")
-        rest = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("known2"), F.sum(F.log10((F.col("c") + 0.5) / total)).alias("low2"), *(F.sum(F.col("p")[i]).alias(f"own{i}") for i in range(k)))
+        rest = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("known2"), F.sum(F.log10((F.col("c") + 0.5) / total)).alias("low2"), *(F.sum(F.col("p")[i]).alias(f"own{i}") for i in range(k + 1)))
         both = looked.drop("rest").join(rest, "row", "left")
         logs = F.array(*(F.lit(float(self.shares[i] / LN10)) + F.col("own")[i] + F.coalesce(f"own{i}", F.lit(0.0)) for i in range(k)))
         top_log = F.array_max("logs")
@@ -395,4 +495,5 @@ class Model:
             F.lit(n).cast("long").alias("train_tokens"),
             (F.col("low") + F.coalesce("low2", F.lit(0.0))).alias("base_score"),
             (top_log + F.log10(F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - top_log)))).alias("score"),
+            (F.col("own")[k] + F.coalesce(f"own{k}", F.lit(0.0))).alias("lattice_score"),
         )

@@ -24,7 +24,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = Model(documents, remainder("doc_id", 5) != 1).score(documents)
-    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +60,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import RULES, judge
 
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+    values = ", ".join(str(rule) for rule in RULES)
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), spark.sql(f"select * from values {values} as rules(host, path, verdict)")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -155,6 +156,64 @@ def test_lattice_sums_over_segmentations():
     assert used[1] == pytest.approx((p(0, 1) + p(3, 4, 1)) / sum(p(*w) for w in ways), rel=1e-5)
 
 
+def every_way(word, longest):
+    if not word:
+        yield []
+    for n in range(1, min(longest, len(word)) + 1):
+        for rest in every_way(word[n:], longest):
+            yield [word[:n], *rest]
+
+
+def test_long_words_score_as_short_ones(monkeypatch):
+    """Words of more than LONG characters, in parts, against all segmentations and against the recursion at once."""
+    pieces = {"▁a": 0, "b": 1, "ab": 2, "▁": 3, "a": 4, "▁ab": 5, "bba": 6}
+    weights = np.log(np.array([0.2, 0.2, 0.05, 0.2, 0.1, 0.1, 0.05, 0.04, 0.03, 0.02, 0.01]))
+    draw = random.Random(2)
+    words_ = [("".join(draw.choice("abž") for _ in range(n))).encode() for n in (0, 1, 3, 7, 9, 12)] * 2
+    short = lm_scoring.Lattice(pieces, weights)
+    want, used = short.log_spelling(words_), short.expected(words_)
+    price = lambda p: weights[pieces[p]] if p in pieces else weights[len(pieces) + len(p.encode()) - 1] if len(p) == 1 else -np.inf
+    for w, log in zip(words_[:5], want, strict=False):
+        assert log == pytest.approx(math.log(sum(math.exp(sum(map(price, way))) for way in every_way("▁" + w.decode(), 4))))
+    monkeypatch.setattr(lm_scoring, "LONG", 1)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 3)
+    assert short.log_spelling(words_) == pytest.approx(want) and short.expected(words_) == pytest.approx(used, rel=1e-4)
+
+
+def test_very_long_words_need_little_memory():
+    tracemalloc.start()
+    lattice = lm_scoring.Lattice(pieces := lm_scoring.vocabulary(), lm_scoring.Lattice.first(pieces))
+    draw = random.Random(5)
+    found = lattice.log_spelling(["".join(draw.choice("abcdefgh漢字") for _ in range(20_000)).encode() for _ in range(4)])
+    assert np.isfinite(found).all() and tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def test_lm_scores_equal_brute_force(spark):
+    """Both scores of each row by hand: one class, no fitted weights."""
+    texts = ["the cat sat", "The cat ran on the mat", None, "a dog", "zebra the"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_scoring.Model(rows, F.col("doc_id") < 4, classes=1, rounds=0)
+    found = {r["doc_id"]: r for r in model.score(rows).collect()}
+    tokens = {i: [*(t or "").lower().encode().split(), b""] for i, t in enumerate(texts)}
+    count = Counter(w for i, t in tokens.items() if i < 4 for w in t)
+    n, v, ones, twos = sum(count.values()), len(count), sum(c == 1 for c in count.values()), sum(c == 2 for c in count.values())
+    discount = min(max((ones + 0.5) / (ones + 2 * twos + 1.0), 0.1), 0.9)
+    fresh, spelt = discount * v / n, (ones + 1.0) / (ones + 2.0)
+    lattice = lm_scoring.Lattice(model.pieces, lm_scoring.Lattice.first(model.pieces))
+    for i, own in tokens.items():
+        logs = lattice.log_spelling(own)
+        chance = [max(count[w] - discount, 0) / n + fresh * (1 - spelt) * count[w] / n + fresh * spelt * math.exp(x) for w, x in zip(own, logs, strict=True)]
+        assert found[i]["score"] == pytest.approx(sum(map(math.log10, chance))) and found[i]["lattice_score"] == pytest.approx(logs.sum() / math.log(10))
+
+
+def test_classes_are_fitted_to_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SAMPLE", 4)
+    rows = spark.createDataFrame([(i, ("abab " if i % 4 else "xyxy ") * 30) for i in range(200)], "doc_id long, text string")
+    model = lm_scoring.Model(rows, F.lit(True), classes=2, rounds=0)
+    assert model.classes == 1 or sorted(np.exp(model.shares)) == pytest.approx([0.25, 0.75], abs=0.02)
+
+
 def test_unlearned_lm_still_scores(spark):
     rows = spark.createDataFrame([(1, "the cat"), (None, None)], "doc_id long, text string")
     found = lm_scoring.Model(rows, F.lit(False)).score(rows).orderBy("doc_id").collect()
@@ -420,7 +479,7 @@ def test_ranges_hold_as_many_rows_each(spark):
     assert max(sizes.values()) < 2 * 1002 / parts and ranged.agg(F.corr("part", F.least("doc_id", F.lit(1001)))).first()[0] > 0.99
 
 
-@pytest.mark.parametrize("samples", [20, 256])
+@pytest.mark.parametrize("samples", [20, 256, 4096])
 def test_collisions_estimate_generalised_jaccard(spark, samples):
     a, b = Counter({f"w{i}": 1 + i % 4 for i in range(40)}), Counter({f"w{i}": 1 + i % 3 for i in range(12, 50)})
     exact = sum((a & b).values()) / sum((a | b).values())
