@@ -16,15 +16,16 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import others, whole_text
+from .common import others, small_batches, whole_text
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens that a task remembers before it starts anew, and the longest that it remembers.
-CACHED, LONGEST = 300_000, 64
+CACHED, LONGEST = 60_000, 32
 
 
 def rank_file(spark: SparkSession, path: str | None = None) -> bytes:
@@ -113,6 +114,7 @@ def _tables(spark: SparkSession, path: str | None, pattern: str | None):
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
+    small_batches(spark)
     # The vocabulary: under 1 MB, whatever the input.
     return spark.sparkContext.broadcast((rank_file(spark, path), pattern))
 
@@ -125,7 +127,7 @@ def encode(documents: DataFrame, text: str = "text", path: str | None = None, pa
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(*tables.value)
         for batch in batches:
-            yield pd.Series([codec.encode(t) for t in batch])
+            yield pd.Series([np.array(codec.encode(t), np.int32) for t in batch], dtype=object)
 
     return documents.withColumn("ids", ids(whole_text(text)))
 
@@ -138,7 +140,7 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, patter
     def back(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = ranked(tables.value[0])
         for batch in batches:
-            yield pd.Series([b"".join([pieces[i] for i in row]) for row in batch])
+            yield pd.Series([b"".join([pieces[i] for i in row.tolist()]) for row in batch], dtype=object)
 
     return encoded.withColumn("decoded", back(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 

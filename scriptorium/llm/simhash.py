@@ -280,8 +280,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Large-star links each node's larger neighbours to the smallest node around, small-star the smaller ones, until
     nothing changes. A step reads and writes tables; the driver sees one number a step.
     """
-    both = edges.select("left", "right").union(edges.select(F.col("right"), F.col("left"))).toDF("u", "v")
-    current, before = written(both.where("u > v").distinct(), "links"), None
+    falling = edges.select(F.greatest("left", "right").alias("u"), F.least("left", "right").alias("v"))
+    current, before = written(falling.where("u > v").distinct(), "links"), None
     while True:
         around = current.select("u", "v").union(current.select(F.col("v"), F.col("u")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
