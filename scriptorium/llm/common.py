@@ -97,9 +97,9 @@ def small_batches(spark: SparkSession) -> None:
 
 class WordHashes(dict):
     """Bytes of a word to its 64-bit hash. Long words are not kept, and it is emptied when it has grown to `limit` words,
-    so its memory is bounded (some 30 MB)."""
+    so its memory is bounded (some 45 MB)."""
 
-    def __init__(self, seed: int = 0, limit: int = 150_000):
+    def __init__(self, seed: int = 0, limit: int = 250_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 

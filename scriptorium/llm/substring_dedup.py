@@ -42,6 +42,8 @@ WINDOW, PHRASE = 20, 6
 #: Words of a shard's documents together, and phrases of one automaton (some 1 KB each).
 SHARD_WORDS, AUTOMATON = 200_000, 50_000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
+#: Hashes of words that a worker meets in shard after shard.
+_KNOWN = WordHashes()
 
 
 def _sliding(values: np.ndarray, n: int, best) -> np.ndarray:
@@ -99,10 +101,9 @@ def occurrences(phrases: list[tuple[bytes, bool]], documents: list[list[bytes]],
 
 def _around(places: np.ndarray, n_windows: int, window: int, phrase: int) -> np.ndarray:
     """Whether each window holds a phrase at one of these places."""
-    change = np.zeros(n_windows + 1, np.int64)
-    np.add.at(change, np.clip(places - (window - phrase), 0, n_windows), 1)
-    np.add.at(change, np.clip(places + 1, 0, n_windows), -1)
-    return np.cumsum(change[:-1]) > 0
+    opened = np.bincount(np.clip(places - (window - phrase), 0, n_windows), minlength=n_windows + 1)
+    closed = np.bincount(np.clip(places + 1, 0, n_windows), minlength=n_windows + 1)
+    return np.cumsum(opened - closed)[:-1] > 0
 
 
 def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,24 +128,30 @@ def settle(documents: list[tuple[int, int, list[bytes]]], confirmed: set[int], k
         phrases.append((b" ".join(documents[document[first[i]]][2][at : at + phrase]), bool(across[i])))
     columns: list[list[np.ndarray]] = [[], [], [], [], []]
     for i, (places, marks) in enumerate(occurrences(phrases, [words for _, _, words in documents])):
+        if not len(places):
+            continue
         n = len(hashes[i]) - window + 1
         near = np.flatnonzero(_around(places, n, window, phrase))
         a = gram_hashes(hashes[i], window)[near]
         b = gram_hashes(mix(hashes[i] ^ _SECOND), window)[near]
         for column, values in zip(columns, (a, b, np.full(len(near), i), near, _around(places[marks], n, window, phrase)[near]), strict=True):
             column.append(values)
+    nothing = np.empty(0, np.int64)
+    if not columns[0]:
+        return [(nothing, nothing, nothing.view(np.uint64), nothing.view(np.uint64)) for _ in documents]
     a, b, index, at, asked = (np.concatenate(c) for c in columns)
     ids, keys = (np.array([d[k] for d in documents], np.int64)[index] for k in (0, 1))
     order, starts = _groups(a, b, ids, keys, at)
     group = np.cumsum(starts) - 1
-    ids, index, at, asked, a, b = (x[order] for x in (ids, index, at, asked, a, b))
-    again = np.append(False, (group[1:] == group[:-1]) & (index[1:] == index[:-1]))[: len(order)]
-    gone = again | (ids > ids[starts][group])
+    again = np.append(False, (group[1:] == group[:-1]) & (index[order][1:] == index[order][:-1]))
+    gone = np.empty(len(order), bool)
+    gone[order] = again | (ids[order] > ids[order][starts][group])
+    ask = ~gone & asked
+    bounds = np.searchsorted(index, np.arange(len(documents) + 1)).tolist()
     out = []
-    for i in range(len(documents)):
-        mine = index == i
-        ask = mine & ~gone & asked
-        out.append((np.sort(at[mine & gone]), at[ask], a[ask], b[ask]))
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        mine, theirs = gone[lo:hi], ask[lo:hi]
+        out.append((at[lo:hi][mine], at[lo:hi][theirs], a[lo:hi][theirs], b[lo:hi][theirs]))
     return out
 
 
@@ -160,12 +167,11 @@ def lost_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = _keyed(documents, doc_id, text)
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             sizes, digests, found = [], [], []
             for value in batch.column("text"):
                 words = value.as_py().encode().split()
-                h = np.unique(seeds(known.of(words), window, phrase)[0]) if len(words) >= window else np.empty(0, np.uint64)
+                h = np.unique(seeds(_KNOWN.of(words), window, phrase)[0]) if len(words) >= window else np.empty(0, np.uint64)
                 sizes.append(len(words))
                 digests.append(sha256(words))
                 found.append(h.view(np.int64))
@@ -202,7 +208,7 @@ def lost_windows(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
                 if len(words) >= window:
                     held[i, k] = words
         shard = [(i, k, held[i, k]) for i, k in sorted(held)]
-        found = settle(shard, set(phrases.tolist()), WordHashes(), window, phrase) if shard else []
+        found = settle(shard, set(phrases.tolist()), _KNOWN, window, phrase) if shard else []
         rows = [(d[0], d[1], g.astype(np.int32), at.astype(np.int32), a.view(np.int64), b.view(np.int64)) for d, (g, at, a, b) in zip(shard, found, strict=True) if len(g) or len(at)]
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)], schema=pa.schema(fields))
 
