@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import discard, written  # noqa: F401  for the operators
+
 #: A word is a run of anything but the six ASCII white-space characters.
 SPACES = "[\\x20\\x09-\\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -44,46 +43,6 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % modulus
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir. Where that is unset a local session gets one of
-    its own; a cluster is refused, as a folder of the driver's machine would not be its executors'."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="scriptorium-")
-        context.setCheckpointDir(root)
-    return root
-
-
-#: Spark then deletes a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: its lineage ends there, and a lost executor loses nothing."""
-    spark = frame.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        frame.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    table = spark.read.schema(frame.schema).parquet(path)
-    table.written_path = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing will read again."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Bytes of texts that a Python worker gets at a time.
 BATCH_BYTES = 4 << 20
 

@@ -3,8 +3,8 @@
 Grades 0..K share one weight vector over hashed text features; ordered thresholds separate them: the probability of a
 grade above g is logistic(weights . features - threshold_g). Features are hashed words (lower case), each with
 1 + ln(count), together of length one, and a few of the text's shape: its length, the shares of repeated words and
-lines, of letters and of punctuation, and how long its words are. Rows get the expected grade and the probability of the
-top grade.
+lines, of letters and of punctuation, and how long its words are. Rows get the expected grade and the probability of a
+grade in the tail that is selected.
 
 It is fitted to a bounded sample, EXAMPLES rated rows at most (the smallest hashes of their ids), by full-batch gradient
 steps with momentum; what leaves a task is a row's hashed features, DIMENSIONS numbers at most. Scoring is one pass
@@ -129,8 +129,13 @@ def fit(documents: DataFrame, ratings: DataFrame, learn: Column, doc_id: str = "
     return model, grades or [0]
 
 
-def score(documents: DataFrame, model: Ordinal, grades: list[int], text: str = "text", keep: float = KEEP) -> DataFrame:
-    """The rows with expected_grade, tail_prob (of the top grade) and keep (tail_prob is at least `keep`)."""
+def score(documents: DataFrame, model: Ordinal, grades: list[int], text: str = "text", keep: float = KEEP, tail: int | None = None) -> DataFrame:
+    """The rows with expected_grade, tail_prob (of a grade of at least `tail`, the top one by default) and keep (tail_prob
+    is at least `keep`)."""
+    tail = grades[-1] if tail is None else tail
+    # The threshold below the lowest grade of the tail; none if all grades or no grade belong to it.
+    cut = sum(g < tail for g in grades) - 1
+    certain = 1.0 if cut < 0 else 0.0
     small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast((model, grades))
 
@@ -142,7 +147,7 @@ def score(documents: DataFrame, model: Ordinal, grades: list[int], text: str = "
             out = []
             for t in batch:
                 above = model.above(*features(t)) if len(grades) > 1 else np.ones(0)
-                out.append((grades[0] + float((above * steps).sum()), float(above[-1]) if len(above) else 1.0))
+                out.append((grades[0] + float((above * steps).sum()), float(above[cut]) if 0 <= cut < len(above) else certain))
             yield pd.DataFrame(out, columns=["expected_grade", "tail_prob"])
 
     columns = others(documents, "expected_grade", "tail_prob", "keep")

@@ -53,8 +53,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, score
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, grades = fit(documents, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
-    return score(documents, model, grades).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "expected_grade", "tail_prob", "keep")
+    # Grades: 0 junk, 1 of quality but toxic, 2 of quality. What is selected has quality: grade 1 at least.
+    labels = table(spark, sf_dir, "labels")
+    rated = labels.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).cast("int").alias("grade"))
+    model, grades = fit(documents, rated, remainder("doc_id", 3) != 1, rating="grade")
+    return score(documents, model, grades, tail=1).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "expected_grade", "tail_prob", "keep")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

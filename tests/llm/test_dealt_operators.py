@@ -396,6 +396,38 @@ def test_quality_on_held_out_rows(spark, toxic):
     assert all(0 <= r["tail_prob"] <= 1 for r in held)
 
 
+def test_ordinal_fit_is_the_optimum():
+    """At the fitted weights and thresholds no small step lowers the loss, written here from its definition."""
+    draw = np.random.default_rng(4)
+    x = np.hstack([draw.normal(size=(150, 3)), np.ones((150, 1)), np.zeros((150, quality.SHAPES))])
+    grades = np.digitize(x[:, :3] @ [1.5, -1.0, 0.0] + draw.logistic(size=150), [-1.0, 1.0, 2.0])
+    rows = [(np.arange(x.shape[1], dtype=np.int32), row) for row in x]
+    model = quality.Ordinal(4, dimensions=4).fit(rows, grades, steps=4000)
+    share = np.bincount(grades, minlength=4)
+
+    def loss(weights, cuts):
+        above = 1 / (1 + np.exp(-((x @ weights)[:, None] - cuts)))
+        chance = np.hstack([np.ones((150, 1)), above])[np.arange(150), grades] - np.hstack([above, np.zeros((150, 1))])[np.arange(150), grades]
+        weight = 1 / share[grades]
+        return -(weight / weight.mean() * np.log(chance)).mean() + quality.RIDGE / 2 * (weights**2).sum()
+
+    best = loss(model.weights, model.cuts)
+    assert (np.diff(model.cuts) > 0).all() and best < loss(0 * model.weights, model.cuts) - 0.1
+    for size in (0.02, 0.2):
+        for _ in range(100):
+            assert loss(model.weights + draw.normal(size=len(model.weights)) * size, model.cuts + draw.normal(size=3) * size) > best - 1e-5
+
+
+@pytest.mark.parametrize("tail, cut", [(None, 1), (2, 1), (1, 0), (0, None)])
+def test_quality_tail(spark, tail, cut):
+    frame = spark.createDataFrame([(1, "a good text"), (2, None)], "doc_id long, text string").withColumn("keep", F.lit("old"))
+    model = quality.Ordinal(3)
+    model.cuts = np.array([-1.0, 0.5])
+    for row in quality.score(frame, model, [0, 1, 2], tail=tail).collect():
+        above = model.above(*quality.features({1: "a good text"}.get(row["doc_id"], "")))
+        assert row["tail_prob"] == pytest.approx(1.0 if cut is None else above[cut]) and row["expected_grade"] == pytest.approx(above.sum()) and row["keep"] == (row["tail_prob"] >= 0.5)
+
+
 def test_quality_of_odd_rows(docs, empty):
     none = docs.select("doc_id", F.lit(None).cast("int").alias("quality"))
     model, grades = quality.fit(docs, none, F.lit(True))
