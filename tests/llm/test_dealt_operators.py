@@ -538,6 +538,41 @@ def test_byte_bpe_equals_tiktoken(spark, docs):
         assert (got["n_tokens"], got["ids_sha256"]) == (len(r["ids"]), hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest())
 
 
+def test_outputs_replace_clashing_columns_and_empty_tables_stay_empty(spark):
+    rows = spark.createDataFrame([(1, "a text", "http://a.com/en/"), (1, "a text", "http://a.com/en/"), (None, None, None)], "doc_id long, text string, url string")
+    clashing = rows.withColumns({c: F.lit("old") for c in ("n_tokens", "ids_sha256", "decoded_sha256", "expected_grade", "tail_prob", "keep", "host", "path", "rule", "verdict", "score", "predicted", "evidence", "ids", "decoded", "word", "labels", "n_words")})
+    values = ", ".join(map(str, url_filter.RULES))
+    rules = spark.sql(f"select * from values {values} as r(host, path, verdict)")
+    index = toxicity.fit(rows, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), F.lit(True))
+    operators = {
+        "n_tokens": byte_bpe.digests, "ids": byte_bpe.encode, "keep": lambda d: quality.score(d, quality.Ordinal(2), [0, 1]), "verdict": lambda d: url_filter.judge(d, rules),
+        "predicted": lambda d: toxicity.score(d, index), "labels": license_scan.scan, "n_words": substring_dedup.remove_repeats,
+    }
+    for name, operator in operators.items():
+        out = operator(clashing)
+        assert [c.lower() for c in out.columns].count(name) == 1 and [r[name] != "old" for r in out.collect()] == [True] * 3, name
+        assert operator(clashing.limit(0)).count() == 0
+
+
+def test_one_very_long_word(spark):
+    """A text without white space, of 300,000 characters, through each operator that reads texts."""
+    rows = spark.createDataFrame([(1, "xy漢" * 100_000), (2, "short text")], "doc_id long, text string")
+    index = toxicity.fit(rows, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), F.lit(True))
+    assert toxicity.score(rows, index).count() == 2 and license_scan.scan(rows).first()["n_words"] >= 1
+    assert {r["n_removed"] for r in substring_dedup.remove_repeats(rows).collect()} == {0}
+    assert simhash.near_duplicates(rows).count() == 2 and fingerprint.fingerprints(rows).count() == 2
+    assert decontaminate.find(rows, rows.select(F.col("doc_id").alias("item_id"), "text")).count() == 2
+    assert byte_bpe.decode(byte_bpe.encode(rows)).where("cast(decoded as string) != text").count() == 0
+    assert all(math.isfinite(r["score"]) for r in lm_scoring.Model(rows, F.lit(True), rounds=1).score(rows).collect())
+
+
+def test_toxicity_ties_go_by_position(spark):
+    rows = spark.createDataFrame([(i, "scum here" if i % 2 else "fine words") for i in range(60)], "doc_id long, text string")
+    labels = rows.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    found = {tuple(map(str, r["evidence"])) + (r["score"],) for r in toxicity.score(rows, toxicity.fit(rows, labels, F.lit(True))).collect()}
+    assert len(found) == 2  # equal texts, equal evidence and score
+
+
 def bits_of(text):
     own = (text or "").encode().translate(ASCII_LOWER).split()
     shingles = [b" ".join(own[k : k + 4]) for k in range(len(own) - 3)] or ([b" ".join(own)] if own else [])

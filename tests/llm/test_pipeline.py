@@ -1,10 +1,15 @@
 """The queries over the small tables, and the pipeline stage by stage against what each must keep."""
 
+import random
+
 import corpus_pipeline
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from scriptorium.llm.common import written
+from scriptorium.llm import toxicity
+from scriptorium.llm.common import remainder, written
 from scriptorium.llm.decontaminate import sequence
 from scriptorium.llm.queries import ORACLE_SQL, QUERIES
 
@@ -53,6 +58,95 @@ def test_pipeline(spark):
     assert 0.6 * spark.read.parquet(f"{DATA}/documents.parquet").count() < docs.count()
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words_of(draw, n):
+    return " ".join(f"w{draw.randrange(3000)}" for _ in range(n))
+
+
+def documents(spark, rows):
+    return spark.createDataFrame([(i, t, None, "s", None if t is None else len(t)) for i, t in rows], SCHEMA).withColumn("kept", F.lit("old"))
+
+
+def test_toxicity_stage_equals_brute_force(spark, tmp_path):
+    """Documents that go are those whose score, by the cosine to every example, is 0.7 or more."""
+    draw = random.Random(3)
+    bad = ["scum", "moron", "idiot"]
+    rows = [(i, words_of(draw, 30) + (f" {draw.choice(bad)} {words_of(draw, 5)} {draw.choice(bad)}" if i % 4 == 0 else "")) for i in range(240)]
+    rows += [(1000, None), (1001, ""), (None, "moron moron"), (7, words_of(draw, 9)), (1002, "x" * 30_000)]
+    docs = documents(spark, rows)
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    index = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), remainder("doc_id", 3) != 1)
+
+    def score(text):
+        ids, weights = index.vector(toxicity.terms_of(text or "", index.terms, index.starts))
+        cosines = np.zeros(index.size)
+        for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
+            cosines[index.at[t]] += w * index.of[t]
+        best = np.lexsort((np.arange(index.size), -cosines))[: index.k] if len(ids) else np.empty(0, int)
+        if not len(best):
+            return index.prior
+        vote = min(max(index.vote(best, cosines[best]), 1e-4), 1 - 1e-4)
+        return 1 / (1 + np.exp(-(index.curve[0] * np.log(vote / (1 - vote)) + index.curve[1])))
+
+    want = [(i, t) for i, t in rows if score(t) < 0.7]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, want))
+    assert all(i % 4 for i, _ in want if i is not None and i < 240) and sum(i is not None and i < 240 for i, _ in want) == 181
+
+
+def test_substring_stage_equals_brute_force(spark):
+    draw = random.Random(5)
+    passages = [words_of(draw, 60) for _ in range(4)]
+    rows = [(i, f"{words_of(draw, 20)} {draw.choice(passages)} {words_of(draw, 20)}") for i in range(30)] + [(40, passages[0]), (41, None), (42, ""), (None, passages[1]), (5, "one two")]
+    kept = {(r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.cut_repeats(spark, documents(spark, rows), "").collect()}
+    first, want = {}, set()
+    for i, text in sorted((i, t) for i, t in rows if i is not None and t):
+        own = text.split()
+        for s in range(len(own) - 19):
+            first.setdefault(tuple(own[s : s + 20]), i)
+    for i, text in rows:
+        own, gone = (text or "").split(), set()
+        for s in range(len(own) - 19 if i is not None else 0):
+            if first[tuple(own[s : s + 20])] < i:
+                gone.update(range(s, s + 20))
+        left = " ".join(w for k, w in enumerate(own) if k not in gone) if gone else text
+        if not gone or left:
+            want.add((i, left, None if left is None else len(left)))
+    assert kept == want and len(want) == len(rows) - 1
+
+
+def edits(item, text):
+    """The smallest edit distance of the item to any passage of the text, by words."""
+    row = [0] * (len(text) + 1)
+    for i, w in enumerate(item, 1):
+        above, row = row, [i]
+        for j, x in enumerate(text, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (w != x)))
+    return min(row)
+
+
+@pytest.mark.parametrize("share, least", [(0.1, 0.99), (0.15, 0.97), (0.2, 0.94)])
+def test_decontamination_stage_equals_brute_force(spark, tmp_path, share, least):
+    """Every document that goes holds an item within a fifth of its words; nearly all that hold one go."""
+    draw = random.Random(share)
+    items = [(i, words_of(draw, draw.randint(6, 40))) for i in range(60)]
+    rows = []
+    for i, text in items * 4:
+        own = text.split()
+        for _ in range(int(share * len(own) + 1e-9)):
+            at = draw.randrange(len(own))
+            own[at : at + 1] = draw.choice([["zz"], [], [own[at], "zz"]])
+        rows.append((len(rows), f"{words_of(draw, 30)} {' '.join(own)} {words_of(draw, 30)}"))
+    rows += [(len(rows) + k, words_of(draw, 90)) for k in range(60)] + [(2000, None), (None, items[0][1]), (2001, "")]
+    spark.createDataFrame([*items, (98, None), (99, "w1 w2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_leaks(spark, documents(spark, rows), str(tmp_path)).collect()}
+    held = {(i, t) for i, t in rows if t and any(edits(x.split(), t.split()) <= int(0.2 * len(x.split()) + 1e-9) for _, x in [*items, (99, "w1 w2")])}
+    gone = set(rows) - kept
+    assert gone <= held and len(gone) >= least * len(held) and len(held) > 200
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
