@@ -280,9 +280,7 @@ def chunk_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 ENDS = "' ' || chr(10) || chr(9) || chr(13)"
 
 
-@query(
-    "chunk_articles",
-    f"""with recursive a as (
+ARTICLES = f"""with recursive a as (
           select doc_id, 1 as n, '1' as number, 'Članak 1.' || chr(10) as header, trim('Članak 1.' || chr(10) || text || chr(10) || chr(10) || 'Naslov drugi', {ENDS}) as body from documents
           union all select doc_id, 2, '2a', '', trim('Naslov drugi' || chr(10) || 'Članak 2a.' || chr(10) || text, {ENDS}) from documents),
         parts(doc_id, n, i, number, header, rest, chunk) as (
@@ -291,12 +289,21 @@ ENDS = "' ' || chr(10) || chr(9) || chr(13)"
           select doc_id, n, i + 1, number, header, header || ltrim(substr(rest, cut + 1), {ENDS}), rtrim(substr(rest, 1, cut), {ENDS}) from (
             select *, case when gap > 0 and 3500 - gap - 1 >= 1750 then 3500 - gap - 1 else 3500 end as cut from (
               select *, instr(reverse(substr(rest, 1, 3500)), chr(10) || chr(10)) as gap from parts where length(rest) > 3500))),
-        c as (select doc_id, n, i, number, chunk from parts where chunk is not null union all select doc_id, n, i + 1, number, trim(rest, {ENDS}) from parts where length(rest) <= 3500 and trim(rest, {ENDS}) <> '')
-        select doc_id, cast(count(*) over (partition by doc_id) as bigint) as chunk_count, cast(row_number() over (partition by doc_id order by n, i) - 1 as bigint) as chunk_index, number as article_number, chunk from c""",
+        c as (select doc_id, n, i, number, chunk from parts where chunk is not null union all select doc_id, n, i + 1, number, trim(rest, {ENDS}) from parts where length(rest) <= 3500 and trim(rest, {ENDS}) <> '')"""
+
+
+@query(
+    "chunk_articles",
+    ARTICLES
+    + """select doc_id, cast(count(*) over (partition by doc_id) as bigint) as chunk_count, cast(row_number() over (partition by doc_id order by n, i) - 1 as bigint) as chunk_index, number as article_number, chunk from c""",
 )
 def chunk_articles(spark: SparkSession, d: str) -> DataFrame:
+    return numbered_chunks(spark, d).drop("text")
+
+
+def numbered_chunks(spark: SparkSession, d: str) -> DataFrame:
     numbered = F.concat(F.lit("Uvod\n\nČlanak 1.\n"), F.col("text"), F.lit("\n\nNaslov drugi\nČlanak 2a.\n"), F.col("text"))
-    return chunking.article_chunks(table(spark, d, "documents").select("doc_id", numbered.alias("text"))).drop("text")
+    return chunking.article_chunks(table(spark, d, "documents").select("doc_id", numbered.alias("text")))
 
 
 @query("sft_messages", "select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as said, cast(count(*) as bigint) as n from conversations group by conv_id")
@@ -372,17 +379,26 @@ def source_sibling(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "cited_answers",
-    """select doc_id, case doc_id % 2 when 0 then case when b like '%.' then substr(b, 1, length(b) - 1) || ' [1][2].' else b || ' [1][2]' end
-              else b || case when b like '%.' then '' else '.' end || ' [1][2]' end as answer from (select doc_id, rtrim(text) as b from documents)""",
+    """select doc_id, case doc_id % 4 when 0 then case when b like '%.' then substr(b, 1, length(b) - 1) || ' [1][2].' else b || ' [1][2]' end
+              when 1 then b || case when b like '%.' then '' else '.' end || ' [1][2]'
+              when 2 then 'Prema izvoru [1] i izvoru [2], ' || lower(substr(b, 1, 1)) || substr(b, 2) else 'Na temelju priloženih izvoda: ' || b || ' [1][2]' end as answer from (select doc_id, rtrim(text) as b from documents)""",
 )
 def cited_answers(spark: SparkSession, d: str) -> DataFrame:
     body = F.rtrim("text")
-    return table(spark, d, "documents").select("doc_id", instruct.cited_answer(F.col("doc_id") % 2, body, F.array(F.lit(1), F.lit(2))).alias("answer"))
+    return table(spark, d, "documents").select("doc_id", instruct.cited_answer(F.col("doc_id") % 4, body, F.array(F.lit(1), F.lit(2))).alias("answer"))
 
 
-@query("prompt_frames", "select item_id, case item_id % 2 when 0 then '--- CONTEXT ---' || chr(10) || text || chr(10) || '--- END CONTEXT ---' || chr(10) || chr(10) || 'Pitanje: Što?' else 'Kontekst:' || chr(10) || text || chr(10) || chr(10) || 'Pitanje: Što?' end as prompt from benchmark")
+@query(
+    "prompt_frames",
+    """select item_id, case item_id % 6 when 0 then '--- CONTEXT ---' || n || c || n || '--- END CONTEXT ---' || n || n || 'Pitanje: Što?' when 1 then 'Kontekst:' || n || c || n || n || 'Pitanje: Što?'
+              when 2 then 'Izvori:' || n || '• ' || text || n || '• ' || text || n || n || 'Pitanje: Što?' when 3 then c || n || n || 'Što?'
+              when 4 then 'Odgovori na sljedeće pitanje koristeći priložene izvore. Citiraj brojem pasusa u uglatim zagradama:' || n || n || c || n || n || 'Pitanje: Što?'
+              else 'Što?' || n || n || '(Raspoloživi izvori — pogledaj ih prije odgovora:)' || n || c end as prompt
+       from (select item_id, chr(10) as n, text, text || chr(10) || chr(10) || text as c from benchmark)""",
+)
 def prompt_frames(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", instruct.framed(F.col("item_id") % 2, F.col("text"), F.lit("Što?")).alias("prompt"))
+    context = F.concat("text", F.lit("\n\n"), "text")
+    return table(spark, d, "benchmark").select("item_id", instruct.framed(F.col("item_id") % 6, context, F.lit("Što?")).alias("prompt"))
 
 
 @query("excerpts", "select doc_id, case when length(t) <= 300 then t when instr(lower(t), 'p-17/2020') > 0 then trim(substr(t, greatest(instr(lower(t), 'p-17/2020') - 60, 1), 300)) else trim(substr(t, 1, 300)) end as excerpt from (select doc_id, case when doc_id % 2 = 0 then substr(text, 1, 400) || ' P-17/2020 ' || substr(text, 401) else text end as t from documents)")
@@ -452,10 +468,10 @@ def dataset_scan(spark: SparkSession, d: str) -> DataFrame:
     return turns.where("k > 8").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("tokens"))
 
 
-@query("article_counts", "select doc_id % 3 as source_id, cast(count(*) filter (doc_id % 2 = 0) as bigint) as articles, cast(count(*) as bigint) as chunks from documents group by 1")
+@query("article_counts", ARTICLES + "select doc_id, cast(count(distinct number) as bigint) as articles, cast(count(*) as bigint) as chunks from c group by doc_id")
 def article_counts(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "documents").select((F.col("doc_id") % 3).alias("source_id"), F.when(F.col("doc_id") % 2 == 0, "1").alias("article_number"))
-    return chunks.groupBy("source_id").agg(F.count("article_number").alias("articles"), F.count(F.lit(1)).alias("chunks"))
+    chunks = numbered_chunks(spark, d).groupBy("doc_id", "article_number").agg(F.count(F.lit(1)).alias("n"))
+    return chunks.groupBy("doc_id").agg(F.count("article_number").alias("articles"), F.sum("n").alias("chunks"))
 
 
 @query("url_parts", "select page_id, regexp_extract(url, '://([^/?#]+)', 1) as host, regexp_extract(url, '/([a-z]{2})/([0-9]+)', 1) as lang, try_cast(regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2) as bigint) as number from pages")

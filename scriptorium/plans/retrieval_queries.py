@@ -113,20 +113,44 @@ def hybrid_exact(spark: SparkSession, d: str) -> DataFrame:
     return placed(spark, d).select("query_id", "id", "pos", "exact_pos", F.round("fused_score", 6).alias("fused_score"))
 
 
-@query(
-    "confidence_gate",
-    f"""with {FUSED}, best as (
+GATES = f"""with {FUSED}, best as (
           select query_id, max(coalesce(dense_score, 0.0)) as max_dense, max(coalesce(bm25_score, 0.0)) as max_bm25, bool_or(fused_score >= 1.0) as exact_match from hybrid where query_id <> 50 group by query_id)
         select q.query_id, coalesce(max_dense, 0.0) as max_dense, coalesce(max_bm25, 0.0) as max_bm25, coalesce(exact_match, false) as exact_match,
                case when b.query_id is null then false when exact_match then true else not (max_dense < 1.1 and max_bm25 < 30.0) end as confident,
                case when b.query_id is null then 'no hits' when exact_match then 'exact case-id match' when max_dense < 1.1 and max_bm25 < 30.0 then 'low confidence' else 'ok' end as reason
-        from (select query_id from {QUESTIONS} union select vec_id from embeddings where vec_id % 50 = 0) q left join best b on q.query_id = b.query_id""",
-)
+        from (select query_id from {QUESTIONS} union select vec_id from embeddings where vec_id % 50 = 0) q left join best b on q.query_id = b.query_id"""
+
+
+@query("confidence_gate", GATES)
 def confidence_gate(spark: SparkSession, d: str) -> DataFrame:
     asked = questions(spark, d).select("query_id").union(table(spark, d, "embeddings").where("vec_id % 50 = 0").select("vec_id")).distinct()
     return retrieval.gate(asked, hybrid(spark, d).where("query_id != 50"), 1.1, 30.0)
 
 
+#: What a model would say to a question, and a judge to what it says: by the question's number.
+REPLIES = ["Ne mogu odgovoriti na ovo pitanje.", "Odgovor stoji u izvoru [7], kako je rečeno.", "Ova tvrdnja nije točna prema izvoru [1].", "Ova tvrdnja je točna prema izvoru [2].\n---\nPitanje: novo?"]
+
+
+@query(
+    "answered_questions",
+    f"""with gates as ({GATES}),
+            shown as (select query_id, count(*) as n from (with {DENSE} select d.query_id, d.dense_rank from dense d join documents doc on doc.doc_id = d.id where dense_rank < {K}) group by query_id),
+            said as (select s.query_id, s.n, g.confident, (s.query_id // 50) % 5 as r from shown s join gates g on s.query_id = g.query_id)
+       select query_id, n, case when not confident then '' when r = 0 then '' when r = 1 then '{REPLIES[0]}' when r = 2 then '{REPLIES[1]}' when r = 3 then '{REPLIES[2]}' else 'Ova tvrdnja je točna prema izvoru [2].' end as answer,
+              case when not confident then 'refused_low_retrieval' when r = 0 then 'llm_error' when r = 1 then 'refused_by_model' when r = 2 then 'flagged' when r = 3 then 'flagged_nli' else 'answered' end as status,
+              confident and r = 4 as trustworthy, case when confident and r > 1 then cast(1 as bigint) end as n_claims, case when confident and r > 1 then r <> 3 end as faithful from said""",
+)
+def answered_questions(spark: SparkSession, d: str) -> DataFrame:
+    """From retrieval over context, model, citations and the judge to the status, with stand-ins for model and judge."""
+    shown = dense(spark, d, K).join(table(spark, d, "documents"), F.col("id") == F.col("doc_id"))
+    asked = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("dense_rank", "text"))).alias("p"))
+    asked = asked.select("query_id", F.lit("Što?").alias("query"), F.transform("p", lambda x: x["text"]).alias("passages"))
+    model = lambda query, context: F.get(F.array(*map(F.lit, REPLIES)), (F.floor(F.col("query_id") / 50) % 5 - 1).cast("int"))
+    judge = lambda sentence, evidence: F.when(F.contains(sentence, F.lit("nije točna")) | (evidence == ""), "UNSUPPORTED").otherwise("SUPPORTED")
+    done = verification.answered(asked, confidence_gate(spark, d), model, judge)
+    return done.select("query_id", F.size("passages").cast("long").alias("n"), "answer", "status", "trustworthy", "n_claims", "faithful")
+
+
 @query("chunk_by_id", "select doc_id, cast(length(text) as bigint) as n from documents where doc_id = 17")
 def chunk_by_id(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("doc_id = 17").select("doc_id", F.length("text").cast("long").alias("n"))
