@@ -145,6 +145,26 @@ def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, patter
     return encoded.withColumn("decoded", back(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
+def round_trip(documents: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The rows with `ids` and round_trip: whether decoding them gives the text's bytes. Both ways run in one pass, so a
+    task needs one Python worker."""
+    tables = _tables(documents.sparkSession, path, pattern)
+
+    @F.pandas_udf("ids array<int>, round_trip boolean")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = Codec(*tables.value)
+        for batch in batches:
+            ids, same = [], []
+            for t in batch:
+                own = codec.encode(t)
+                ids.append(np.array(own, np.int32))
+                same.append(codec.decode(own) == t.encode())
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": same})
+
+    coded = documents.select(*others(documents, "ids", "round_trip"), both(whole_text(text)).alias("_both"))
+    return coded.select(*others(coded, "_both"), "_both.*")
+
+
 def digests(documents: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """The rows with n_tokens, ids_sha256 (of the decimal ids, joined by a space) and decoded_sha256 of a round trip.
 

@@ -43,7 +43,7 @@ WINDOW, PHRASE = 20, 6
 SHARD_WORDS, AUTOMATON = 200_000, 50_000
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 #: Hashes of words that a worker meets in shard after shard.
-_KNOWN = WordHashes()
+_KNOWN = WordHashes(limit=100_000)
 
 
 def _sliding(values: np.ndarray, n: int, best) -> np.ndarray:

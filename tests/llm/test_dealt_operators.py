@@ -532,6 +532,8 @@ def test_byte_bpe_equals_tiktoken(spark, docs):
     coded = byte_bpe.decode(byte_bpe.encode(rows)).collect()
     for r in coded:
         assert list(r["ids"]) == plain.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
+    trip = {r["doc_id"]: (list(r["ids"]), r["round_trip"]) for r in byte_bpe.round_trip(rows).collect()}
+    assert trip == {r["doc_id"]: (list(r["ids"]), True) for r in coded}
     short = {r["doc_id"]: r for r in byte_bpe.digests(rows).collect()}
     for r in coded:
         got = short[r["doc_id"]]
