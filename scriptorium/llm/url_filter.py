@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 DEFAULT_VERDICT = "allow"
+SWEEP_ROWS = 20_000
 
 
 def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -50,11 +51,11 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT_VERDICT, salts: int = 32) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT_VERDICT, sweep_rows: int = SWEEP_ROWS) -> DataFrame:
     """The pages with host, path, rule and verdict.
 
     URLs are judged once per distinct host and path. The sweep of a node that many URLs share (a top-level domain) is
-    dealt over `salts` parts, each with its own copy of the node's rules.
+    dealt over parts of about `sweep_rows` URLs, each with its own copy of the node's rules.
     """
     pages = with_host_and_path(pages, url)
     stacks = rule_stacks(rules)
@@ -63,9 +64,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     deepest = rules.agg(F.max(F.size(F.split("host", "\\."))).alias("n")).first()["n"] or 0  # one number
     # Only nodes no deeper than the deepest rule can have rules.
     ancestors = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(deepest, 1)))), lambda n: F.array_join(F.slice(labels, 1, n), "."))
-    visits = keys.select("host", "path", F.explode(ancestors).alias("node")).withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int"))
-    visits = visits.join(stacks.select("node").distinct(), "node", "left_semi")
-    starts = stacks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    visits = keys.select("host", "path", F.explode(ancestors).alias("node"))
+    salts = visits.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / sweep_rows).cast("int").alias("salts")).join(stacks.select("node").distinct(), "node", "left_semi")
+    visits = visits.join(salts, "node").withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.col("salts")).cast("int")).drop("salts")
+    starts = stacks.join(salts, "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     events = visits.withColumn("kind", F.lit(1)).unionByName(starts.withColumn("kind", F.lit(0)), allowMissingColumns=True)
     sweep = Window.partitionBy("node", "salt").orderBy("path", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = events.withColumn("open", F.last("open", ignorenulls=True).over(sweep)).where("kind = 1")
