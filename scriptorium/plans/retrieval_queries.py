@@ -208,7 +208,7 @@ def model_replies(spark: SparkSession, d: str) -> DataFrame:
 
 def _sentences(text: str) -> str:
     """A mark before what opens a sentence after . ! ?, unless an abbreviation stands there."""
-    held = f"regexp_replace({text}, '\\b({'|'.join(X.ABBREVIATIONS)})\\. (\\s*)', '\\1.' || chr(1) || ' \\2', 'g')"
+    held = f"regexp_replace({text}, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(X.ABBREVIATIONS)})\\. (\\s*)', '\\1\\2.' || chr(1) || ' \\3', 'g')"
     return f"list_filter(list_transform(string_split(regexp_replace({held}, '([.!?])\\s+([A-ZŠĐČĆŽ0-9\\[])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: trim(replace(s, chr(1), ''))), lambda s: s <> '')"
 
 
