@@ -94,6 +94,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import trie
+
+    return trie(table(spark, sf_dir, "conversations")).drop("first", "last")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -125,4 +132,39 @@ ORACLE_SQL: dict[str, str] = {
         )
         select s.page_id, s.host, s.path, b.rule, coalesce(b.v, 'allow') as verdict from split_up s left join best b on s.page_id = b.page_id
     """,
+    "op12_prefix_trie": r"""
+        with crc as (
+            select list_transform(range(256), lambda n: list_reduce([cast(n as bigint), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t
+        ), turns as (
+            select conv_id as c, row_number() over (partition by conv_id order by turn nulls first) as i, sha256(coalesce(role, '') || chr(31) || coalesce(text, '')) as turn, length(coalesce(text, '')) as chars
+            from conversations where conv_id is not null
+        ), own as (
+            select c, n, list_reduce(list_prepend(4294967295, list_transform(range(1, length(c::varchar) + 1), lambda j: cast(ord(substr(c::varchar, cast(j as int), 1)) as bigint))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])) as raw
+            from (select c, max(i) as n from turns group by c) as sizes, crc
+        ), convs as (
+            select own.c, own.n, xor(own.raw, 4294967295) % 6 as h, own.c - own.c % 100 as base, coalesce(bases.n, 0) as base_n from own left join own as bases on bases.c = own.c - own.c % 100
+        ), rebuilt as (
+            select convs.c, i as d, turn, chars from convs join turns on turns.c = base and i <= h
+            union all
+            select convs.c, i - h + least(h, base_n), turn, chars from convs join turns on turns.c = convs.c and i > h
+        ), paths as (
+            select convs.c, coalesce(string_agg(turn, '' order by d), '') as path, list_prepend(0, coalesce(list(chars order by d), [])) as chars, count(turn) as size
+            from convs left join rebuilt on rebuilt.c = convs.c group by convs.c
+        ), steps as (
+            select c, path, chars, size, unnest(range(0, size + 1)) as d from paths
+        ), nodes as (
+            select substr(path, 1, cast(64 * d as int)) as k, d, min(c) as conv_id, count(*) as n_convs, max(chars[d + 1]) as chars, string_agg(case when size = d then c::varchar end, ',' order by c) as ends
+            from steps group by 1, 2
+        ), kids as (
+            select substr(k, 1, cast(64 * (d - 1) as int)) as k, count(*) as n from nodes where d > 0 group by 1
+        ), facts as (
+            select nodes.*, coalesce(kids.n, 0) as n_children, (n_convs - 1) * chars as saving from nodes left join kids on kids.k = nodes.k
+        ), above as (
+            select k, n_children, saving, unnest(range(0, d + 1)) as e from facts
+        ), subtrees as (
+            select substr(k, 1, cast(64 * e as int)) as k, count(case when n_children = 0 then 1 end) as n_leaves, sum(saving) as saved from above group by 1
+        )
+        select facts.conv_id, facts.d as depth, parents.conv_id as parent_conv_id, facts.n_convs, facts.n_children, n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(facts.ends, '')) as ends_sha256
+        from facts join subtrees on subtrees.k = facts.k left join nodes as parents on facts.d > 0 and parents.k = substr(facts.k, 1, cast(64 * (facts.d - 1) as int))
+    """,
 }
