@@ -100,6 +100,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(table(spark, sf_dir, "conversations")).drop("first", "last")
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
