@@ -94,6 +94,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import remainder
+    from .quality_rules import fit, judge
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(documents, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return judge(documents, model).drop("text").withColumn("held_out", remainder("doc_id", 3) == 1)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import trie
 
@@ -118,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_simhash": op10_simhash,
+    "op11_quality_rules": op11_quality_rules,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_importance": op13_importance,
 }
