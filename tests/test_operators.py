@@ -336,28 +336,6 @@ def test_no_window_passes_more(times, most):
     assert all(n <= most for n in passed.values())
 
 
-def test_stream_and_replay_agree(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts", "user_id")
-    batch = {(r["user_id"], r["event_id"]): r["passed"] for r in limits.replay(events, "user_id", "ts", "event_id", 3, 43_200).collect()}
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    query = limits.limit_stream(stream, "user_id", "ts", "event_id", 3, 43_200).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert {(r["user_id"], r["event_id"]): r["passed"] for r in spark.table("limited").collect()} == batch
-
-
-def test_search_text_is_written_where_it_changed(spark, tmp_path):
-    def run(rows):
-        spark.createDataFrame(rows, "id long, t string, at int").write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema("id long, t string, at int").parquet(str(tmp_path / "in"))
-        limits.keep_search_text(stream, F.lower("t"), "id", str(tmp_path / "out"), str(tmp_path / "cp"), "at").awaitTermination(120)
-        return sorted((r["id"], r["search_text"], r["version"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-
-    assert run([(1, "A", 3), (1, "Z", 2), (2, "B", 3)]) == [(1, "a", 1), (2, "b", 1)]
-    assert run([(1, "A", 4), (2, "C", 4), (2, "OLD", 1)]) == [(1, "a", 1), (2, "b", 1), (2, "c", 2)]
-    assert run([(2, "LATE", 2)]) == [(1, "a", 1), (2, "b", 1), (2, "c", 2)]
-
-
 def test_points_by_bands_equal_brute_force(spark):
     draw = random.Random(6)
     rings = [[[[draw.uniform(0, 10), draw.uniform(0, 10)] for _ in range(draw.randint(3, 9))]] for _ in range(12)]
