@@ -42,9 +42,14 @@ class LexicalIndex:
     terms: DataFrame
     postings: DataFrame | None = None
     tokens: DataFrame | None = None
+    #: Of postings in folders: a term's folder, which the postings have as the column `bucket`.
+    bucket: Callable[[Column], Column] | None = None
 
     def of_terms(self, wanted: DataFrame) -> DataFrame:
         """term, id, tf, dl of the wanted terms; of tokens, others go before anything is shuffled."""
+        if self.bucket is not None:
+            folders = [r["b"] for r in wanted.select(self.bucket(F.col("term")).alias("b")).distinct().collect()]  # as many as there are folders
+            return self.postings.where(F.col("bucket").isin(folders)).join(wanted, "term", "left_semi").drop("bucket")
         if self.postings is not None:
             return self.postings.join(wanted, "term", "left_semi")
         each = self.tokens.select("id", "dl", F.explode("tokens").alias("term"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import FOLD_FROM, FOLD_TO, STOP_WORDS, TOKEN
+from ..operators import textindex
+from ..sources.scratch import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
+    """The index of the documents' texts, which queries of one session share."""
+    return textindex.kept(table(spark, sf_dir, "documents").select("doc_id", "text", "_metadata"), folder(spark))
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -50,6 +57,11 @@ def sql_fold(text: str) -> str:
     return f"translate({text}, '{FOLD_FROM}', '{FOLD_TO}')"
 
 
+def sql_plain(token: str) -> str:
+    """A token without accents."""
+    return f"translate({token}, '{textindex.ACCENTED}', '{textindex.PLAIN}')"
+
+
 def sql_collapsed(text: str) -> str:
     return f"trim(regexp_replace({text}, '{SQL_SPACE}', ' ', 'g'))"
 

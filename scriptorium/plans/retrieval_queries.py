@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.vectors import dot, unit
 from ..operators import corpus, instruct, retrieval, verification
-from .common import query, sql_tokens, table
+from .common import query, sql_tokens, stored_index, table
 from .corpus_queries import PAIRS, pairs
 
 K, WIDE = 6, 24
@@ -60,7 +60,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical(spark: SparkSession, d: str, k: int = WIDE) -> DataFrame:
-    return retrieval.top_bm25(retrieval.build_lexical(table(spark, d, "documents")), questions(spark, d), k)
+    return retrieval.top_bm25(stored_index(spark, d).lexical(), questions(spark, d), k)
 
 
 def dense(spark: SparkSession, d: str, k: int = WIDE) -> DataFrame:
@@ -81,7 +81,7 @@ def placed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bm25_stats", f"with {INDEX} select cast(count(*) as bigint) as terms, cast(sum(df) as bigint) as postings, round(avg(idf), 6) as mean_idf, (select cast(sum(dl) as bigint) from lens) as tokens from idfs")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    index = retrieval.build_lexical(table(spark, d, "documents"))
+    index = stored_index(spark, d).lexical()
     terms = index.terms.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.round(F.avg("idf"), 6).alias("mean_idf"))
     return terms.join(F.broadcast(index.lengths.agg(F.sum("dl").alias("tokens"))))
 

@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import site
 from ..streaming import limits
-from .common import literal_rows, query, sql_collapsed, sql_fold, sql_tokens, table
+from .common import literal_rows, query, sql_collapsed, sql_fold, sql_plain, sql_tokens, stored_index, table
 
 WORDS = "the that"
+PLAIN_TOKENS = f"(select doc_id, lang, source, list_transform({sql_tokens('text')}, lambda t: {sql_plain('t')}) as ts from documents)"
 FOUND = f"""
     found as (select d.doc_id, d.lang, c.court_name, round(len(list_filter(ts, lambda t: t in ('the', 'that'))) / len(ts), 6) as rank
-              from (select *, {sql_tokens('text')} as ts from documents) d
+              from {PLAIN_TOKENS} d
               left join (select distinct source, upper(source) as court_name from documents where source <> 'src3') c on d.source = c.source
               where d.lang = 'en' and list_contains(ts, 'the') and list_contains(ts, 'that'))
 """
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
     courts = docs.where("source != 'src3'").select("source").distinct().withColumn("court_name", F.upper("source"))
-    hits = site.search(docs.where(site.facets({"lang": "en", "source": None})), WORDS)
+    hits = docs.where(site.facets({"lang": "en", "source": None})).join(stored_index(spark, d).search(WORDS), F.col("doc_id") == F.col("id"))
     return hits.join(courts, "source", "left").select("doc_id", "lang", "court_name", "rank")
 
 
@@ -36,6 +37,19 @@ def search_page2(spark: SparkSession, d: str) -> DataFrame:
     return site.page(found(spark, d), [F.desc("rank"), F.asc("doc_id")], 2, 10)
 
 
+#: A phrase spelt with accents that the texts have not.
+PHRASE = "Thé ánd"
+
+
+@query(
+    "phrase_search",
+    f"""select doc_id, array_to_string(places, ',') as places from (
+          select doc_id, list_filter(range(0, len(ts) - 1), lambda i: ts[i + 1] = 'the' and ts[i + 2] = 'and') as places from {PLAIN_TOKENS}) where len(places) > 0""",
+)
+def phrase_search(spark: SparkSession, d: str) -> DataFrame:
+    return stored_index(spark, d).phrase(PHRASE).select(F.col("id").alias("doc_id"), F.array_join("places", ",").alias("places"))
+
+
 @query("search_count", f"with {FOUND} select cast(count(*) as bigint) as total_docs, 2 as page, 10 as size, cast(ceil(count(*) / 10) as bigint) as total_pages, ceil(count(*) / 10) > 2 as has_next, true as has_prev from found")
 def search_count(spark: SparkSession, d: str) -> DataFrame:
     return site.envelope(found(spark, d), 2, 10)
