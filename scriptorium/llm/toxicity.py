@@ -1,21 +1,26 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words (lower case) and their first four and five letters. Of the learned rows a bounded sample, EXAMPLES of
-each label at most and the smallest hashes of their ids, gives the examples. All terms that toxic examples have
-significantly more often make the vocabulary; all other words of a text together are one more term, so that a single
-hit in a long text weighs little. A vector has (1 + ln(count)) * ln(1 + rows / rows with the term), to length one.
-Examples with the same vector are one entry with the mean of its labels, weighted back to the labels' true shares.
-
-The index has the entries in blocks; for each term and block it keeps the largest weight. A query's bound for a block
-is the sum of its weights times those; blocks are taken by falling bound, until no block left can reach the k-th best
-cosine found so far. The nearest entries vote with the inverse square of their distance. Votes become a probability by a
-logistic curve, fitted to the votes that the examples themselves get with their own entry's row left out.
+Terms are words (lower case) and their first four and five letters, all of them. A term's weight in a text is
+(1 + ln(count)) * ln(1 + examples / examples with the term) * strength, and vectors have length one; terms that no
+example has count in a text's length too. Strength is a factor between FLOOR and FLOOR + 1 that says how unevenly the
+labels of the examples share the term: FLOOR + min(|z| / STRONG, 1) ** 2, z being the two shares' difference in standard
+deviations. (With no such factor the few words that make a text toxic are outweighed by the rest.) Of the learned rows
+a bounded sample, EXAMPLES of each label at most and the smallest hashes of their ids, gives the examples. Examples with
+the same terms are one entry with the mean of their labels.
+
+The index has the entries in blocks; for each term and block it keeps the postings and their largest weight. A query's
+bound for a block is the sum of its weights times those; blocks are taken by falling bound, in groups, until no block left
+can reach the k-th best cosine found so far. The nearest entries vote with the inverse square of their distance. Votes
+become a probability by a logistic curve, fitted to the votes that the examples themselves get with their own row left
+out, and weighted back to the labels' true shares.
 
 What is learned is bounded by EXAMPLES, so it is sent to every task; scoring is one pass without a shuffle.
 
-A null or empty text has no terms: its score is the learned share of label 1 among entries without terms. Labels that
-disagree on a doc_id count as the larger, and of examples that share a doc_id the smallest text is learned; null labels and labels without a document count as none. With no examples of
-both labels every score is the share of label 1 (0 with no labels at all). Repeated rows are scored each.
+A null or empty text, or one without a term of any example, has no neighbours: its score is the learned share of label 1.
+Labels that disagree on a doc_id count as the larger, and of examples that share a doc_id the smallest text is learned;
+null labels and labels without a document count as none. With no examples of both labels every score is the share of
+label 1 (0 with no labels at all). Repeated rows are scored each. An empty table gives an empty one. Output columns
+replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,142 +37,137 @@ from pyspark.sql import functions as F
 
 from .common import others, small_batches, whole_text
 
-EXAMPLES = 4_096
+EXAMPLES = 1_024
 NEAREST, BLOCK = 15, 64
-#: Results that a task remembers by their few terms before it starts anew.
-KNOWN = 5_000
-#: The background term: all words without a term in the vocabulary.
-REST = ""
+#: Blocks that are searched first.
+FIRST = 4
+FLOOR, STRONG = 0.05, 8.0
 THRESHOLD = 0.7
 
 
-def terms_of(text: str, wanted: dict[str, int] | None = None, starts: set[str] | None = None) -> Counter[str]:
-    """How often each term occurs. With a vocabulary: only its terms, and REST for words that have none of them."""
-    words = Counter(re.findall(r"\w+", text.lower()))
-    found: Counter[str] = Counter()
-    if wanted is None:
-        for word, n in words.items():
-            for term in {word, f"{word[:5]}*" if len(word) >= 5 else word, f"{word[:4]}*" if len(word) >= 4 else word}:
-                found[term] += n
-        return found
-    rest = 0
-    for word, n in words.items():
-        hit = False
-        if word[:4] in starts:
-            for term in {word, f"{word[:5]}*" if len(word) >= 5 else word, f"{word[:4]}*" if len(word) >= 4 else word}:
-                if term in wanted:
-                    found[term] += n
-                    hit = True
-        if not hit:
-            rest += n
-    if rest:
-        found[REST] = rest
+def terms_of(text: str) -> Counter[str]:
+    """How often each term occurs."""
+    words = re.findall(r"\w+", text.lower())
+    found = Counter(words)
+    found.update([w[:4] + "*" for w in words if len(w) >= 4])
+    found.update([w[:5] + "*" for w in words if len(w) >= 5])
     return found
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start up to its end, one range after the other, and the ranges' lengths."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(starts - before, sizes), sizes
+
+
 class Index:
     """The examples' entries, their blocks and the logistic curve; small, and sent to the tasks as it is."""
 
-    def __init__(self, rows: list[tuple[int, dict[str, int], int]], vocabulary: list[str], shares: dict[int, float], k: int = NEAREST):
+    def __init__(self, rows: list[tuple[int, dict[str, int], int]], shares: dict[int, float], k: int = NEAREST):
         """rows: (doc_id, counts of terms, label); shares: what each row of a label stands for."""
         self.k = k
-        self.terms = {t: i for i, t in enumerate([REST, *vocabulary])}
-        self.starts = {t.rstrip("*")[:4] for t in vocabulary}
-        n = max(1, len(rows))
-        df = np.zeros(len(self.terms))
-        for _, counts, _ in rows:
-            df[[self.terms[t] for t in counts]] += 1
-        # Entries weigh as much as the rows that they stand for.
-        self.idf = np.log1p(n / np.maximum(df, 1.0))
+        self.terms = {t: i for i, t in enumerate(sorted({t for _, counts, _ in rows for t in counts}))}
+        n, size = max(1, len(rows)), len(self.terms)
+        df = np.zeros((2, size + 1))  # the last: a term that no example has
+        for _, counts, label in rows:
+            df[label, [self.terms[t] for t in counts]] += 1
+        of = [max(1, sum(label == y for _, _, label in rows)) for y in (0, 1)]
+        both = (df.sum(axis=0) + 1.0) / (n + 2.0)
+        z = (df[1] / of[1] - df[0] / of[0]) / np.sqrt(both * (1 - both) * (1.0 / of[0] + 1.0 / of[1]))
+        z[-1] = 0.0
+        self.weights = np.log1p(n / np.maximum(df.sum(axis=0), 1.0)) * (FLOOR + np.minimum(np.abs(z) / STRONG, 1.0) ** 2)
         entries: dict[tuple, list[tuple[int, int]]] = {}
         for doc_id, counts, label in rows:
-            ids, weights = self.vector(counts)
-            entries.setdefault(tuple(zip(ids.tolist(), np.round(weights, 9).tolist(), strict=True)), []).append((doc_id, label))
+            entries.setdefault(tuple(sorted(counts.items())), []).append((doc_id, label))
         # Entries with the same strongest term stand together, so that blocks differ in what they bound.
-        order = sorted(entries, key=lambda e: (max(e, key=lambda x: (x[1], x[0]))[0] if len(e) else -1, len(e), e))
-        self.size = len(order)
-        blocks = max(1, -(-self.size // BLOCK))
-        self.weight, self.toxic, self.example = np.zeros(self.size), np.zeros(self.size), np.full(self.size, -1, np.int64)
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for i, entry in enumerate(order):
-            for t, w in entry:
-                postings[t].append((i, w))
-            for _, label in entries[entry]:
-                self.weight[i] += shares[label]
-                self.toxic[i] += shares[label] * label
-            self.example[i] = min(d for d, _ in entries[entry])
-        # Per term: its entries in order, their weights, where each block begins in them, and each block's largest weight.
-        self.at = [np.array([i for i, _ in p], np.int64) for p in postings]
-        self.of = [np.array([w for _, w in p]) for p in postings]
-        edges = np.arange(blocks + 1) * BLOCK
-        self.cut = [np.searchsorted(at, edges).tolist() for at in self.at]
-        self.bounds = np.zeros((len(self.terms), blocks))
-        for t, (at, of) in enumerate(zip(self.at, self.of, strict=True)):
-            np.maximum.at(self.bounds[t], at // BLOCK, of)
-        self.prior = float(self.toxic.sum() / self.weight.sum()) if self.weight.sum() else 0.0
+        vectors = [(*self.vector(dict(entry)), own) for entry, own in entries.items()]
+        vectors.sort(key=lambda v: (int(v[0][np.argmax(v[1])]) if len(v[0]) else -1, min(v[2])))
+        self.size = len(vectors)
+        self.rows = np.array([len(own) for _, _, own in vectors], float)
+        self.toxic = np.array([sum(y for _, y in own) for _, _, own in vectors], float)
+        self.example = np.array([min(d for d, _ in own) for _, _, own in vectors], np.int64)
+        # Postings by term and entry; their blocks, each with its largest weight; where a term's blocks begin.
+        term = np.concatenate([v[0] for v in vectors] or [np.empty(0, np.int64)])
+        entry = np.repeat(np.arange(self.size), [len(v[0]) for v in vectors])
+        value = np.concatenate([v[1] for v in vectors] or [np.empty(0)])
+        order = np.lexsort((entry, term))
+        self.entry, self.value, term = entry[order], value[order], term[order]
+        self.blocks = -(-self.size // BLOCK)
+        key = term * max(1, self.blocks) + self.entry // BLOCK
+        self.start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        self.end = np.append(self.start[1:], len(key)) if len(key) else self.start
+        self.block = self.entry[self.start] // BLOCK
+        self.most = np.maximum.reduceat(self.value, self.start) if len(key) else np.empty(0)
+        self.first = np.searchsorted(term[self.start], np.arange(size + 1))
+        labels = {label for _, _, label in rows}
+        stands = {y: sum(label == y for _, _, label in rows) * shares[y] for y in (0, 1)}
+        self.prior = stands[1] / (stands[0] + stands[1]) if rows else 0.0
         self.curve = (1.0, 0.0)
-        self.known: dict[tuple, tuple[float, list[tuple[int, float, float]]]] = {}
-        self._calibrate(order, entries, shares)
+        self.learned = len(labels) == 2
+        if self.learned:
+            self._calibrate(vectors, shares)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(self.terms[t] for t in counts), np.int64)
-        names = {self.terms[t]: n for t, n in counts.items()}
-        weights = np.array([(1.0 + np.log(names[i])) * self.idf[i] for i in ids.tolist()])
-        size = np.sqrt((weights**2).sum())
-        return ids, weights / size if size else weights
+        """The terms of a text that examples have, and their weights; the rest only shortens them."""
+        none = len(self.terms)
+        ids = np.array(list(map(self.terms.get, counts, repeat(none))), np.int64)
+        weights = (1.0 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weights[ids]
+        size = np.sqrt((weights**2).sum()) or 1.0
+        known = ids < none
+        order = np.argsort(ids[known], kind="stable")
+        return ids[known][order], (weights[known] / size)[order]
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest entries, exactly; ties by position."""
-        if not self.size or not len(ids):
-            return np.empty(0, np.int64), np.empty(0)
-        bounds = weights @ self.bounds[ids] + 1e-9
-        order = np.argsort(-bounds, kind="stable").tolist()
-        query = list(zip(ids.tolist(), weights.tolist(), strict=True))
+        """Positions and cosines of the k nearest entries that share a term, exactly; ties by position."""
         at, cosines = np.empty(0, np.int64), np.empty(0)
-        for block in order:
-            if len(cosines) >= self.k and bounds[block] < cosines[-1]:
-                break
-            first = block * BLOCK
-            sums = np.zeros(min(BLOCK, self.size - first))
-            for t, w in query:
-                lo, hi = self.cut[t][block], self.cut[t][block + 1]
-                if lo < hi:
-                    sums[self.at[t][lo:hi] - first] += w * self.of[t][lo:hi]
-            at, cosines = np.concatenate([at, np.arange(first, first + len(sums))]), np.concatenate([cosines, sums])
+        if not self.size or not len(ids):
+            return at, cosines
+        own, sizes = _ranges(self.first[ids], self.first[ids + 1])
+        block, by = self.block[own], np.repeat(weights, sizes)
+        bounds = np.bincount(block, by * self.most[own], self.blocks) + 1e-9
+        order = np.argsort(-bounds, kind="stable")
+        # First the blocks with the largest bounds; then all that may still hold a better entry than the k-th.
+        for blocks in (order[:FIRST], order[FIRST:]):
+            if len(cosines) >= self.k:
+                blocks = blocks[bounds[blocks] >= cosines[-1]]
+            if not len(blocks):
+                continue
+            taken = np.zeros(self.blocks, bool)
+            taken[blocks] = True
+            some = taken[block]
+            postings, sizes = _ranges(self.start[own[some]], self.end[own[some]])
+            sums = np.bincount(self.entry[postings], np.repeat(by[some], sizes) * self.value[postings], self.size)
+            hit = np.flatnonzero(sums)
+            at, cosines = np.concatenate([at, hit]), np.concatenate([cosines, np.round(sums[hit], 12)])
             best = np.lexsort((at, -cosines))[: self.k]
             at, cosines = at[best], cosines[best]
         return at, cosines
 
-    def vote(self, at: np.ndarray, cosines: np.ndarray, without: tuple[int, float, float] | None = None) -> float:
-        """The share of label 1, as the nearest entries see it, drawn a little to the overall share."""
-        if not len(at):
-            return self.prior
-        near = 1.0 / (np.clip(1.0 - cosines, 0.0, 1.0) + 0.05) ** 2 * (cosines > 0)
-        weight, toxic = self.weight[at].copy(), self.toxic[at].copy()
+    def vote(self, at: np.ndarray, cosines: np.ndarray, without: tuple[int, int] | None = None) -> float:
+        """The share of label 1, as the nearest entries see it, drawn a little to the overall share. without: an entry and
+        the label of a row that is left out of it."""
+        rows, toxic = self.rows[at].copy(), self.toxic[at].copy()
         if without is not None:
             own = at == without[0]
-            weight[own] -= without[1]
-            toxic[own] -= without[2]
-        real = weight > 1e-9
-        near, mean = near[real], (toxic[real] / weight[real])
+            rows[own] -= 1
+            toxic[own] -= without[1]
+        real = rows > 0
         # An entry of many rows counts more, but not in proportion.
-        near = near * np.log1p(weight[real])
-        return float(((near * mean).sum() + 0.5 * self.prior) / (near.sum() + 0.5))
+        near = np.log2(1.0 + rows[real]) / (np.clip(1.0 - cosines[real], 0.0, 1.0) + 0.05) ** 2
+        return float(((near * toxic[real] / rows[real]).sum() + 0.5 * self.prior) / (near.sum() + 0.5))
 
-    def _calibrate(self, order: list[tuple], entries: dict, shares: dict[int, float]) -> None:
-        if len({label for rows in entries.values() for _, label in rows}) < 2:
-            return
+    def _calibrate(self, vectors: list[tuple], shares: dict[int, float]) -> None:
         votes, labels, weights = [], [], []
-        for i, entry in enumerate(order):
-            at, cosines = self.nearest(np.array([t for t, _ in entry], np.int64), np.array([w for _, w in entry]))
+        for i, (ids, values, own) in enumerate(vectors):
+            at, cosines = self.nearest(ids, values)
             for label in (0, 1):
-                n = sum(x == label for _, x in entries[entry])
-                if n:
-                    votes.append(self.vote(at, cosines, (i, shares[label], shares[label] * label)))
+                n = sum(y == label for _, y in own)
+                if n and len(at):
+                    votes.append(self.vote(at, cosines, (i, label)))
                     labels.append(label)
                     weights.append(n * shares[label])
-        x = np.log(np.clip(votes, 1e-4, 1 - 1e-4) / (1 - np.clip(votes, 1e-4, 1 - 1e-4)))
-        y, w = np.array(labels, float), np.array(weights)
+        x, y, w = logit(np.array(votes)), np.array(labels, float), np.array(weights)
         ones, zeros = max(1.0, sum(y)), max(1.0, sum(1 - y))
         y = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
         a, b = 1.0, 0.0
@@ -179,23 +180,20 @@ class Index:
             a, b = a - move[0], b - move[1]
         self.curve = (max(a, 0.05), b)
 
+    def probability(self, at: np.ndarray, cosines: np.ndarray) -> float:
+        if not len(at) or not self.learned:
+            return self.prior
+        return float(1 / (1 + np.exp(-(self.curve[0] * logit(self.vote(at, cosines)) + self.curve[1]))))
+
     def score(self, text: str) -> tuple[float, list[tuple[int, float, float]]]:
         """The probability of label 1, and the nearest entries as (doc_id of an example, cosine, share of label 1)."""
-        counts = terms_of(text, self.terms, self.starts)
-        key = (REST,) if list(counts) == [REST] else tuple(sorted(counts.items()))
-        if key in self.known:
-            return self.known[key]
-        ids, weights = self.vector(counts)
-        at, cosines = self.nearest(ids, weights)
-        vote = self.vote(at, cosines)
-        x = np.log(min(max(vote, 1e-4), 1 - 1e-4) / (1 - min(max(vote, 1e-4), 1 - 1e-4)))
-        p = float(1 / (1 + np.exp(-(self.curve[0] * x + self.curve[1])))) if len(at) else self.prior
-        evidence = [(int(self.example[i]), float(c), float(self.toxic[i] / self.weight[i])) for i, c in zip(at[:3].tolist(), cosines[:3].tolist(), strict=True)]
-        if len(key) <= 16:
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            self.known[key] = (p, evidence)
-        return p, evidence
+        at, cosines = self.nearest(*self.vector(terms_of(text)))
+        return self.probability(at, cosines), [(int(self.example[i]), float(c), float(self.toxic[i] / self.rows[i])) for i, c in zip(at[:3].tolist(), cosines[:3].tolist(), strict=True)]
+
+
+def logit(p):
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
 
 
 def fit(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", examples: int = EXAMPLES, k: int = NEAREST) -> Index:
@@ -208,34 +206,18 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "d
     rows = documents.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text")).join(F.broadcast(some), "doc_id")
     rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # of rows that share an id, one
 
-    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for y, t in zip(batch["label"], batch["text"], strict=True):
-                found = list(terms_of(t))
-                yield pd.DataFrame({"term": found, "label": y})
-
-    found = rows.mapInPandas(distinct, "term string, label int").groupBy("term").agg(F.sum(F.col("label")).alias("ones"), F.sum(1 - F.col("label")).alias("zeros"))
-    n1, n0 = (max(1, min(examples, sizes.get(y, 0))) for y in (1, 0))
-    p1, p0 = F.col("ones") / n1, F.col("zeros") / n0
-    both = (F.col("ones") + F.col("zeros") + 1.0) / (n1 + n0 + 2.0)
-    z = (p1 - p0) / F.sqrt(both * (1 - both) * (1.0 / n1 + 1.0 / n0))
-    # Terms that are at least four times as frequent in toxic examples, and not by chance.
-    picked = found.where((F.col("ones") >= 3) & (p1 > 4 * (p0 + 0.5 / n0))).select("term", z.alias("z")).where("z > 3.5")
-    vocabulary = sorted(r["term"] for r in picked.collect())
-    wanted = dict.fromkeys(vocabulary, 0)
-    starts = {t.rstrip("*")[:4] for t in vocabulary}
-
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "counts": [dict(terms_of(t, wanted, starts)) for t in batch["text"]]})
+            found = [terms_of(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": [" ".join(c) for c in found], "counts": [list(c.values()) for c in found]})
 
-    held = rows.mapInPandas(counts, "doc_id long, label int, counts map<string,int>").collect()
+    held = rows.mapInPandas(counts, "doc_id long, label int, terms string, counts array<int>").collect()
     got = Counter(r["label"] for r in held)
     shares = {y: sizes.get(y, 0) / max(1, got[y]) for y in (0, 1)}
     # A sample of each label stands for all of its rows; on average a row stands for one.
     mean = sum(shares[r["label"]] for r in held) / max(1, len(held))
     shares = {y: s / mean if mean else 1.0 for y, s in shares.items()}
-    return Index(sorted(((r["doc_id"], r["counts"] or {}, r["label"]) for r in held), key=lambda r: r[0]), vocabulary, shares, k)
+    return Index(sorted(((r["doc_id"], dict(zip(r["terms"].split(), r["counts"], strict=True)), r["label"]) for r in held), key=lambda r: r[0]), shares, k)
 
 
 def score(documents: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -243,16 +243,102 @@ def test_toxicity_on_held_out_rows(toxic):
     assert next(r for r in rows if r["doc_id"] == 0)["evidence"][0]["toxic"] > 0.5
 
 
+def toxicity_by_brute_force(examples, texts, k=15):
+    """Scores of texts from (doc_id, text, label) of examples that stand for themselves: every cosine, vote and curve."""
+
+    def terms(text):
+        found = Counter()
+        for w, n in Counter(re.findall(r"\w+", (text or "").lower())).items():
+            for t in {w, *(f"{w[:m]}*" for m in (4, 5) if len(w) >= m)}:
+                found[t] += n
+        return found
+
+    known = [(terms(t), y) for _, t, y in sorted(examples)]
+    n, of = len(known), Counter(y for _, y in known)
+    df = Counter((t, y) for c, y in known for t in c)
+
+    def weight(t):
+        one, zero = df[t, 1], df[t, 0]
+        if not one + zero:
+            return math.log(1 + n) * 0.05
+        p = (one + zero + 1) / (n + 2)
+        z = (one / of[1] - zero / of[0]) / math.sqrt(p * (1 - p) * (1 / of[0] + 1 / of[1]))
+        return math.log(1 + n / (one + zero)) * (0.05 + min(abs(z) / 8, 1) ** 2)
+
+    def vector(counts):
+        v = {t: (1 + math.log(c)) * weight(t) for t, c in counts.items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / size for t, x in v.items()}
+
+    groups = defaultdict(list)
+    for c, y in known:
+        groups[tuple(sorted(c.items()))].append(y)
+    entries = [(vector(dict(c)), ys) for c, ys in groups.items()]
+    prior = of[1] / n
+
+    def cosines(counts):
+        v = vector(counts)
+        return [sum(x * e.get(t, 0) for t, x in v.items()) for e, _ in entries]
+
+    def vote(cos, without=None):
+        near = sorted(((-round(c, 12), i) for i, c in enumerate(cos) if c > 0))[:k]
+        up = down = 0.0
+        for c, i in near:
+            ys = list(entries[i][1])
+            if without is not None and i == without[0]:
+                ys.remove(without[1])
+            if ys:
+                w = math.log2(1 + len(ys)) / (min(max(1 + c, 0), 1) + 0.05) ** 2
+                up, down = up + w * sum(ys) / len(ys), down + w
+        return (up + 0.5 * prior) / (down + 0.5), bool(near)
+
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    rows = []
+    for i, (c, ys) in enumerate(zip(map(dict, groups), (ys for _, ys in entries), strict=True)):
+        cos = cosines(c)
+        rows += [(logit(vote(cos, (i, y))[0]), y, ys.count(y)) for y in (0, 1) if y in ys and any(x > 0 for x in cos)]
+    x, y, w = (np.array(r, float) for r in zip(*rows, strict=True))
+    ones, zeros = y.sum(), (1 - y).sum()
+    goal = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    a, b = 1.0, 0.0
+    for _ in range(4000):  # plain gradient steps to the same optimum
+        p = 1 / (1 + np.exp(-(a * x + b)))
+        a, b = a - ((w * (p - goal) * x).sum() + a - 1) / w.sum() / 4, b - ((w * (p - goal)).sum() + 0.1 * b) / w.sum()
+    out = []
+    for text in texts:
+        v, near = vote(cosines(terms(text)))
+        out.append(1 / (1 + math.exp(-(a * logit(v) + b))) if near else prior)
+    return out
+
+
+def test_toxicity_equals_brute_force(spark, toxic):
+    """Few examples of each label, so that all are learned and each stands for itself; a text repeats, once with either label."""
+    docs, labels = toxic
+    rows = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
+    rows |= {600: rows[0], 601: rows[0], 602: rows[1]}
+    marks = {r["doc_id"]: r["toxic"] for r in labels.where("doc_id < 90 and toxic is not null").collect()} | {5: 1, 600: 1, 601: 0, 602: 0}
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    index = toxicity.fit(frame, spark.createDataFrame(list(marks.items()), "doc_id long, toxic int"), F.lit(True))
+    asked = [(i, t) for i, t in rows.items()] + [(700, "moron"), (701, "unheard of wordsonly"), (702, "loweizz " * 3 + prose(8, 300))]
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), index).collect()}
+    expected = toxicity_by_brute_force([(i, rows[i], y) for i, y in marks.items()], [t for _, t in asked])
+    assert [found[i] for i, _ in asked] == pytest.approx(expected, abs=2e-3)
+
+
 def test_toxicity_index_is_exact(toxic):
+    """Block bounds lose no neighbour: the k best of every entry's cosine, from an index of many blocks."""
     docs, labels = toxic
     index = toxicity.fit(docs, labels, remainder("doc_id", 3) != 1)
+    assert index.blocks > 3
     for text in (prose(7, 20), "scum moron", "loweizz " * 3 + prose(8, 300), "moron"):
-        ids, weights = index.vector(toxicity.terms_of(text, index.terms, index.starts))
+        ids, weights = index.vector(toxicity.terms_of(text))
         at, cosines = index.nearest(ids, weights)
+        dense = np.zeros(len(index.terms))
+        dense[ids] = weights
         every = np.zeros(index.size)
-        for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
-            every[index.at[t]] += w * index.of[t]
-        assert sorted(every)[::-1][: index.k] == pytest.approx(cosines.tolist())
+        term = np.repeat(np.repeat(np.arange(len(index.terms)), np.diff(index.first)), index.end - index.start)
+        np.add.at(every, index.entry, dense[term] * index.value)
+        assert sorted(every[every > 0])[::-1][: index.k] == pytest.approx(cosines.tolist())
 
 
 def test_toxicity_without_labels(spark, docs, empty):

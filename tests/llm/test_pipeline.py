@@ -81,15 +81,14 @@ def test_toxicity_stage_equals_brute_force(spark, tmp_path):
     index = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), remainder("doc_id", 3) != 1)
 
     def score(text):
-        ids, weights = index.vector(toxicity.terms_of(text or "", index.terms, index.starts))
-        cosines = np.zeros(index.size)
-        for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
-            cosines[index.at[t]] += w * index.of[t]
-        best = np.lexsort((np.arange(index.size), -cosines))[: index.k] if len(ids) else np.empty(0, int)
-        if not len(best):
-            return index.prior
-        vote = min(max(index.vote(best, cosines[best]), 1e-4), 1 - 1e-4)
-        return 1 / (1 + np.exp(-(index.curve[0] * np.log(vote / (1 - vote)) + index.curve[1])))
+        dense = np.zeros(len(index.terms))
+        ids, weights = index.vector(toxicity.terms_of(text or ""))
+        dense[ids] = weights
+        term = np.repeat(np.repeat(np.arange(len(index.terms)), np.diff(index.first)), index.end - index.start)
+        cosines = np.round(np.bincount(index.entry, dense[term] * index.value, index.size), 12)
+        best = np.lexsort((np.arange(index.size), -cosines))[: index.k]
+        best = best[cosines[best] > 0]
+        return index.probability(best, cosines[best])
 
     want = [(i, t) for i, t in rows if score(t) < 0.7]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept))) == sorted(map(repr, want))
