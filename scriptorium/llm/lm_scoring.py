@@ -17,8 +17,8 @@ share times the product over its tokens: its marginal over classes and segmentat
 Classes start from a bounded sample of rows without labels and are then fitted to all learned rows: what a task makes
 of it are classes * 257 sums. Words are counted per task before they are shuffled. The HEAD most frequent short words, a
 bounded table, are sent to every task; only other words are shuffled to meet their counts, so no frequent word makes a
-large group. Words of more than LONG characters pass the recursion one by one, BLOCK characters at a time, so a text that
-is one word of any length needs little memory.
+large group. Words of more than LONG characters pass the recursion one by one, BLOCK characters at a time and for all
+sets of weights at once, so a text that is one word of any length needs little memory.
 
 A null text counts as empty: its only token is the end. With nothing to learn from, every word is scored by its
 spelling alone. Rows that repeat an id are scored each; a row without doc_id is scored as any other. An empty table gives
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,7 @@ MARK = "▁"
 HEAD, HEAD_BYTES = 65_536, 32
 #: Distinct words that a counting task gathers before it passes them on.
 GATHER = 400_000
-ROUNDS = 2
+ROUNDS = 3
 #: Classes of documents, the rows that they start from (a bounded sample, the smallest hashes of the ids), and how often
 #: they are then fitted to all rows.
 CLASSES, SAMPLE, FITS = 5, 4_096, 1
@@ -55,16 +56,30 @@ LN10 = float(np.log(10.0))
 
 
 class Lattice:
-    """Pieces, their log weights, and the recursions over words of equal length at once."""
+    """Pieces, one or several sets of log weights for them, and the recursions over words of equal length at once, for all
+    sets side by side."""
 
     def __init__(self, pieces: dict[str, int], weights: np.ndarray):
         self.pieces = pieces
         self.size = len(pieces)
-        #: Behind the pieces: characters without one, by their UTF-8 length, each of whose bytes is as likely; last, no edge.
-        self.weights = np.append(weights, -np.inf)
         self.longest = max(map(len, pieces))
+        self.none = self.size + 4
+        self._weigh(weights)
         self._place(list(pieces))
-        self.shapes: dict[int, tuple[np.ndarray, np.ndarray, list[slice], list[tuple[int, int]]]] = {}
+        self.shapes: dict[int, tuple[np.ndarray, np.ndarray, list[slice]]] = {}
+
+    def _weigh(self, weights: np.ndarray) -> None:
+        """Behind the pieces: characters without one, by their UTF-8 length, each of whose bytes is as likely; last, no edge."""
+        self.alone = weights.ndim == 1
+        rows = np.atleast_2d(weights)
+        self.weights = np.hstack([rows, np.full((len(rows), 1), -np.inf)])
+        self.chances = np.exp(self.weights)
+
+    def weighed(self, weights: np.ndarray) -> Lattice:
+        """The same pieces with other weights."""
+        other = copy(self)
+        other._weigh(weights)
+        return other
 
     @staticmethod
     def first(pieces: dict[str, int]) -> np.ndarray:
@@ -72,18 +87,18 @@ class Lattice:
         weights = np.append(1.0 / (np.arange(len(pieces)) + 20.0), [1e-4] * 4)
         return np.log(weights / weights.sum()) - np.append(np.zeros(len(pieces)), np.log(256.0) * np.arange(1, 5))
 
-    def shape(self, n: int):
-        """Start and end of every edge of a word of n characters, ordered by end."""
+    def shape(self, n: int) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+        """Start and end of every edge of a word of n characters, ordered by end and start; where each end's edges are."""
         if n not in self.shapes:
             pairs = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
             ends = np.array([j for _, j in pairs])
             bounds = np.searchsorted(ends, np.arange(1, n + 2))
-            self.shapes[n] = (np.array([i for i, _ in pairs]), ends, [slice(bounds[j], bounds[j + 1]) for j in range(n)], pairs)
+            self.shapes[n] = (np.array([i for i, _ in pairs]), ends, [slice(bounds[j], bounds[j + 1]) for j in range(n)])
         return self.shapes[n]
 
     def _place(self, pieces: list[str]) -> None:
         """Two tables from bits of a piece's hash to its number; a piece whose place in the first is taken goes to the second."""
-        none = len(self.weights) - 1
+        none = self.none
         self.hashes = np.zeros(none + 1, np.uint64)
         for n in {len(p) for p in pieces}:
             own = [i for i, p in enumerate(pieces) if len(p) == n]
@@ -118,8 +133,8 @@ class Lattice:
 
     def edges(self, words: list[str], n: int) -> np.ndarray:
         """The number of the piece at each edge of each word; where none is, that of no edge or of a lone character."""
-        starts, ends, _, _ = self.shape(n)
-        none = len(self.weights) - 1
+        starts, ends, _ = self.shape(n)
+        none = self.none
         codes = self._codes(words, n)
         hashes = self._hashed(codes, starts, ends)
         first, second = self._slots(hashes)
@@ -131,60 +146,99 @@ class Lattice:
         out[:, single] = np.where(out[:, single] == none, self.size + sizes[:, starts[single]], out[:, single])
         return out
 
-    def forward(self, weights: np.ndarray, n: int) -> np.ndarray:
-        starts, _, slices, _ = self.shape(n)
-        alpha = np.full((len(weights), n + 1), -np.inf, weights.dtype)
-        alpha[:, 0] = 0.0
-        for j, s in enumerate(slices, 1):
-            alpha[:, j] = _log_sum(alpha[:, starts[s]] + weights[:, s])
+    def forward(self, edges: np.ndarray, n: int) -> np.ndarray:
+        """The log of the sum over ways to each place, for each set of weights and word, in log space."""
+        weights = self.weights[:, edges]
+        alpha = np.full((*weights.shape[:2], n + 1), -np.inf)
+        alpha[..., 0] = 0.0
+        for j, s in enumerate(self.shape(n)[2], 1):
+            alpha[..., j] = _log_sum(alpha[..., max(0, j - self.longest) : j] + weights[..., s])
+        return alpha
+
+    def shares(self, edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often each edge is used, expected over all ways; and the words' chances. Words are short, so that chances
+        themselves are summed; where one is too small for that it is 0, and so are its shares."""
+        starts, ends, slices = self.shape(n)
+        chances = self.chances[:, edges]
+        alpha, beta = np.zeros((*chances.shape[:2], n + 1)), np.zeros((*chances.shape[:2], n + 1))
+        alpha[..., 0] = beta[..., n] = 1.0
+        lows = [max(0, j - self.longest) for j in range(1, n + 1)]
+        for j, (s, low) in enumerate(zip(slices, lows, strict=True), 1):
+            alpha[..., j] = np.einsum("kwe,kwe->kw", alpha[..., low:j], chances[..., s])
+        for j, s, low in zip(range(n, 0, -1), slices[::-1], lows[::-1], strict=True):
+            beta[..., low:j] += chances[..., s] * beta[..., j, None]
+        whole = np.where(alpha[..., n] > 1e-250, alpha[..., n], 0.0)
+        chances *= alpha[..., starts]
+        chances *= beta[..., ends]
+        chances *= np.divide(1.0, whole, out=np.zeros_like(whole), where=whole > 0)[..., None]
+        return chances, whole
+
+    def part(self, word: str, first: int) -> np.ndarray:
+        """Of a long word, for each of BLOCK ends from `first` on the numbers of the edges that start `longest` to one
+        characters before it; where the word has not begun there is no edge."""
+        none, width = self.none, self.longest
+        last = min(len(word), first + BLOCK - 1)
+        lead = max(0, first - width)
+        codes = self._codes([word[lead:last]], last - lead)
+        ends = np.arange(first - lead, last - lead + 1)
+        starts = ends[:, None] - np.arange(width, 0, -1)
+        flat_ends, flat_starts = np.repeat(ends, width), np.maximum(starts, 0).ravel()
+        hashes = self._hashed(codes, flat_starts, flat_ends)[0]
+        first_slot, second_slot = self._slots(hashes)
+        out = self.tables[0][first_slot]
+        out = np.where(self.hashes[out] == hashes, out, self.tables[1][second_slot])
+        out = np.where(self.hashes[out] == hashes, out, none).reshape(len(ends), width)
+        own = codes[0, ends - 1]
+        sizes = (own >= 0x80).astype(np.int32) + (own >= 0x800) + (own >= 0x10000)
+        out[:, -1] = np.where(out[:, -1] == none, self.size + sizes, out[:, -1])
+        out[starts < 0] = none
+        return out
+
+    def _on(self, before: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The recursion of a part, for all sets of weights at once: the logs of the `longest` places before it, then its own."""
+        width, n = self.longest, weights.shape[1]
+        alpha = np.hstack([before, np.empty((len(before), n))])
+        for k in range(n):
+            alpha[:, width + k] = np.logaddexp.reduce(alpha[:, k : k + width] + weights[:, k], axis=1)
         return alpha
 
-    def backward(self, weights: np.ndarray, n: int) -> np.ndarray:
-        starts, ends, _, _ = self.shape(n)
-        order = np.argsort(starts, kind="stable")
-        bounds = np.searchsorted(starts[order], np.arange(n + 1))
-        beta = np.full((len(weights), n + 1), -np.inf, weights.dtype)
-        beta[:, n] = 0.0
-        for i in range(n - 1, -1, -1):
-            own = order[bounds[i] : bounds[i + 1]]
-            beta[:, i] = _log_sum(beta[:, ends[own]] + weights[:, own])
-        return beta
-
-    def parts(self, word: str) -> Iterator[tuple[int, np.ndarray]]:
-        """Of a long word some ends at a time: the first of them, and for each the numbers of the edges that start
-        `longest` to one characters before it; where the word has not begun there is no edge."""
-        none, width = len(self.weights) - 1, self.longest
+    def _begin(self) -> np.ndarray:
+        """The places before a word: nothing reaches them, but the last, where it starts."""
+        before = np.full((len(self.weights), self.longest), -np.inf)
+        before[:, -1] = 0.0
+        return before
+
+    def long_log(self, word: str) -> np.ndarray:
+        before = self._begin()
         for first in range(1, len(word) + 1, BLOCK):
-            last = min(len(word), first + BLOCK - 1)
-            lead = max(0, first - width)
-            codes = self._codes([word[lead:last]], last - lead)
-            ends = np.arange(first - lead, last - lead + 1)
-            starts = ends[:, None] - np.arange(width, 0, -1)
-            flat_ends, flat_starts = np.repeat(ends, width), np.maximum(starts, 0).ravel()
-            hashes = self._hashed(codes, flat_starts, flat_ends)[0]
-            first_slot, second_slot = self._slots(hashes)
-            out = self.tables[0][first_slot]
-            out = np.where(self.hashes[out] == hashes, out, self.tables[1][second_slot])
-            out = np.where(self.hashes[out] == hashes, out, none).reshape(len(ends), width)
-            own = codes[0, ends - 1]
-            sizes = (own >= 0x80).astype(np.int32) + (own >= 0x800) + (own >= 0x10000)
-            out[:, -1] = np.where(out[:, -1] == none, self.size + sizes, out[:, -1])
-            out[starts < 0] = none
-            yield first, out
-
-    def long_forward(self, word: str, weights: np.ndarray) -> np.ndarray:
-        """The recursion of one word: for each of its places the log of the sum over ways to get there."""
-        width = self.longest
-        alpha = np.full(width + len(word), -np.inf)  # `width` places before the word, which nothing reaches
-        alpha[width - 1 :][:1] = 0.0
-        reach = alpha[width - 1 :]
-        for first, edges in self.parts(word):
-            for k, row in enumerate(weights[edges]):
-                at = first + k
-                x = alpha[at - 1 : at - 1 + width] + row
-                top = x.max()
-                reach[at] = top + np.log(np.exp(x - top).sum()) if np.isfinite(top) else -np.inf
-        return reach
+            before = self._on(before, self.weights[:, self.part(word, first)])[:, -self.longest :]
+        return before[:, -1]
+
+    def long_expected(self, word: str) -> np.ndarray:
+        """expected() of one long word: from its end on, the chance of each place to be passed, part by part. Of the way
+        there only each part's beginning is kept, and the part walked again."""
+        width, begun = self.longest, [self._begin()]
+        firsts = list(range(1, len(word) + 1, BLOCK))
+        for first in firsts[:-1]:
+            begun.append(self._on(begun[-1], self.weights[:, self.part(word, first)])[:, -width:])
+        total = np.zeros(self.weights.shape)
+        after = np.zeros((len(total), width))
+        after[:, -1] = 1.0
+        for first, before in zip(firsts[::-1], begun[::-1], strict=True):
+            edges = self.part(word, first)
+            weights, n = self.weights[:, edges], len(edges)
+            alpha = self._on(before, weights)
+            reached = np.lib.stride_tricks.sliding_window_view(alpha, width, axis=1)[:, :n]
+            shares = np.exp(reached + weights - alpha[:, width:, None])
+            passed = np.zeros((len(total), width + n))
+            passed[:, n:] = after
+            for k in range(n - 1, -1, -1):
+                shares[:, k] *= passed[:, width + k, None]
+                passed[:, k : k + width] += shares[:, k]
+            for i, own in enumerate(shares):
+                total[i] += np.bincount(edges.ravel(), own.ravel(), total.shape[1])
+            after = passed[:, :width]
+        return total
 
     def grouped(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """Positions, length and edges of words of equal length, some at a time; long words are left out."""
@@ -192,42 +246,36 @@ class Lattice:
         lengths = np.fromiter(map(len, spelt), np.int64, len(spelt))
         for n in np.unique(lengths[lengths <= LONG]).tolist():
             own = np.flatnonzero(lengths == n)
-            step = max(1, 400_000 // (n * min(n, self.longest)))
+            step = max(1, 400_000 // (n * min(n, self.longest) * len(self.weights)))
             for at in range(0, len(own), step):
                 some = own[at : at + step]
                 yield some, n, self.edges([spelt[i] for i in some.tolist()], n)
 
     def log_spelling(self, words: list[bytes]) -> np.ndarray:
-        return spellings([self], words)[0]
-
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """How often each piece is used, expected over all segmentations of the words."""
-        total = np.zeros(len(self.weights))
-        single = self.weights.astype(np.float32)  # enough for counts
-        for _, n, edges in self.grouped(words):
-            weights = single[edges]
-            alpha, beta = self.forward(weights, n), self.backward(weights, n)
-            starts, ends, _, _ = self.shape(n)
-            share = np.exp(alpha[:, starts] + weights + beta[:, ends] - alpha[:, n : n + 1])
-            total += np.bincount(edges.ravel(), share.ravel(), len(total))
-        for _, word in long_words(words):
-            total += self.long_expected(word)
-        return total[:-1]
-
-    def long_expected(self, word: str) -> np.ndarray:
-        """expected() of one long word, whose uses are its places' chances to be passed, from the end to the start."""
-        alpha, width = self.long_forward(word, self.weights), self.longest
-        passed = np.zeros(width + len(word))  # the chance that a place is on the way; `width` places before the word
-        passed[-1] = 1.0
-        total = np.zeros(len(self.weights))
-        before = np.append(np.full(width - 1, -np.inf), alpha)
-        for first, edges in reversed(list(self.parts(word))):
-            for k in range(len(edges) - 1, -1, -1):
-                at = first + k
-                share = np.exp(before[at - 1 : at - 1 + width] + self.weights[edges[k]] - alpha[at]) * passed[width - 1 + at]
-                np.add.at(total, edges[k], share)
-                passed[at - 1 : at - 1 + width] += share
-        return total
+        """The log probability of each word over all ways to cut it; a row for each set of weights."""
+        out = np.empty((len(self.weights), len(words)))
+        for own, size, edges in self.grouped(words):
+            out[:, own] = self.forward(edges, size)[..., size]
+        for i, word in long_words(words):
+            out[:, i] = self.long_log(word)
+        return out[0] if self.alone else out
+
+    def expected(self, words: list[bytes], there: np.ndarray | None = None) -> np.ndarray:
+        """How often each piece is used, expected over all segmentations of the words; a row for each set of weights, of
+        the words that are `there` (a row for each set) in it."""
+        total = np.zeros(self.weights.shape)
+        there = np.ones((len(total), len(words)), bool) if there is None else there
+        for own, n, edges in self.grouped(words):
+            shares, whole = self.shares(edges, n)
+            shares *= there[:, own, None]
+            for i, of in enumerate(shares):
+                total[i] += np.bincount(edges.ravel(), of.ravel(), total.shape[1])
+            for at in np.flatnonzero((whole == 0).any(axis=0)).tolist():
+                # Rare: a word whose chance is too small, in some set, for plain numbers.
+                total += self.long_expected(MARK + words[own[at]].decode("utf-8", "replace")) * (there[:, own[at]] & (whole[:, at] == 0))[:, None]
+        for i, word in long_words(words):
+            total += self.long_expected(word) * there[:, i, None]
+        return total[0, :-1] if self.alone else total[:, :-1]
 
 
 def long_words(words: list[bytes]) -> Iterator[tuple[int, str]]:
@@ -237,23 +285,11 @@ def long_words(words: list[bytes]) -> Iterator[tuple[int, str]]:
             yield i, spelt
 
 
-def spellings(lattices: list[Lattice], words: list[bytes]) -> list[np.ndarray]:
-    """For each lattice (of the same pieces) the log probability of each word, over all ways to cut it."""
-    out = [np.empty(len(words)) for _ in lattices]
-    for own, size, edges in lattices[0].grouped(words):
-        for lattice, values in zip(lattices, out, strict=True):
-            values[own] = lattice.forward(lattice.weights[edges], size)[:, size]
-    for i, word in long_words(words):
-        for lattice, values in zip(lattices, out, strict=True):
-            values[i] = lattices[0].long_forward(word, lattice.weights)[-1]
-    return out
-
-
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
+    top = x.max(axis=-1)
     safe = np.where(np.isfinite(top), top, 0.0)
     with np.errstate(divide="ignore"):
-        return np.log(np.exp(x - safe[:, None]).sum(axis=1)) + safe
+        return np.log(np.exp(x - safe[..., None]).sum(axis=-1)) + safe
 
 
 def vocabulary(path: str | None = None) -> dict[str, int]:
@@ -364,6 +400,7 @@ class Model:
         self.fresh = np.where(self.class_n > 0, self.discount * of("v") / np.maximum(self.class_n, 1), 1.0)
         self.spelt = (of("only") + 1.0) / (of("ones") + 2.0)
         self.pieces = vocabulary(path)
+        self.lattice = Lattice(self.pieces, Lattice.first(self.pieces))
         self.weights = self._fitted(spark, rounds)
         self.lexicon = written(self._scored(spark), "lexicon")
 
@@ -392,44 +429,38 @@ class Model:
         bytes_ = sums[:, :256] + 0.5
         return np.log((sums[:, 256] + 1.0) / (sums[:, 256].sum() + k)), np.log(bytes_ / bytes_.sum(axis=1, keepdims=True))
 
-    def _fitted(self, spark: SparkSession, rounds: int) -> list[np.ndarray]:
+    def _fitted(self, spark: SparkSession, rounds: int) -> np.ndarray:
         """Log weights by class. Each round sends them (some 30,000 numbers a class, whatever the input) out and expected counts back."""
-        pieces, k = self.pieces, self.classes
-        weights = [Lattice.first(pieces)] * k
+        k, size = self.classes, len(self.pieces)
+        weights = np.tile(Lattice.first(self.pieces), (k, 1))
         learned = self.counts.where("c > 0").select("word", F.array(*(F.col(f"c{i}") > 0 for i in range(k))).alias("there"))
         for _ in range(rounds):
-            sent = spark.sparkContext.broadcast(weights)
+            sent = spark.sparkContext.broadcast(self.lattice.weighed(weights))
 
             def expect(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-                lattices, total = [Lattice(pieces, w) for w in sent.value], [0.0] * k
+                total = 0.0
                 for batch in batches:
-                    there = np.stack(batch["there"].to_numpy())
-                    for i, lattice in enumerate(lattices):
-                        total[i] = total[i] + lattice.expected(batch["word"][there[:, i]].tolist())
-                for i, t in enumerate(total):
-                    if np.ndim(t):
-                        used = np.flatnonzero(t > 0)
-                        yield pd.DataFrame({"k": i, "piece": used, "n": t[used]})
+                    if len(batch):
+                        total = total + sent.value.expected(batch["word"].tolist(), np.stack(batch["there"].to_numpy()).T)
+                for i, own in enumerate(total if np.ndim(total) else []):
+                    used = np.flatnonzero(own > 0)
+                    yield pd.DataFrame({"k": i, "piece": used, "n": own[used]})
 
             sums = learned.mapInPandas(expect, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toPandas()
-            fitted = []
-            for i in range(k):
-                total = np.full(len(weights[i]), 1e-3)
-                own = sums[sums["k"] == i]
-                total[own["piece"].to_numpy()] += own["n"].to_numpy()
-                fitted.append(np.log(total / total.sum()) - np.append(np.zeros(len(pieces)), np.log(256.0) * np.arange(1, 5)))
-            weights = fitted
+            total = np.full(weights.shape, 1e-3)
+            total[sums["k"].to_numpy(), sums["piece"].to_numpy()] += sums["n"].to_numpy()
+            weights = np.log(total / total.sum(axis=1, keepdims=True)) - np.append(np.zeros(size), np.log(256.0) * np.arange(1, 5))
+            sent.unpersist()
         return weights
 
     def _scored(self, spark: SparkSession) -> DataFrame:
         """word, c and p, its log10 probability in each class and last by the lattice of the vocabulary's weights alone."""
-        sent = spark.sparkContext.broadcast(self.weights)
-        pieces, k, n, class_n, discount, fresh, spelt = self.pieces, self.classes, self.n, self.class_n, self.discount, self.fresh, self.spelt
+        sent = spark.sparkContext.broadcast(self.lattice.weighed(np.vstack([self.weights, Lattice.first(self.pieces)])))
+        k, n, class_n, discount, fresh, spelt = self.classes, self.n, self.class_n, self.discount, self.fresh, self.spelt
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            lattices = [Lattice(pieces, w) for w in [*sent.value, Lattice.first(pieces)]]
             for batch in batches:
-                spelling = spellings(lattices, batch["word"].tolist())
+                spelling = sent.value.log_spelling(batch["word"].tolist())
                 overall = batch["c"].to_numpy(np.float64) / max(n, 1)
                 logs = []
                 for i in range(k):
