@@ -1,6 +1,6 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words (lower case) and their first four and five letters, all of them. A term's weight in a text is
+Terms are words (lower case), all of them. A term's weight in a text is
 (1 + ln(count)) * ln(1 + examples / examples with the term) * strength, and vectors have length one; terms that no
 example has count in a text's length too. Strength is a factor between FLOOR and FLOOR + 1 that says how unevenly the
 labels of the examples share the term: FLOOR + min(|z| / STRONG, 1) ** 2, z being the two shares' difference in standard
@@ -28,7 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,8 @@ from .common import others, small_batches, whole_text
 
 EXAMPLES = 1_024
 NEAREST, BLOCK = 15, 64
+#: Texts that meet the common terms' matrix at a time.
+GROUP = 32
 #: Blocks that are searched first.
 FIRST = 4
 FLOOR, STRONG = 0.05, 8.0
@@ -47,11 +49,7 @@ THRESHOLD = 0.7
 
 def terms_of(text: str) -> Counter[str]:
     """How often each term occurs."""
-    words = re.findall(r"\w+", text.lower())
-    found = Counter(words)
-    found.update([w[:4] + "*" for w in words if len(w) >= 4])
-    found.update([w[:5] + "*" for w in words if len(w) >= 5])
-    return found
+    return Counter(re.findall(r"\w+", text.lower()))
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,66 +65,84 @@ class Index:
     def __init__(self, rows: list[tuple[int, dict[str, int], int]], shares: dict[int, float], k: int = NEAREST):
         """rows: (doc_id, counts of terms, label); shares: what each row of a label stands for."""
         self.k = k
-        self.terms = {t: i for i, t in enumerate(sorted({t for _, counts, _ in rows for t in counts}))}
+        self.terms: dict[str, int] = {}
+        for _, counts, _ in rows:
+            for t in counts:
+                self.terms.setdefault(t, len(self.terms))
         n, size = max(1, len(rows)), len(self.terms)
         df = np.zeros((2, size + 1))  # the last: a term that no example has
         for _, counts, label in rows:
             df[label, [self.terms[t] for t in counts]] += 1
-        of = [max(1, sum(label == y for _, _, label in rows)) for y in (0, 1)]
+        of = [max(1, sum(label == y for *_, label in rows)) for y in (0, 1)]
         both = (df.sum(axis=0) + 1.0) / (n + 2.0)
         z = (df[1] / of[1] - df[0] / of[0]) / np.sqrt(both * (1 - both) * (1.0 / of[0] + 1.0 / of[1]))
         z[-1] = 0.0
         self.weights = np.log1p(n / np.maximum(df.sum(axis=0), 1.0)) * (FLOOR + np.minimum(np.abs(z) / STRONG, 1.0) ** 2)
-        entries: dict[tuple, list[tuple[int, int]]] = {}
+        entries: dict[frozenset, list] = {}
         for doc_id, counts, label in rows:
-            entries.setdefault(tuple(sorted(counts.items())), []).append((doc_id, label))
+            entries.setdefault(frozenset(counts.items()), [counts, []])[1].append((doc_id, label))
         # Entries with the same strongest term stand together, so that blocks differ in what they bound.
-        vectors = [(*self.vector(dict(entry)), own) for entry, own in entries.items()]
+        vectors = [(*self.vector(counts), own) for counts, own in entries.values()]
         vectors.sort(key=lambda v: (int(v[0][np.argmax(v[1])]) if len(v[0]) else -1, min(v[2])))
         self.size = len(vectors)
+        self.blocks = -(-self.size // BLOCK)
         self.rows = np.array([len(own) for _, _, own in vectors], float)
         self.toxic = np.array([sum(y for _, y in own) for _, _, own in vectors], float)
         self.example = np.array([min(d for d, _ in own) for _, _, own in vectors], np.int64)
-        # Postings by term and entry; their blocks, each with its largest weight; where a term's blocks begin.
-        term = np.concatenate([v[0] for v in vectors] or [np.empty(0, np.int64)])
-        entry = np.repeat(np.arange(self.size), [len(v[0]) for v in vectors])
-        value = np.concatenate([v[1] for v in vectors] or [np.empty(0)])
+        self._index(np.concatenate([v[0] for v in vectors] or [np.empty(0, np.int64)]), np.repeat(np.arange(self.size), [len(v[0]) for v in vectors]), np.concatenate([v[1] for v in vectors] or [np.empty(0)]))
+        stands = {y: sum(label == y for *_, label in rows) * shares[y] for y in (0, 1)}
+        self.prior = stands[1] / (stands[0] + stands[1]) if rows else 0.0
+        self.curve = (1.0, 0.0)
+        self.learned = len({label for *_, label in rows}) == 2
+        if self.learned:
+            self._calibrate(vectors, shares)
+
+    def _index(self, term: np.ndarray, entry: np.ndarray, value: np.ndarray) -> None:
+        size = len(self.terms)
+        #: Terms that more than a quarter of the entries have are rows of a matrix; `row` says which, from 0, else -1.
+        common = np.flatnonzero(np.bincount(term, minlength=size) > self.size / 4)
+        self.row = np.full(size + 1, -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), self.size))
+        often = self.row[term] >= 0
+        self.common[self.row[term[often]], entry[often]] = value[often]
+        # Postings of the others by term and entry; their blocks, each with its largest weight; where a term's blocks begin.
+        term, entry, value = term[~often], entry[~often], value[~often]
         order = np.lexsort((entry, term))
         self.entry, self.value, term = entry[order], value[order], term[order]
-        self.blocks = -(-self.size // BLOCK)
         key = term * max(1, self.blocks) + self.entry // BLOCK
         self.start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         self.end = np.append(self.start[1:], len(key)) if len(key) else self.start
         self.block = self.entry[self.start] // BLOCK
         self.most = np.maximum.reduceat(self.value, self.start) if len(key) else np.empty(0)
         self.first = np.searchsorted(term[self.start], np.arange(size + 1))
-        labels = {label for _, _, label in rows}
-        stands = {y: sum(label == y for _, _, label in rows) * shares[y] for y in (0, 1)}
-        self.prior = stands[1] / (stands[0] + stands[1]) if rows else 0.0
-        self.curve = (1.0, 0.0)
-        self.learned = len(labels) == 2
-        if self.learned:
-            self._calibrate(vectors, shares)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text that examples have, and their weights; the rest only shortens them."""
         none = len(self.terms)
         ids = np.array(list(map(self.terms.get, counts, repeat(none))), np.int64)
         weights = (1.0 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weights[ids]
-        size = np.sqrt((weights**2).sum()) or 1.0
-        known = ids < none
-        order = np.argsort(ids[known], kind="stable")
-        return ids[known][order], (weights[known] / size)[order]
-
-    def nearest(self, ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest entries that share a term, exactly; ties by position."""
-        at, cosines = np.empty(0, np.int64), np.empty(0)
-        if not self.size or not len(ids):
-            return at, cosines
-        own, sizes = _ranges(self.first[ids], self.first[ids + 1])
+        weights /= np.sqrt((weights**2).sum()) or 1.0
+        order = np.argsort(ids, kind="stable")[: np.count_nonzero(ids < none)]
+        return ids[order], weights[order]
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the positions and cosines of the k nearest entries that share a term, exactly; ties by position."""
+        if not self.size:
+            return [(np.empty(0, np.int64), np.empty(0))] * len(vectors)
+        weights = np.zeros((len(vectors), len(self.common)))
+        for own, (ids, values) in zip(weights, vectors, strict=True):
+            row = self.row[ids]
+            own[row[row >= 0]] = values[row >= 0]
+        return [self._nearest(ids, values, sums) for (ids, values), sums in zip(vectors, weights @ self.common, strict=True)]
+
+    def _nearest(self, ids: np.ndarray, weights: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """sums: what the common terms add to each entry's cosine. Only blocks are searched for the rest that may hold one of the k best."""
+        own, sizes = _ranges(self.first[ids], self.first[np.minimum(ids + 1, len(self.first) - 1)])
         block, by = self.block[own], np.repeat(weights, sizes)
-        bounds = np.bincount(block, by * self.most[own], self.blocks) + 1e-9
+        bounds = np.maximum.reduceat(sums, np.arange(0, self.size, BLOCK)) + np.bincount(block, by * self.most[own], self.blocks) + 1e-9
         order = np.argsort(-bounds, kind="stable")
+        at, cosines = np.empty(0, np.int64), np.empty(0)
         # First the blocks with the largest bounds; then all that may still hold a better entry than the k-th.
         for blocks in (order[:FIRST], order[FIRST:]):
             if len(cosines) >= self.k:
@@ -135,11 +151,13 @@ class Index:
                 continue
             taken = np.zeros(self.blocks, bool)
             taken[blocks] = True
-            some = taken[block]
+            some = np.flatnonzero(taken[block])
             postings, sizes = _ranges(self.start[own[some]], self.end[own[some]])
-            sums = np.bincount(self.entry[postings], np.repeat(by[some], sizes) * self.value[postings], self.size)
-            hit = np.flatnonzero(sums)
-            at, cosines = np.concatenate([at, hit]), np.concatenate([cosines, np.round(sums[hit], 12)])
+            found = sums + np.bincount(self.entry[postings], np.repeat(by[some], sizes) * self.value[postings], self.size)
+            found = np.where(np.repeat(taken, BLOCK)[: self.size], np.round(found, 12), 0.0)
+            least = np.partition(found, -self.k)[-self.k] if self.size > self.k else 0.0
+            hit = np.flatnonzero((found > 0) & (found >= least))
+            at, cosines = np.concatenate([at, hit]), np.concatenate([cosines, found[hit]])
             best = np.lexsort((at, -cosines))[: self.k]
             at, cosines = at[best], cosines[best]
         return at, cosines
@@ -159,8 +177,8 @@ class Index:
 
     def _calibrate(self, vectors: list[tuple], shares: dict[int, float]) -> None:
         votes, labels, weights = [], [], []
-        for i, (ids, values, own) in enumerate(vectors):
-            at, cosines = self.nearest(ids, values)
+        found = chain.from_iterable(self.nearest([v[:2] for v in vectors[at : at + GROUP]]) for at in range(0, len(vectors), GROUP))
+        for i, ((_, _, own), (at, cosines)) in enumerate(zip(vectors, found, strict=True)):
             for label in (0, 1):
                 n = sum(y == label for _, y in own)
                 if n and len(at):
@@ -185,10 +203,11 @@ class Index:
             return self.prior
         return float(1 / (1 + np.exp(-(self.curve[0] * logit(self.vote(at, cosines)) + self.curve[1]))))
 
-    def score(self, text: str) -> tuple[float, list[tuple[int, float, float]]]:
-        """The probability of label 1, and the nearest entries as (doc_id of an example, cosine, share of label 1)."""
-        at, cosines = self.nearest(*self.vector(terms_of(text)))
-        return self.probability(at, cosines), [(int(self.example[i]), float(c), float(self.toxic[i] / self.rows[i])) for i, c in zip(at[:3].tolist(), cosines[:3].tolist(), strict=True)]
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[int, float, float]]]]:
+        """Of each text the probability of label 1, and the nearest entries as (doc_id of an example, cosine, share of label 1)."""
+        for first in range(0, len(texts), GROUP):
+            for at, cosines in self.nearest([self.vector(terms_of(t)) for t in texts[first : first + GROUP]]):
+                yield self.probability(at, cosines), [(int(self.example[i]), float(c), float(self.toxic[i] / self.rows[i])) for i, c in zip(at[:3].tolist(), cosines[:3].tolist(), strict=True)]
 
 
 def logit(p):
@@ -229,7 +248,7 @@ def score(documents: DataFrame, index: Index, text: str = "text", threshold: flo
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = sent.value
         for batch in batches:
-            yield pd.DataFrame([own.score(t) for t in batch], columns=["score", "evidence"])
+            yield pd.DataFrame(own.scores(batch.tolist()), columns=["score", "evidence"])
 
     columns = others(documents, "score", "predicted", "evidence")
     judged = documents.select(*columns, judge(whole_text(text)).alias("_judged"))

@@ -81,11 +81,12 @@ def test_toxicity_stage_equals_brute_force(spark, tmp_path):
     index = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), remainder("doc_id", 3) != 1)
 
     def score(text):
-        dense = np.zeros(len(index.terms))
         ids, weights = index.vector(toxicity.terms_of(text or ""))
-        dense[ids] = weights
         term = np.repeat(np.repeat(np.arange(len(index.terms)), np.diff(index.first)), index.end - index.start)
-        cosines = np.round(np.bincount(index.entry, dense[term] * index.value, index.size), 12)
+        matrix = np.zeros((len(index.terms), index.size))
+        matrix[term, index.entry] = index.value
+        matrix[index.row[:-1] >= 0] = index.common
+        cosines = np.round(weights @ matrix[ids], 12)
         best = np.lexsort((np.arange(index.size), -cosines))[: index.k]
         best = best[cosines[best] > 0]
         return index.probability(best, cosines[best])
