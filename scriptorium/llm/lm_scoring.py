@@ -43,7 +43,7 @@ MARK = "▁"
 #: Words sent to every task, and the bytes of the longest such word: 65,536 words of 32 bytes at most.
 HEAD, HEAD_BYTES = 65_536, 32
 #: Distinct words that a counting task gathers before it passes them on.
-GATHER = 400_000
+GATHER = 150_000
 ROUNDS = 3
 #: Classes of documents, the rows that they start from (a bounded sample, the smallest hashes of the ids), and how often
 #: they are then fitted to all rows.
@@ -155,22 +155,23 @@ class Lattice:
             alpha[..., j] = _log_sum(alpha[..., max(0, j - self.longest) : j] + weights[..., s])
         return alpha
 
-    def shares(self, edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """How often each edge is used, expected over all ways; and the words' chances. Words are short, so that chances
-        themselves are summed; where one is too small for that it is 0, and so are its shares."""
+    def shares(self, edges: np.ndarray, n: int, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row (a word's edges and a set of weights) how often each edge is used, expected over all ways; and the
+        word's chance. Words are short, so that chances themselves are summed; where one is too small for that it is 0, and
+        so are its shares."""
         starts, ends, slices = self.shape(n)
-        chances = self.chances[:, edges]
-        alpha, beta = np.zeros((*chances.shape[:2], n + 1)), np.zeros((*chances.shape[:2], n + 1))
-        alpha[..., 0] = beta[..., n] = 1.0
+        chances = self.chances[sets[:, None], edges]
+        alpha, beta = np.zeros((len(edges), n + 1)), np.zeros((len(edges), n + 1))
+        alpha[:, 0] = beta[:, n] = 1.0
         lows = [max(0, j - self.longest) for j in range(1, n + 1)]
         for j, (s, low) in enumerate(zip(slices, lows, strict=True), 1):
-            alpha[..., j] = np.einsum("kwe,kwe->kw", alpha[..., low:j], chances[..., s])
+            alpha[:, j] = np.einsum("we,we->w", alpha[:, low:j], chances[:, s])
         for j, s, low in zip(range(n, 0, -1), slices[::-1], lows[::-1], strict=True):
-            beta[..., low:j] += chances[..., s] * beta[..., j, None]
-        whole = np.where(alpha[..., n] > 1e-250, alpha[..., n], 0.0)
-        chances *= alpha[..., starts]
-        chances *= beta[..., ends]
-        chances *= np.divide(1.0, whole, out=np.zeros_like(whole), where=whole > 0)[..., None]
+            beta[:, low:j] += chances[:, s] * beta[:, j, None]
+        whole = np.where(alpha[:, n] > 1e-250, alpha[:, n], 0.0)
+        chances *= alpha[:, starts]
+        chances *= beta[:, ends]
+        chances *= np.divide(1.0, whole, out=np.zeros_like(whole), where=whole > 0)[:, None]
         return chances, whole
 
     def part(self, word: str, first: int) -> np.ndarray:
@@ -266,13 +267,17 @@ class Lattice:
         total = np.zeros(self.weights.shape)
         there = np.ones((len(total), len(words)), bool) if there is None else there
         for own, n, edges in self.grouped(words):
-            shares, whole = self.shares(edges, n)
-            shares *= there[:, own, None]
-            for i, of in enumerate(shares):
-                total[i] += np.bincount(edges.ravel(), of.ravel(), total.shape[1])
-            for at in np.flatnonzero((whole == 0).any(axis=0)).tolist():
-                # Rare: a word whose chance is too small, in some set, for plain numbers.
-                total += self.long_expected(MARK + words[own[at]].decode("utf-8", "replace")) * (there[:, own[at]] & (whole[:, at] == 0))[:, None]
+            sets, at = np.nonzero(there[:, own])  # by set; most words are in one set only
+            if not len(sets):
+                continue
+            edges = edges[at]
+            shares, whole = self.shares(edges, n, sets)
+            bounds = np.searchsorted(sets, np.arange(len(total) + 1))
+            for i, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                total[i] += np.bincount(edges[low:high].ravel(), shares[low:high].ravel(), total.shape[1])
+            for row in np.flatnonzero(whole == 0).tolist():
+                # Rare: a word whose chance is too small for plain numbers.
+                total[sets[row]] += self.long_expected(MARK + words[own[at[row]]].decode("utf-8", "replace"))[sets[row]]
         for i, word in long_words(words):
             total += self.long_expected(word) * there[:, i, None]
         return total[0, :-1] if self.alone else total[:, :-1]
@@ -315,7 +320,11 @@ def tokens(text: str) -> list[bytes]:
 
 
 def byte_counts(text: str) -> np.ndarray:
-    return np.bincount(np.frombuffer(text.encode().translate(ASCII_LOWER), np.uint8), minlength=256)
+    return bytes_of(text.encode().translate(ASCII_LOWER))
+
+
+def bytes_of(low: bytes) -> np.ndarray:
+    return np.bincount(np.frombuffer(low, np.uint8), minlength=256)
 
 
 def byte_classes(rows: np.ndarray, classes: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -373,10 +382,12 @@ class Model:
 
             for batch in batches:
                 for row, learned in zip(batch["text"], batch["learned"], strict=True):
+                    low = row.encode().translate(ASCII_LOWER)
+                    own = [*low.split(), b""]
                     if learned:
-                        seen[int(np.argmax(byte_logs @ byte_counts(row) + shares))].update(tokens(row))
+                        seen[int(np.argmax(byte_logs @ bytes_of(low) + shares))].update(own)
                     else:
-                        rest.update(tokens(row))
+                        rest.update(own)
                     if sum(map(len, seen)) + len(rest) > GATHER:
                         yield out()
                         rest.clear()
@@ -433,7 +444,7 @@ class Model:
         """Log weights by class. Each round sends them (some 30,000 numbers a class, whatever the input) out and expected counts back."""
         k, size = self.classes, len(self.pieces)
         weights = np.tile(Lattice.first(self.pieces), (k, 1))
-        learned = self.counts.where("c > 0").select("word", F.array(*(F.col(f"c{i}") > 0 for i in range(k))).alias("there"))
+        learned = self.counts.where("c > 0").select("word", sum(F.when(F.col(f"c{i}") > 0, 1 << i).otherwise(0) for i in range(k)).alias("there"))
         for _ in range(rounds):
             sent = spark.sparkContext.broadcast(self.lattice.weighed(weights))
 
@@ -441,7 +452,8 @@ class Model:
                 total = 0.0
                 for batch in batches:
                     if len(batch):
-                        total = total + sent.value.expected(batch["word"].tolist(), np.stack(batch["there"].to_numpy()).T)
+                        there = batch["there"].to_numpy() >> np.arange(k)[:, None] & 1
+                        total = total + sent.value.expected(batch["word"].tolist(), there.astype(bool))
                 for i, own in enumerate(total if np.ndim(total) else []):
                     used = np.flatnonzero(own > 0)
                     yield pd.DataFrame({"k": i, "piece": used, "n": own[used]})
@@ -454,7 +466,7 @@ class Model:
         return weights
 
     def _scored(self, spark: SparkSession) -> DataFrame:
-        """word, c and p, its log10 probability in each class and last by the lattice of the vocabulary's weights alone."""
+        """word, c and p0, p1, ..., its log10 probability in each class and last by the lattice of the vocabulary's weights alone."""
         sent = spark.sparkContext.broadcast(self.lattice.weighed(np.vstack([self.weights, Lattice.first(self.pieces)])))
         k, n, class_n, discount, fresh, spelt = self.classes, self.n, self.class_n, self.discount, self.fresh, self.spelt
 
@@ -469,9 +481,9 @@ class Model:
                     with np.errstate(divide="ignore"):
                         logs.append(np.logaddexp(np.log(seen), np.log(fresh[i] * share) + spelling[i]) / LN10)
                 logs.append(spelling[k] / LN10)
-                yield pd.DataFrame({"word": batch["word"], "c": batch["c"], "p": list(np.stack(logs, axis=1))})
+                yield pd.DataFrame({"word": batch["word"], "c": batch["c"], **{f"p{i}": own for i, own in enumerate(logs)}})
 
-        return self.counts.mapInPandas(score, "word binary, c long, p array<double>")
+        return self.counts.mapInPandas(score, "word binary, c long, " + ", ".join(f"p{i} double" for i in range(k + 1)))
 
     def _head(self) -> DataFrame:
         """The end and the most frequent short words, HEAD at most: those above the least frequency, of a few hundred on a
@@ -494,7 +506,7 @@ class Model:
         n, v, k = self.n, self.v, self.classes
         total = n + 0.5 * (v + 1)
         head = {bytes(r["word"]): i for i, r in enumerate(top)}
-        facts = np.array([[r["c"] > 0, np.log10((r["c"] + 0.5) / total), *r["p"]] for r in top]).reshape(len(top), k + 3)
+        facts = np.array([[r["c"] > 0, np.log10((r["c"] + 0.5) / total), *(r[f"p{i}"] for i in range(k + 1))] for r in top]).reshape(len(top), k + 3)
         sent = spark.sparkContext.broadcast((head, np.vstack([facts, np.zeros(k + 3)])))
 
         def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -515,7 +527,7 @@ class Model:
         looked = rows.mapInPandas(look_up, "doc_id long, n_tokens long, known long, low double, own array<double>, rest array<binary>")
         looked = written(looked.withColumn("row", F.monotonically_increasing_id()), "looked")
         met = looked.select("row", F.explode("rest").alias("word")).join(self.lexicon, "word")
-        rest = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("known2"), F.sum(F.log10((F.col("c") + 0.5) / total)).alias("low2"), *(F.sum(F.col("p")[i]).alias(f"own{i}") for i in range(k + 1)))
+        rest = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("known2"), F.sum(F.log10((F.col("c") + 0.5) / total)).alias("low2"), *(F.sum(f"p{i}").alias(f"own{i}") for i in range(k + 1)))
         both = looked.drop("rest").join(rest, "row", "left")
         logs = F.array(*(F.lit(float(self.shares[i] / LN10)) + F.col("own")[i] + F.coalesce(f"own{i}", F.lit(0.0)) for i in range(k)))
         top_log = F.array_max("logs")
