@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,9 @@ from ..sources.scratch import written
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 DENSE_LEAST, BM25_LEAST = 0.55, 5.0
-#: Vectors of queries that meet all vectors in one pass; more take further passes.
-QUERY_BLOCK = 1_024
+#: Vectors of queries that stand beside a chunk of vectors as one row, the vectors of a chunk, and the blocks that are
+#: sent to every task; more of them meet the chunks by a shuffle.
+QUERY_BLOCK, CHUNK, SENT_BLOCKS = 1_024, 2_048, 32
 #: Terms of queries that are sent to every task; more are joined by a shuffle.
 MANY_TERMS = 100_000
 
@@ -119,35 +121,52 @@ def top_bm25(index: LexicalIndex, queries: DataFrame, k: int, query_id: str = "q
 def top_dense(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
     """query_id, id, dense_score (6 digits) and dense_rank from 0, of the k largest inner products, exactly.
 
-    A stated set of queries meets all vectors: it is dealt into blocks of QUERY_BLOCK at most, each block a row that
-    stands beside each batch of vectors in one pass, as a product of two matrices. A task keeps the best k of a query
-    and batch before anything is shuffled. Null vectors match nothing.
+    A stated set of queries meets all vectors: queries are packed into blocks of about QUERY_BLOCK, each a row that stands
+    beside the vectors, of which a task takes a batch at a time and multiplies two matrices. The vectors are scanned once
+    and not shuffled where the blocks are few enough to be sent to every task; the best k of a query and batch are all that
+    is shuffled. Null vectors match nothing. No vectors, or no queries, give no rows.
     """
     asked = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).cast("array<double>").alias("_q"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    packed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))).alias("_block")).agg(F.collect_list(F.struct("query_id", "_q")).alias("_asked"))
     rows = vectors.where(F.col(vector).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("_v"))
-    out = None
-    for block in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # about QUERY_BLOCK vectors
-        sent = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in own], [r["_q"] for r in own]))
-
-        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            names, asked = np.array(sent.value[0], np.int64), np.array(sent.value[1], np.float64)
-            for batch in batches:
-                if not len(batch) or not len(names):
-                    continue
-                ids = batch["id"].to_numpy()
-                scores = np.round(np.stack(batch["_v"].to_numpy()) @ asked.T, 6).T
-                found = []
-                for name, own in zip(names.tolist(), scores, strict=True):
-                    at = np.lexsort((ids, -own))[:k]
-                    found.append(pd.DataFrame({"query_id": name, "id": ids[at], "dense_score": own[at]}))
-                yield pd.concat(found)
-
-        part = rows.mapInPandas(best, "query_id long, id long, dense_score double")
-        out = part if out is None else out.unionByName(part)
+    # Vectors in chunks of neighbouring rows, so that a block is beside few rows: a row of numbers for some thousand vectors.
+    chunks = rows.mapInArrow(_chunked, "ids array<long>, numbers array<double>")
+    beside = chunks.crossJoin(F.broadcast(packed) if blocks <= SENT_BLOCKS else packed)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("dense_score", pa.float64())])
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids = np.asarray(batch.column(0)[at].values)
+                own = batch.column(2)[at].values
+                names = np.asarray(own.field(0))
+                asked, known = (np.asarray(x).reshape(n, -1) for x, n in ((own.field(1).flatten(), len(names)), (batch.column(1)[at].values, len(ids))))
+                scores = np.round(asked @ known.T, 6)
+                found = [_first(ids, row, k) for row in scores]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(f) for f in found])), pa.array(ids[np.concatenate(found)]), pa.array(np.concatenate([row[f] for row, f in zip(scores, found, strict=True)]))], schema=schema)
+
+    part = beside.select("ids", "numbers", "_asked").mapInArrow(best, "query_id long, id long, dense_score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("dense_score"), "id")
-    return ranked(out, order, k, "dense_rank")
+    return ranked(part, order, k, "dense_rank")
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            own = batch.slice(at, CHUNK)
+            ids, numbers = np.asarray(own.column(0)), np.asarray(own.column(1).flatten())
+            yield pa.RecordBatch.from_arrays([pa.array([ids]), pa.array([numbers])], ["ids", "numbers"])
+
+
+def _first(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, ties by id."""
+    if len(scores) > k:
+        least = np.partition(scores, -k)[-k]
+        near = np.flatnonzero(scores >= least)
+    else:
+        near = np.arange(len(scores))
+    return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
 def embedded(rows: DataFrame, text: str, embed: Callable[[list[str]], np.ndarray], name: str = "embedding", batch: int = 64) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import dot, unit
 from ..operators import corpus, instruct, retrieval, verification
+from ..sources.keyed import KeyedTable
+from ..sources.scratch import folder
 from .common import query, sql_tokens, stored_index, table
 from .corpus_queries import PAIRS, pairs
 
@@ -103,6 +107,24 @@ def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(dot(tripled, tripled) * size, 6).alias("norm2"))
 
 
+@query(
+    "vector_upsert",
+    """with e as (select vec_id, list_inner_product(cast(embedding as double[]), cast(embedding as double[])) as n from embeddings)
+       select vec_id, round(case when vec_id % 10 = 0 then 4 * n else n end, 6) as norm2, cast(case when vec_id % 10 = 0 then 2 else 1 end as bigint) as version from e
+       union all select vec_id + 1000000, round(n, 6), 1 from e where vec_id % 25 = 0""",
+)
+def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors, then a batch of changed, unchanged and new ones, then that batch again."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    stored = KeyedTable(spark, f"{folder(spark)}/vectors-{uuid.uuid4().hex}", ["vec_id"])
+    stored.merge(vectors)
+    changed = vectors.where("vec_id % 5 = 0").withColumn("embedding", F.when(F.col("vec_id") % 10 == 0, F.transform("embedding", lambda x: x * 2)).otherwise(F.col("embedding")))
+    batch = changed.unionByName(vectors.where("vec_id % 25 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000))
+    stored.merge(batch)
+    stored.merge(batch)
+    return stored.read().select("vec_id", F.round(dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"), "version")
+
+
 @query("rrf_hybrid", f"with {FUSED} select * from hybrid")
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return hybrid(spark, d)

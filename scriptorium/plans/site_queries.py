@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import site
+from ..operators import listing, publishing, site
 from ..streaming import limits
 from .common import literal_rows, query, sql_collapsed, sql_fold, sql_plain, sql_tokens, stored_index, table
 
@@ -125,9 +125,19 @@ def court_fee(spark: SparkSession, d: str) -> DataFrame:
     return site.with_fee(claims, "v", "kind").select("o_orderkey", "base", "fee")
 
 
-@query("fee_types", "select * from (values " + ", ".join(f"('{a}', {b}::double, '{c}', '{x}', '{e}')" for a, b, c, x, e in site.PROCEEDINGS) + ") t(proceeding, multiplier, label_hr, label_en, tariff)")
+KINDS = {"1-URGENT": "civil_judgment", "2-HIGH": "civil_appeal", "3-MEDIUM": "civil_complaint", "4-NOT SPECIFIED": "land_registry", "5-LOW": "commercial_judgment"}
+
+
+@query(
+    "fee_types",
+    "select t.*, coalesce(n, 0) as claims from (values " + ", ".join(f"('{a}', {b}::double, '{c}', '{x}', '{e}')" for a, b, c, x, e in site.PROCEEDINGS) + ") t(proceeding, multiplier, label_hr, label_en, tariff) left join (select case o_orderpriority "
+    + " ".join(f"when '{k}' then '{v}'" for k, v in KINDS.items()) + " end as proceeding, count(*) as n from orders group by 1) c on c.proceeding = t.proceeding",
+)
 def fee_types(spark: SparkSession, d: str) -> DataFrame:
-    return site.proceedings(spark)
+    """The proceedings and how many claims there are of each."""
+    kind = F.coalesce(*(F.when(F.col("o_orderpriority") == k, v) for k, v in KINDS.items()))
+    claims = table(spark, d, "orders").groupBy(kind.alias("proceeding")).agg(F.count(F.lit(1)).alias("claims"))
+    return site.proceedings(spark).join(claims, "proceeding", "left").withColumn("claims", F.coalesce("claims", F.lit(0).cast("long")))
 
 
 #: Two rings: a square and a triangle, which overlap; the second feature has two polygons.
@@ -273,3 +283,61 @@ def language_fallback(spark: SparkSession, d: str) -> DataFrame:
 @query("token_overlap", f"select item_id, cast(len({sql_tokens('text')}) as bigint) as n from benchmark")
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.size(X.token_list(F.col("text"))).cast("long").alias("n"))
+
+
+#: A filter as a list endpoint gets it: numbers, dates and texts, nested.
+WHERE = "where[o_totalprice][gte]=1000&where[or][0][o_orderstatus][in]=F,P&where[or][1][and][0][o_orderdate][gte]=1996-01-01&where[or][1][and][1][o_orderpriority][like]=high 2&where[o_orderkey][not_equals]=7"
+
+
+@query("where_list", "select o_orderkey, o_orderstatus from orders where o_totalprice >= 1000 and (o_orderstatus in ('F', 'P') or (o_orderdate >= timestamp '1996-01-01' and contains(lower(o_orderpriority), 'high') and contains(lower(o_orderpriority), '2'))) and o_orderkey <> 7")
+def where_list(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    return orders.where(listing.where(orders.schema, listing.from_query_string(WHERE))).select("o_orderkey", "o_orderstatus")
+
+
+@query("where_page", "select c_custkey, c_acctbal from customer where c_acctbal > 0 and c_mktsegment <> 'BUILDING' order by c_acctbal desc, c_custkey limit 100 offset 100")
+def where_page(spark: SparkSession, d: str) -> DataFrame:
+    tree = {"and": [{"c_acctbal": {"greater_than": 0}}, {"c_mktsegment": {"not_equals": "BUILDING"}}]}
+    return listing.listing(table(spark, d, "customer"), tree, "c_custkey", "-c_acctbal", 2, 1_000).select("c_custkey", "c_acctbal")
+
+
+@query(
+    "redirect_targets",
+    """with recursive r as (select l_orderkey * 8 + l_linenumber as old, case when (l_orderkey + l_linenumber) % 50 = 0 then l_orderkey * 8 + l_linenumber else (l_orderkey * 8 + l_linenumber) // 3 end as new from lineitem),
+       m as (select old, min(new) as new from r group by old),
+       w as (select old, new as goal, cast(1 as bigint) as hops from m union all select w.old, m.new, w.hops + 1 from w join m on m.old = w.goal where m.new <> w.goal),
+       e as (select old, arg_max(goal, hops) as goal, max(hops) as hops from w group by old)
+       select e.old, case when m.old is null then goal end as target, case when m.old is null then hops end as hops, case when m.old is null then 'ok' else 'cycle' end as state from e left join m on m.old = goal""",
+)
+def redirect_targets(spark: SparkSession, d: str) -> DataFrame:
+    old = F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")
+    new = F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 50 == 0, old).otherwise(F.floor(old / 3))
+    return publishing.resolved(table(spark, d, "lineitem").select(old.alias("old"), new.alias("new")))
+
+
+SITEMAP_MOST = 100
+
+
+@query(
+    "sitemap_files",
+    f"""with u as (select distinct url from pages where url <> ''), n as (select url, row_number() over (order by url) - 1 as n from u)
+        select n // {SITEMAP_MOST} + 1 as file, count(*) as entries, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) ||
+               string_agg('<url><loc>' || replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') || '</loc></url>', chr(10) order by n) || chr(10) || '</urlset>' || chr(10)) as xml_md5
+        from n group by 1""",
+)
+def sitemap_files(spark: SparkSession, d: str) -> DataFrame:
+    return publishing.sitemap(table(spark, d, "pages"), "url", most=SITEMAP_MOST).select("file", "entries", F.md5("xml").alias("xml_md5"))
+
+
+@query(
+    "pin_clusters",
+    """with p as (select vec_id, 44 + embedding[1]::double * 10 as lat, 16 + embedding[2]::double * 10 as lon from embeddings),
+            t as (select *, floor((lon + 180.0) / 360.0 * 4096)::bigint as x, floor((1.0 - ln(tan(radians(lat)) + 1.0 / cos(radians(lat))) / pi()) / 2.0 * 4096)::bigint as y from p),
+            z as (select unnest(range(0, 13)) as zoom)
+       select cast(zoom as integer) as zoom, x >> (12 - zoom) as x, y >> (12 - zoom) as y, count(*) as n, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, case when count(*) = 1 then min(vec_id) end as key
+       from t, z group by 1, 2, 3""",
+)
+def pin_clusters(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("embedding")
+    points = table(spark, d, "embeddings").select("vec_id", (44 + v[0].cast("double") * 10).alias("lat"), (16 + v[1].cast("double") * 10).alias("lon"))
+    return publishing.clustered(points, "vec_id", "lat", "lon")
