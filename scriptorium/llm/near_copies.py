@@ -9,10 +9,11 @@ Every candidate is verified on its set of shingles before it becomes a link. Tex
 them, that which stands beside most texts in all its bands: of a group of copies the one in its middle. So a large group
 costs as many comparisons as it has members. What this leaves in several components is compared band by band inside a
 task: the band's sets are an inverted index, each text outside the band's largest component counts what it has in common
-with all others, and the task passes on links that join components, fewer than it has texts. Bands of more than BLOCK
-texts are dealt as pairs of blocks. No link is lost, and no pairs are made into rows.
+with all others, and the task passes on links that join components, fewer than it has texts. The texts of the largest
+component and the rest are dealt into blocks of BLOCK; those of the largest component stand in one task for each block
+of the rest, as a rule one. No link is lost, and no pairs are made into rows.
 
-Texts of equal words are one node. A text of fewer than SHINGLE words is one shingle, an empty one has none and is like
+An empty table has no rows to return; rows that repeat (one id, one text) are one row. Texts of equal words are one node. A text of fewer than SHINGLE words is one shingle, an empty one has none and is like
 no other. Rows without doc_id take no part. Shingles are told apart by 64-bit hashes.
 """
 
@@ -140,22 +141,31 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _across(shared: DataFrame, member: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (left, right) between texts that share a band and stand in different components; shared: key and node."""
     own = shared.select("key", "node").join(member.toDF("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = own.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    # A text stands in the pairs of its block with each block: once where there is one.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("key", "node", "c", "block", other.alias("other")).select("key", "node", "c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+    parts = own.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("most")).where("all > most.n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("key", F.col("most.c").alias("largest"), blocks(F.col("all") - F.col("most.n")).alias("odd_blocks"), blocks(F.col("most.n")).alias("blocks"))
+    rows = own.join(mixed, "key").withColumn("odd", F.col("c") != F.col("largest"))
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("odd"), F.col("odd_blocks")).otherwise(F.col("blocks"))).cast("int")
+    rows = rows.withColumn("block", block)
+    # Texts of the largest component meet only the others: each stands in one task for each block of those, of which there
+    # is one as a rule. The others meet the largest component's blocks and each other.
+    place = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    upto = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    odd = F.concat(upto("blocks", lambda j: place(0, F.col("block"), j)), upto("odd_blocks", lambda o: place(1, F.least("block", o), F.greatest("block", o))))
+    places = F.when(F.col("odd"), odd).otherwise(upto("odd_blocks", lambda o: place(0, o, F.col("block"))))
+    rows = rows.select("key", "node", "c", "block", "odd", F.explode(places).alias("at")).select("key", "node", "c", "block", "odd", "at.*")
     rows = rows.join(sets.select("node", "shingles"), "node")
 
     def link(key: tuple, group: pa.Table) -> pa.Table:
         nodes = group["node"].to_pylist()
         _, component = np.unique(np.array(group["c"].to_pylist()), return_inverse=True)
-        side = np.zeros(len(nodes), int) if key[1].as_py() == key[2].as_py() else (group["block"].to_numpy() == key[2].as_py()).astype(int)
+        _, kind, i, j = (k.as_py() for k in key)
+        side = group["odd"].to_numpy(zero_copy_only=False).astype(int) if kind == 0 else (group["block"].to_numpy() == j).astype(int) * (i != j)
         left, right = joining_links([s.values.to_numpy() for s in group["shingles"]], component, side)
         return pa.table({"left": pa.array([nodes[i] for i in left], pa.string()), "right": pa.array([nodes[i] for i in right], pa.string())})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(link, "left string, right string").distinct()
+    return rows.groupBy("key", "kind", "i", "j").applyInArrow(link, "left string, right string").distinct()
 
 
 def near_copies(documents: DataFrame) -> DataFrame:
