@@ -30,9 +30,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from copy import copy
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -291,10 +293,12 @@ def long_words(words: list[bytes]) -> Iterator[tuple[int, str]]:
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Over the last axis; x is used up."""
     top = x.max(axis=-1)
     safe = np.where(np.isfinite(top), top, 0.0)
+    x -= safe[..., None]
     with np.errstate(divide="ignore"):
-        return np.log(np.exp(x - safe[..., None]).sum(axis=-1)) + safe
+        return np.log(np.exp(x, out=x).sum(axis=-1)) + safe
 
 
 def vocabulary(path: str | None = None) -> dict[str, int]:
@@ -372,16 +376,20 @@ class Model:
         for _ in range(FITS if len(seen) else 0):
             self.shares, self.bytes = shares, byte_logs = self._over_all(rows, shares, byte_logs)
 
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: list[Counter[bytes]] = [Counter() for _ in range(k)]
             rest: set[bytes] = set()
 
-            def out() -> pd.DataFrame:
-                parts = [pd.DataFrame({"word": list(s.keys()), "k": i, "c": list(s.values())}) for i, s in enumerate(seen)]
-                return pd.concat([*parts, pd.DataFrame({"word": list(rest), "k": 0, "c": 0})])
+            def out() -> Iterator[pa.RecordBatch]:
+                for i, own in enumerate([*seen, dict.fromkeys(rest, 0)]):
+                    columns = [pa.array(own.keys(), pa.binary()), pa.array(np.full(len(own), i % k, np.int32)), pa.array(np.fromiter(own.values(), np.int64, len(own)))]
+                    yield pa.RecordBatch.from_arrays(columns, ["word", "k", "c"])
+                rest.clear()
+                for own in seen:
+                    own.clear()
 
             for batch in batches:
-                for row, learned in zip(batch["text"], batch["learned"], strict=True):
+                for row, learned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     low = row.encode().translate(ASCII_LOWER)
                     own = [*low.split(), b""]
                     if learned:
@@ -389,13 +397,10 @@ class Model:
                     else:
                         rest.update(own)
                     if sum(map(len, seen)) + len(rest) > GATHER:
-                        yield out()
-                        rest.clear()
-                        for s in seen:
-                            s.clear()
-            yield out()
+                        yield from out()
+            yield from out()
 
-        counted = rows.select("text", "learned").mapInPandas(count, "word binary, k int, c long")
+        counted = rows.select("text", "learned").mapInArrow(count, "word binary, k int, c long")
         by_class = [F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)).alias(f"c{i}") for i in range(k)]
         self.counts = written(counted.groupBy("word").agg(F.sum("c").alias("c"), *by_class), "counts")
         hit = lambda condition: F.count(F.when(condition, 1))
@@ -470,20 +475,23 @@ class Model:
         sent = spark.sparkContext.broadcast(self.lattice.weighed(np.vstack([self.weights, Lattice.first(self.pieces)])))
         k, n, class_n, discount, fresh, spelt = self.classes, self.n, self.class_n, self.discount, self.fresh, self.spelt
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f"p{i}" for i in range(k + 1)]
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                spelling = sent.value.log_spelling(batch["word"].tolist())
-                overall = batch["c"].to_numpy(np.float64) / max(n, 1)
+                column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
+                spelling = sent.value.log_spelling(column("word").to_pylist())
+                overall = column("c").to_numpy().astype(np.float64) / max(n, 1)
                 logs = []
                 for i in range(k):
                     share = spelt[i] if n else 1.0
-                    seen = np.maximum(batch[f"c{i}"].to_numpy(np.float64) - discount[i], 0.0) / max(class_n[i], 1.0) + fresh[i] * (1 - share) * overall
+                    seen = np.maximum(column(f"c{i}").to_numpy().astype(np.float64) - discount[i], 0.0) / max(class_n[i], 1.0) + fresh[i] * (1 - share) * overall
                     with np.errstate(divide="ignore"):
                         logs.append(np.logaddexp(np.log(seen), np.log(fresh[i] * share) + spelling[i]) / LN10)
                 logs.append(spelling[k] / LN10)
-                yield pd.DataFrame({"word": batch["word"], "c": batch["c"], **{f"p{i}": own for i, own in enumerate(logs)}})
+                yield pa.RecordBatch.from_arrays([column("word"), column("c"), *map(pa.array, logs)], ["word", "c", *names])
 
-        return self.counts.mapInPandas(score, "word binary, c long, " + ", ".join(f"p{i} double" for i in range(k + 1)))
+        return self.counts.mapInArrow(score, "word binary, c long, " + ", ".join(f"{name} double" for name in names))
 
     def _head(self) -> DataFrame:
         """The end and the most frequent short words, HEAD at most: those above the least frequency, of a few hundred on a
@@ -509,22 +517,27 @@ class Model:
         facts = np.array([[r["c"] > 0, np.log10((r["c"] + 0.5) / total), *(r[f"p{i}"] for i in range(k + 1))] for r in top]).reshape(len(top), k + 3)
         sent = spark.sparkContext.broadcast((head, np.vstack([facts, np.zeros(k + 3)])))
 
-        def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head, facts = sent.value
-            get, none = head.get, len(facts) - 1
+            none = len(facts) - 1
             for batch in batches:
-                out = []
-                for row in batch["text"]:
+                sums, tokens_, ends, rest = [], [], [0], []
+                for row in batch.column(1).to_pylist():
                     found = tokens(row)
-                    met = np.array([get(w, none) for w in found])
-                    sums = facts[met].sum(axis=0)
-                    out.append((len(found), int(sums[0]), sums[1], sums[2:], [found[i] for i in np.flatnonzero(met == none).tolist()]))
-                frame = pd.DataFrame(out, columns=["n_tokens", "known", "low", "own", "rest"])
-                frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-                yield frame
+                    met = np.fromiter(map(head.get, found, repeat(none)), np.int64, len(found))
+                    sums.append(facts[met].sum(axis=0))
+                    tokens_.append(len(found))
+                    rest += [found[i] for i in np.flatnonzero(met == none).tolist()]
+                    ends.append(len(rest))
+                sums = np.array(sums).reshape(-1, facts.shape[1])
+                each = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * (k + 1))
+                own = pa.ListArray.from_arrays(each, pa.array(sums[:, 2:].ravel()))
+                words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest, pa.binary()))
+                columns = [batch.column(0), pa.array(tokens_, pa.int64()), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), own, words]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "known", "low", "own", "rest"])
 
         rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-        looked = rows.mapInPandas(look_up, "doc_id long, n_tokens long, known long, low double, own array<double>, rest array<binary>")
+        looked = rows.mapInArrow(look_up, "doc_id long, n_tokens long, known long, low double, own array<double>, rest array<binary>")
         looked = written(looked.withColumn("row", F.monotonically_increasing_id()), "looked")
         met = looked.select("row", F.explode("rest").alias("word")).join(self.lexicon, "word")
         rest = met.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("known2"), F.sum(F.log10((F.col("c") + 0.5) / total)).alias("low2"), *(F.sum(f"p{i}").alias(f"own{i}") for i in range(k + 1)))
