@@ -133,6 +133,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        with own as (
+            select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+        ), each as (
+            select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from own
+        ), windows as (
+            select doc_id, word, i, count(*) over w as n, string_agg(word, ' ') over w as words from each
+            window w as (partition by doc_id order by i rows between current row and 19 following)
+        ), flagged as (
+            select doc_id, word, i, case when n = 20 and row_number() over (partition by words order by doc_id, i) > 1 then 1 else 0 end as again from windows
+        ), judged as (
+            select doc_id, word, i, max(again) over (partition by doc_id order by i rows between 19 preceding and current row) as gone from flagged
+        ), kept as (
+            select doc_id, count(*) as n_words, cast(sum(gone) as bigint) as n_removed, coalesce(string_agg(case when gone = 0 then word end, ' ' order by i), '') as text from judged group by doc_id
+        )
+        select own.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from own left join kept on kept.doc_id = own.doc_id
+    """,
     "op7_url_filter": r"""
         with parts as (
             select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
@@ -185,4 +202,40 @@ ORACLE_SQL: dict[str, str] = {
         select facts.conv_id, facts.d as depth, parents.conv_id as parent_conv_id, facts.n_convs, facts.n_children, n_leaves, cast(saved as bigint) as saved_tokens, sha256(coalesce(facts.ends, '')) as ends_sha256
         from facts join subtrees on subtrees.k = facts.k left join nodes as parents on facts.d > 0 and parents.k = substr(facts.k, 1, cast(64 * (facts.d - 1) as int))
     """,
+    "op13_importance": r"""
+        with crc as (
+            select list_transform(range(256), lambda n: list_reduce([cast(n as bigint), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t
+        ), texts as (
+            select doc_id, true as doc, text from documents union all select item_id, false, text from benchmark
+        ), cut as (
+            select doc_id, doc, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from texts
+        ), each as (
+            select doc_id, doc, unnest(ws) as a, unnest(range(1, len(ws) + 1)) as i from cut
+        ), beside as (
+            select doc_id, doc, a, lead(a, 1) over w as b, lead(a, 2) over w as c from each window w as (partition by doc, doc_id order by i)
+        ), runs as (
+            select doc_id, doc, a as run from beside union all select doc_id, doc, a || ' ' || b from beside where b is not null
+            union all select doc_id, doc, a || ' ' || b || ' ' || c from beside where c is not null
+        ), known as (
+            select run, hex(encode(run)) as h from (select distinct run from runs)
+        ), places as (
+            select run, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda j: cast('0x' || substr(h, cast(2 * j + 1 as int), 2) as bigint))), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 10000 as bucket from known, crc
+        ), counted as (
+            select bucket, doc, count(*) as n from runs join places using (run) group by 1, 2
+        ), sums as (
+            select coalesce(sum(n) filter (where doc), 0) as all_s, coalesce(sum(n) filter (where not doc), 0) as all_t from counted
+        ), gains as (
+            select bucket, cast(floor(1000 * ln((t + 1.0::double) * (all_s + 10000) / ((s + 1.0::double) * (all_t + 10000)))) as bigint) as gain
+            from (select bucket, coalesce(sum(n) filter (where doc), 0) as s, coalesce(sum(n) filter (where not doc), 0) as t from counted group by bucket), sums
+        ), weighed as (
+            select doc_id, count(*) as n_features, sum(gain) as weight from runs join places using (run) join gains using (bucket) where doc group by doc_id
+        ), scored as (
+            select cut.doc_id, len(ws) as n_words, coalesce(n_features, 0) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+                   cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('42:' || cut.doc_id::varchar), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score
+            from cut left join weighed on weighed.doc_id = cut.doc_id where doc
+        ), placed as (
+            select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_words >= 20) as n from scored
+        )
+        select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 5 * n // 100 then place end as rank from placed
+    """,
 }

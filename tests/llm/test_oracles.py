@@ -1,0 +1,27 @@
+"""The operators' queries that have SQL against DuckDB on the smallest tables."""
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from scriptorium.llm.queries import ORACLE_SQL, QUERIES
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def tables():
+    con = duckdb.connect()
+    for path in DATA.glob("*.parquet"):
+        con.sql(f"create view {path.stem} as select * from '{path}'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows(spark, tables, name):
+    ours, theirs = QUERIES[name](spark, str(DATA)), tables.sql(ORACLE_SQL[name])
+    names = sorted(ours.columns)
+    assert names == sorted(theirs.columns)
+    at = [theirs.columns.index(c) for c in names]
+    assert sorted(str(tuple(r)) for r in ours.select(*names).collect()) == sorted(str(tuple(r[i] for i in at)) for r in theirs.fetchall())
