@@ -5,6 +5,8 @@ Random choices are numbers from hashes of a seed and the row's key, so any run a
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,22 +33,47 @@ def messages(turns: DataFrame, key: str = "conv_id", turn: str = "turn") -> Data
     return rows.select(key, F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
-def template_pairs(documents: DataFrame, key: str, court: str, case: str, date: str, ecli: str, summary: str) -> DataFrame:
-    """key, pos, question, answer: a row for each template whose data is there (a summary of at least 30 characters)."""
-    there = lambda *names: [F.coalesce(F.col(n), F.lit("")) != "" for n in names]
-    f = F.format_string
-    templates = [
-        (there(court, case), f("Koji sud je donio odluku u predmetu %s?", F.col(case)), f("Predmet %s donesen je u %s.", F.col(case), F.col(court))),
-        (there(case, date), f("Kojeg datuma je donesena odluka u predmetu %s?", F.col(case)), f("Odluka u predmetu %s donesena je %s.", F.col(case), F.col(date))),
-        (there(ecli, case), f("Koji je ECLI identifikator predmeta %s?", F.col(case)), f("Predmet %s ima ECLI: %s.", F.col(case), F.col(ecli))),
-        ([*there(case), F.length(summary) >= 30], f("Sažmi kratko predmet %s.", F.col(case)), F.trim(F.col(summary))),
-    ]
-    pairs = []
-    for pos, (conditions, question, answer) in enumerate(templates):
-        ok = conditions[0]
-        for c in conditions[1:]:
-            ok = ok & c
-        pairs.append(F.when(ok, F.struct(F.lit(pos).alias("pos"), question.alias("question"), answer.alias("answer"))))
+@dataclass(frozen=True)
+class Template:
+    """question and answer are format strings over the fields named in `slots`, which must all be there; where `least` is
+    given, the last of them must have so many characters."""
+
+    slots: tuple[str, ...]
+    question: str
+    answer: str
+    least: int = 0
+
+    def pair(self, fields: dict[str, Column], pos: int) -> Column:
+        ok = F.lit(True)
+        for slot in self.slots:
+            ok = ok & (F.coalesce(fields[slot], F.lit("")) != "")
+        if self.least:
+            ok = ok & (F.length(fields[self.slots[-1]]) >= self.least)
+        values = [F.trim(fields[slot]) if self.least else fields[slot] for slot in self.slots]
+        filled = []
+        for text in (self.question, self.answer):
+            text = text.replace("%", "%%")
+            for number, slot in enumerate(self.slots, 1):
+                text = text.replace(f"{{{slot}}}", f"%{number}$s")
+            filled.append(F.format_string(text, *values))
+        return F.when(ok, F.struct(F.lit(pos).alias("pos"), filled[0].alias("question"), filled[1].alias("answer")))
+
+
+#: What template_pairs makes of a document, by name and in this order; others are added to it.
+TEMPLATES: dict[str, Template] = {
+    "court": Template(("case", "court"), "Koji sud je donio odluku u predmetu {case}?", "Predmet {case} donesen je u {court}."),
+    "date": Template(("case", "date"), "Kojeg datuma je donesena odluka u predmetu {case}?", "Odluka u predmetu {case} donesena je {date}."),
+    "ecli": Template(("case", "ecli"), "Koji je ECLI identifikator predmeta {case}?", "Predmet {case} ima ECLI: {ecli}."),
+    "summary": Template(("case", "summary"), "Sažmi kratko predmet {case}.", "{summary}", least=30),
+}
+
+
+def template_pairs(documents: DataFrame, key: str, court: str, case: str, date: str, ecli: str, summary: str, templates: dict[str, Template] | None = None, **more: str) -> DataFrame:
+    """key, pos, question, answer: a row for each template whose data is there (a summary of at least 30 characters).
+    templates: those of TEMPLATES if none are given; `more` names the columns of further slots."""
+    names = {"court": court, "case": case, "date": date, "ecli": ecli, "summary": summary, **more}
+    fields = {slot: F.col(column) for slot, column in names.items()}
+    pairs = [t.pair(fields, pos) for pos, t in enumerate((TEMPLATES if templates is None else templates).values())]
     return documents.select(key, F.explode(F.array_compact(F.array(*pairs))).alias("p")).select(key, "p.pos", "p.question", "p.answer")
 
 

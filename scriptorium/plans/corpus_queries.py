@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking, corpus, instruct
 from ..sources import tables
+from ..sources.hooks import Collection
+from ..sources.keyed import KeyedTable
+from ..sources.scratch import folder
 from .common import query, sql_bucket, sql_collapsed, sql_fold, sql_tokens, table
 
 
@@ -484,3 +489,19 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
 def without_fields(spark: SparkSession, d: str) -> DataFrame:
     nested = table(spark, d, "documents").select("doc_id", F.struct("source", "lang", "text").alias("r"))
     return nested.select("doc_id", F.col("r").dropFields("lang", "text").alias("r")).select("doc_id", "r.source")
+
+
+@query(
+    "hooked_writes",
+    """select p_partkey, upper(trim(p_name)) as p_name, p_size + case when p_partkey % 3 = 0 then 1 else 0 end as p_size,
+              lower(p_name || ' ' || p_brand) as search_text, cast(case when p_partkey % 3 = 0 then 2 else 1 end as bigint) as version from part""",
+)
+def hooked_writes(spark: SparkSession, d: str) -> DataFrame:
+    """All parts, then a third of them with another size, through hooks that are registered here."""
+    parts = Collection(KeyedTable(spark, f"{folder(spark)}/parts-{uuid.uuid4().hex}", ["p_partkey"], buckets=16))
+    parts.before_change("p_name")(lambda name: F.upper(F.trim(name)))
+    parts.after_change("search_text", "p_name", "p_brand")(lambda name, brand: F.lower(F.concat_ws(" ", name, brand)))
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("long").alias("p_size"))
+    parts.save(rows)
+    parts.save(rows.where("p_partkey % 3 = 0").withColumn("p_size", F.col("p_size") + 1))
+    return parts.table.read().select("p_partkey", "p_name", "p_size", "search_text", "version")

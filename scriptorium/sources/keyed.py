@@ -54,6 +54,14 @@ class KeyedTable:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int").alias("_bucket")
 
+    def beside(self, batch: DataFrame) -> DataFrame | None:
+        """The stored rows of the folders that a batch's keys lie in; none if nothing was merged yet."""
+        rows = self._stored()
+        if rows is None:
+            return None
+        met = [r["_bucket"] for r in batch.select(self._bucket()).where("_bucket is not null").distinct().collect()]  # at most `buckets` numbers
+        return rows.where(F.col("_bucket").isin(met)).drop("_bucket")
+
     def merge(self, batch: DataFrame) -> int:
         """Takes the batch's rows in; how many rows of the table changed. A row older than the stored one changes nothing."""
         content = [c for c in batch.columns if c not in self.key]

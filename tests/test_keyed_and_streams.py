@@ -7,6 +7,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.operators import instruct
+from scriptorium.sources.hooks import Collection
 from scriptorium.sources.keyed import KeyedTable
 from scriptorium.streaming import limits
 
@@ -127,3 +129,28 @@ def test_only_the_limit_of_a_window_passes_on_a_stream(spark, tmp_path):
     rows = [(i, 1, start + dt.timedelta(microseconds=i)) for i in range(5000)]
     found, _ = limited(spark, tmp_path, [rows[::-1], [(9999, 2, start + dt.timedelta(hours=5))]], 7, 60)
     assert [e for (u, e), ok in sorted(found.items()) if ok and u == 1] == list(range(7)) and len(found) == 5000
+
+
+def test_hooks_are_registered_from_outside(spark, tmp_path):
+    """Derived columns follow their inputs, and are computed only where one of them differs."""
+    schema = "k long, name string, n int"
+    c = Collection(KeyedTable(spark, str(tmp_path / "t"), ["k"], buckets=4))
+    c.before_change("name")(F.trim)
+    c.after_change("search", "name")(F.lower)
+    c.after_change("size", "search")(F.length)
+    assert c.save(spark.createDataFrame([(1, " Ana", 1), (2, None, 2)], schema)) == 2
+    assert rows_of(c.table.read(), "k", "name", "search", "size", "version") == [(1, "Ana", "ana", 3, 1), (2, None, None, None, 1)]
+    assert c.save(spark.createDataFrame([(1, "Ana  ", 1)], schema)) == 0
+    # A hook that says when it is computed: only where its input has changed.
+    c.after_change("search", "name")(lambda name: F.concat(F.lower(name), F.lit("!")))
+    assert c.save(spark.createDataFrame([(1, "Ana", 9), (2, "Iva", 2), (3, "Eva", 3)], schema)) == 3
+    assert rows_of(c.table.read(), "k", "search", "size", "version") == [(1, "ana", 3, 2), (2, "iva!", 4, 2), (3, "eva!", 4, 1)]
+    with pytest.raises(ValueError):
+        c.after_change("search", "search")
+
+
+def test_templates_are_registered_from_outside(spark):
+    rows = spark.createDataFrame([(1, "Sud", "P-1", None, "", "kratko", "Ana"), (2, "", "P-2", "1.1.2024.", "E:1", " s" * 20, None)], "k long, court string, c string, date string, ecli string, summary string, judge string")
+    templates = {**instruct.TEMPLATES, "judge": instruct.Template(("case", "judge"), "Tko je sudio u {case}?", "U {case} sudio je {judge}.")}
+    found = rows_of(instruct.template_pairs(rows, "k", "court", "c", "date", "ecli", "summary", templates, judge="judge"), "k", "pos", "answer")
+    assert found == [(1, 0, "Predmet P-1 donesen je u Sud."), (1, 4, "U P-1 sudio je Ana."), (2, 1, "Odluka u predmetu P-2 donesena je 1.1.2024.."), (2, 2, "Predmet P-2 ima ECLI: E:1."), (2, 3, ("s " * 20).strip())]
