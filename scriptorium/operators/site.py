@@ -131,6 +131,37 @@ def similar_names(rows: DataFrame, column: str, query: str, key: str, least: flo
     return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), key).limit(most)
 
 
+def responsible(located_points: DataFrame, courts: DataFrame, key: str, area: str, columns: list[str]) -> DataFrame:
+    """What a click on the map shows: key, the polygon's number and the given columns of the court that names it in `area`;
+    of several courts the first by these columns, none where no court does."""
+    named = courts.where(F.col(area).isNotNull()).groupBy(F.col(area).alias("ord")).agg(F.min(F.struct(*columns)).alias("court"))
+    return located_points.join(named, "ord", "left").select(key, "ord", *(F.col(f"court.{c}").alias(c) for c in columns))
+
+
+def similar_pairs(asked: DataFrame, rows: DataFrame, column: str, key: str, least: float = 0.3) -> DataFrame:
+    """asked_key, key and similarity of all pairs of a name asked for and a name of the table that are at least so similar
+    by trigrams: a set-similarity join. Names without trigrams are like none.
+
+    Two sets that similar share one of the rarest n - ceil(least * n) + 1 grams of each, and their sizes differ by no more
+    than that factor; so only rows that meet on such a gram are compared. Grams are ranked by how many rows have them.
+    """
+    sets = lambda frame, name: frame.select(F.col(key).alias(name), trigrams(F.col(column)).alias("grams")).where(F.size("grams") > 0)
+    known, wanted = sets(rows, "key"), sets(asked, "asked_key")
+    rarity = known.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefixes(frame: DataFrame, name: str) -> DataFrame:
+        each = frame.select(name, F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(rarity, "gram", "left")
+        # A name's grams are one group: as many as it has letters.
+        own = each.groupBy(name, "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram"))).alias("g"))
+        kept = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")
+        return own.select(name, F.col("n").alias(f"n_{name}"), F.explode(F.slice("g", F.lit(1), kept)).alias("g")).select(name, f"n_{name}", "g.gram")
+
+    fit = (F.col("n_key") >= F.col("n_asked_key") * least - 1e-9) & (F.col("n_asked_key") >= F.col("n_key") * least - 1e-9)
+    pairs = prefixes(wanted, "asked_key").join(prefixes(known, "key"), "gram").where(fit).select("asked_key", "key").distinct()
+    both = pairs.join(wanted.withColumnRenamed("grams", "a"), "asked_key").join(known.withColumnRenamed("grams", "b"), "key")
+    return both.select("asked_key", "key", F.round(jaccard(F.col("a"), F.col("b")), 6).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def visible(rows: DataFrame, role: str | None, published: str, now: str) -> DataFrame:
     """Editors and admins see all rows, others those published by now."""
     return rows if role in ("admin", "editor") else rows.where(F.col(published).isNotNull() & (F.col(published) <= F.to_timestamp_ntz(F.lit(now))))

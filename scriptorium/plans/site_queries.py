@@ -125,6 +125,17 @@ def court_fee(spark: SparkSession, d: str) -> DataFrame:
     return site.with_fee(claims, "v", "kind").select("o_orderkey", "base", "fee")
 
 
+@query(
+    "trigram_pairs",
+    f"""with g as (select p_partkey as k, {GRAMS.format('t')} as a from (select p_partkey, {PADDED.format(sql_fold('p_name'))} as t from part)),
+            s as (select x.k as asked_key, y.k as key, round(len(list_intersect(x.a, y.a)) / len(list_distinct(list_concat(x.a, y.a))), 6) as similarity from g x, g y where x.k % 50 = 0)
+       select * from s where similarity >= 0.5""",
+)
+def trigram_pairs(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
+    return site.similar_pairs(parts.where("p_partkey % 50 = 0"), parts, "p_name", "p_partkey", 0.5)
+
+
 KINDS = {"1-URGENT": "civil_judgment", "2-HIGH": "civil_appeal", "3-MEDIUM": "civil_complaint", "4-NOT SPECIFIED": "land_registry", "5-LOW": "commercial_judgment"}
 
 
@@ -158,6 +169,18 @@ def jurisdiction_pip(spark: SparkSession, d: str) -> DataFrame:
     return site.located(points, features, "vec_id", "x", "y")
 
 
+@query(
+    "polygon_click",
+    f"""with e(ord, polygon, xi, yi, xj, yj) as (values {EDGES}), p as (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings),
+            c as (select vec_id, ord, polygon, count(*) as n from p, e where (yi > y) <> (yj > y) and x < (xj - xi) * (y - yi) / (yj - yi) + xi group by vec_id, ord, polygon),
+            l as (select vec_id, min(ord) as ord from c where n % 2 = 1 group by vec_id)
+       select vec_id, ord, n_name from l left join (select n_regionkey, min(n_name) as n_name from nation where n_regionkey <> 1 group by 1) on n_regionkey = ord""",
+)
+def polygon_click(spark: SparkSession, d: str) -> DataFrame:
+    courts = table(spark, d, "nation").where("n_regionkey != 1").select("n_regionkey", "n_name")
+    return site.responsible(jurisdiction_pip(spark, d), courts, "vec_id", "n_regionkey", ["n_name"])
+
+
 @query("coordinate_guard", "select vec_id, (44 + embedding[1] * 10) between 42 and 47 and (16 + embedding[2] * 10) between 13.5 and 19.5 as ok from embeddings")
 def coordinate_guard(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("embedding")

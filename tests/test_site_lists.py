@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import listing, publishing, retrieval
+from scriptorium.functions.text import trigrams
+from scriptorium.operators import listing, publishing, retrieval, site
 from scriptorium.operators.listing import FilterError
 
 SCHEMA = "id long, name string, n int, price double, at timestamp, day date, ok boolean, tags array<string>, place struct<city:string>"
@@ -139,3 +140,15 @@ def test_dense_search_of_many_queries(spark, monkeypatch, sent):
         own = sorted(found[q])
         assert [x[1] for x in own] == best.tolist() and [x[2] for x in own] == pytest.approx(scores[q][best].tolist(), abs=2e-6)
     assert retrieval.top_dense(vectors.limit(0), queries, 5).count() == 0 and retrieval.top_dense(vectors, queries.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("least", [0.3, 0.8])
+def test_similar_pairs_equal_all_pairs(spark, least):
+    draw = random.Random(8)
+    names = ["".join(draw.choice(["an", "iv", "šo", "ba", " ", "le"]) for _ in range(draw.randrange(1, 7))) for _ in range(160)] + ["", None, "ana", "ana", "   "]
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    grams = {r["id"]: set(r["g"] or []) for r in rows.select("id", trigrams(F.col("name")).alias("g")).collect()}
+    asked = [i for i in grams if i % 4 == 0]
+    expected = {(i, j): round(len(grams[i] & grams[j]) / len(grams[i] | grams[j]), 6) for i in asked for j in grams if grams[i] & grams[j]}
+    found = {(r["asked_key"], r["key"]): r["similarity"] for r in site.similar_pairs(rows.where("id % 4 = 0"), rows, "name", "id", least).collect()}
+    assert found == {p: s for p, s in expected.items() if s >= least} and len(found) > 40
