@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.llm import quality_rules
-from scriptorium.llm.common import WordHashes, remainder
+from scriptorium.llm.common import WordHashes, remainder, written
 from scriptorium.llm.queries import QUERIES
 
 WORDS = ["ana", "Ben", "čar", "dob", "ena", "fin", "gol", "hit", "iva", "jug"]
@@ -95,3 +95,14 @@ def test_odd_labels(spark):
     found = {r["doc_id"]: r["quality"] for r in quality_rules.judge(rows, model).collect()}
     assert found[1] > found[2] and len(found) == 13
     assert quality_rules.judge(rows.where("false"), model).count() == 0
+
+
+def test_features_are_written_in_small_files(spark, monkeypatch):
+    """Features take many times their text, and a reader holds thousands of a file's rows at once."""
+    made = []
+    monkeypatch.setattr(quality_rules, "written", lambda *args, **options: made.append(written(*args, **options)) or made[-1])
+    rows = spark.createDataFrame([(i, prose(i, 30)) for i in range(600)], "doc_id long, text string")
+    quality_rules.fit(rows, spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int"), F.lit(True))
+    (table,) = made
+    assert table.count() == 600 and table.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 128
+    assert dict(table.dtypes)["features"] == "vector"
