@@ -29,6 +29,7 @@ Repeated items are reported each; repeated rows too.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -164,13 +165,14 @@ class Walks:
         text: numbers of words, 0 after each document; begins: where documents begin.
         """
         starts, items = [], []
-        last = len(text) - 1
-        for live, (at, bits, opening, levels, by_key) in ((live, walk) for group in self.groups for live in [self._live(text, *group[:4])] for walk in group[4]):
-            start = live[opening[text[live]]]
-            cursor = start
-            key, level = text[cursor].astype(np.int64), 0
+        # Walks that leave the last document stay among words that no item has.
+        ahead = np.concatenate([text, np.zeros(max([0, *(walk[0][-1] for group in self.groups for walk in group[4])]) + 2, np.int64)])
+        for live, first, (at, bits, opening, levels, by_key) in ((live, text[live], walk) for group in self.groups for live in [self._live(text, *group[:4])] for walk in group[4]):
+            begun = opening[first]
+            start, key = live[begun], first[begun]
+            cursor, level = start.copy(), 0
             for step in range(at[0], at[-1] + 1):
-                word = text[cursor]
+                word = ahead[cursor]
                 if level < len(levels) and step == at[level + 1]:
                     key = key << BITS | word
                     place = np.minimum(np.searchsorted(levels[level], key), len(levels[level]) - 1)
@@ -179,7 +181,8 @@ class Walks:
                     level += 1
                 if not len(start):
                     break
-                cursor = np.minimum(cursor + (bits[word] >> step % 62 & 1), last)
+                # The bit is taken of the words or of the places, whichever are fewer.
+                cursor += (bits >> step % 62 & 1)[word] if len(bits) < len(word) else bits[word] >> step % 62 & 1
             if not len(start):
                 continue
             # Back from the first sampled step to the windows; one that would start in the document before starts here.
@@ -252,13 +255,11 @@ class Walks:
         if not self.items:
             yield from ([] for _ in block)
             return
-        numbers: list[int] = []
-        ends = []
-        for words in block:
-            numbers += [get(w, 0) for w in words]
-            numbers.append(0)
-            ends.append(len(numbers))
-        starts, items = self.candidates(np.array(numbers, np.int32), np.array([0, *ends[:-1]])) if numbers else (np.empty(0, np.int64), np.empty(0, np.int64))
+        ends = np.cumsum([len(words) + 1 for words in block]).tolist()
+        numbers = np.zeros(ends[-1] if ends else 0, np.int64)
+        for words, end in zip(block, ends, strict=True):
+            numbers[end - 1 - len(words) : end - 1] = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+        starts, items = self.candidates(numbers, np.array([0, *ends[:-1]])) if ends else (np.empty(0, np.int64), np.empty(0, np.int64))
         bounds = np.searchsorted(starts, [0, *ends]).tolist()
         for d, words in enumerate(block):
             own = slice(bounds[d], bounds[d + 1])
@@ -275,6 +276,9 @@ class Walks:
         for s, k in zip(starts, items, strict=True):
             length = len(self.items[k][1])
             most = int(self.slack[k])
+            # Places are tried in rising order, so after an equal passage none is better.
+            if k in best and not best[k][0]:
+                continue
             around = words[max(s - most - 1, 0) : s + length + 2 * most + 1]
             if (s, k) in met or edit_within(self.masks[k], length, around, most, anywhere=True)[0] > most:
                 continue
@@ -286,6 +290,8 @@ class Walks:
                 distance, used = edit_within(self.masks[k], length, words[first : first + length + most], most)
                 if distance <= most and (k not in best or (distance, first) < best[k][:2]):
                     best[k] = (distance, first, first + used)
+                if not distance:
+                    break
         return [(self.items[k][0], a, b, d, 1 - d / len(self.items[k][1])) for k, (d, a, b) in sorted(best.items())]
 
 

@@ -806,3 +806,14 @@ def test_lm_weights_are_fitted_in_three_rounds(spark):
     documents = spark.createDataFrame([(i, f"the cat{i} sat on the mat and sang again") for i in range(12)], "doc_id long, text string")
     own, thrice = (lm_scoring.Model(documents, F.lit(True), classes=1, **more).weights[0] for more in ({}, {"rounds": 3}))
     assert np.allclose(own, thrice)
+
+
+def test_equal_passages_are_verified_few_times(monkeypatch):
+    """Once a passage equal to the item is found no other place can be better, so no further edit distance is computed."""
+    item = " ".join(f"w{i}" for i in range(60))
+    calls = []
+    plain = decontaminate.edit_within
+    monkeypatch.setattr(decontaminate, "edit_within", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    walks = decontaminate.Walks([(7, item)])
+    assert walks.matches(f"some words before {item} and {item} after") == [(7, 3, 63, 0, 1.0)]
+    assert len(calls) <= 16  # one for the passage, and one for each of the places up to it
