@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import whole_text, words, written
 
-SAMPLES, STEP = 64, 16
+SAMPLES, STEP = 64, 8
 #: Ranges of doc_id, per shuffle partition.
 RANGES = 4
 

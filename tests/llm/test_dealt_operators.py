@@ -817,3 +817,14 @@ def test_equal_passages_are_verified_few_times(monkeypatch):
     walks = decontaminate.Walks([(7, item)])
     assert walks.matches(f"some words before {item} and {item} after") == [(7, 3, 63, 0, 1.0)]
     assert len(calls) <= 16  # one for the passage, and one for each of the places up to it
+
+
+def test_signatures_do_not_depend_on_the_step(spark, docs, monkeypatch):
+    """Samples are made some at a time; how many is a matter of compiled code only, and stays under nine."""
+    assert fingerprint.STEP <= 8
+    frame, found = fingerprint.with_edited(docs), []
+    for step in (4, 8, 16):
+        monkeypatch.setattr(fingerprint, "STEP", step)
+        rows = fingerprint.signatures(frame, ["part", "doc_id", "nth"], {"own": "text", "changed": "edited"}, 16).collect()
+        found.append(sorted((r["doc_id"], r["nth"], r["own"], r["changed"]) for r in rows))
+    assert found[0] == found[1] == found[2]
