@@ -152,3 +152,13 @@ def test_similar_pairs_equal_all_pairs(spark, least):
     expected = {(i, j): round(len(grams[i] & grams[j]) / len(grams[i] | grams[j]), 6) for i in asked for j in grams if grams[i] & grams[j]}
     found = {(r["asked_key"], r["key"]): r["similarity"] for r in site.similar_pairs(rows.where("id % 4 = 0"), rows, "name", "id", least).collect()}
     assert found == {p: s for p, s in expected.items() if s >= least} and len(found) > 40
+
+
+def test_headline_cuts_each_text_once(spark):
+    texts = [" ".join(f"w{i}" for i in range(40)) + " (That), and that " + "z " * 20, "no such word", "That's that", "", None, "  that"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", site.headline(F.col("t"), "that").alias("h"))
+    # Cut again for each of its words, a text cost its length times thirty.
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    found = {r["id"]: r["h"] for r in frame.collect()}
+    assert found[0] == " ".join(f"w{i}" for i in range(25, 40)) + " <mark>(That),</mark> and that " + " ".join("z" * 12)
+    assert [found[i] for i in range(1, 6)] == ["no such word", "That's <mark>that</mark>", "", None, "<mark>that</mark>"]
