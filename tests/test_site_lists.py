@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import trigrams
+from scriptorium.functions.text import jaccard, trigrams
 from scriptorium.operators import listing, publishing, retrieval, site
 from scriptorium.operators.listing import FilterError
 
@@ -162,3 +162,20 @@ def test_headline_cuts_each_text_once(spark):
     found = {r["id"]: r["h"] for r in frame.collect()}
     assert found[0] == " ".join(f"w{i}" for i in range(25, 40)) + " <mark>(That),</mark> and that " + " ".join("z" * 12)
     assert [found[i] for i in range(1, 6)] == ["no such word", "That's <mark>that</mark>", "", None, "<mark>that</mark>"]
+
+
+def test_similar_pairs_compare_a_name_once(spark, monkeypatch):
+    names = ["blue ring", "blue rings", "old gear", "hot plate"]
+    rows = spark.range(4000).select("id", F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 4 + 1).cast("int")).alias("name"))
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(_):
+        compared.add(1)
+        return 0
+
+    monkeypatch.setattr(site, "jaccard", lambda a, b: jaccard(a, b) + counted(a))
+    found = site.similar_pairs(rows.where("id % 50 = 0"), rows, "name", "id", 0.5).groupBy(F.col("asked_key") % 4, F.col("key") % 4).count()
+    # Of 80 rows asked for two names have 40 each, the others none; one has a name that is much like it.
+    assert sorted(map(tuple, found.collect())) == [(0, 0, 40_000), (0, 1, 40_000), (2, 2, 40_000)]
+    assert 0 < compared.value <= 20
