@@ -176,6 +176,8 @@ def metadata_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 TRIM = "trim({}, ' ' || chr(10) || chr(9) || chr(13))"
+#: Without white space of any script at either end.
+STRIPPED = "trim({}, " + " || ".join(f"chr({ord(c)})" for c in chunking.WHITE) + ")"
 
 
 CLEANED = "regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
@@ -242,21 +244,29 @@ def escape_xml(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(X.xml_escaped(F.col("html"))).alias("digest"))
 
 
-CHUNKED = """
-    with pieces as (
-      select doc_id, generate_subscripts(s, 1) - 1 as i, unnest(s) as start_at, text from (
-        select doc_id, text, case when length(text) <= 2000 then [1] else generate_series(1, greatest(1, length(text) - 200), 1800) end as s from documents)
+#: The pieces' ends are found a piece at a time: at the last blank line, if beyond half, else after 2,000 characters.
+CHUNKED = f"""
+    with recursive texts as materialized (
+      select row_number() over () as r, doc_id, text, length(text) as n from documents where text is not null
+    ), spans(r, i, start_at, end_at) as (
+      select r, cast(-1 as bigint), cast(0 as bigint), cast(200 as bigint) from texts where n > 2000
+      union all
+      select r, i + 1, next, case when next + 2000 < n and blank > 1000 then next + blank else least(n, next + 2000) end from (
+        select s.r, s.i, s.end_at - 200 as next, t.n, length(regexp_extract(substr(t.text, s.end_at - 199, 2000), '(?s)^(.*)\\n\\n', 1)) as blank
+        from spans s join texts t on s.r = t.r where s.end_at < t.n)
     ), cut as (
-      select doc_id, i, case when length(text) <= 2000 then text else trim(substr(text, start_at, 2000), ' ' || chr(10) || chr(9) || chr(13)) end as chunk, length(text) <= 2000 as whole from pieces
+      select s.r, doc_id, i, {STRIPPED.format('substr(text, start_at + 1, end_at - start_at)')} as chunk from spans s join texts t on s.r = t.r where i >= 0
     ), kept as (
-      select doc_id, row_number() over (partition by doc_id order by i) - 1 as chunk_index, count(*) over (partition by doc_id) as chunk_count, chunk from cut where whole or length(chunk) >= 200
+      select doc_id, row_number() over (partition by r order by i) - 1 as chunk_index, count(*) over (partition by r) as chunk_count, chunk from (
+        select * from cut where length(chunk) >= 200
+        union all select r, doc_id, 0, text from texts where n <= 2000 and {STRIPPED.format('text')} <> '')
     )
 """
 
 
 @query("chunk_fixed", CHUNKED + "select doc_id, cast(chunk_index as bigint) as chunk_index, cast(chunk_count as bigint) as chunk_count, md5(chunk) as digest from kept")
 def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.unbroken_chunks(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "chunk_count", F.md5("chunk").alias("digest"))
+    return chunking.fixed_chunks(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "chunk_count", F.md5("chunk").alias("digest"))
 
 
 @query("chunk_stats", CHUNKED + "select cast(count(*) as bigint) as chunks, cast(max(chunk_count) as bigint) as most, cast(sum(length(chunk)) as bigint) as chars from kept")
