@@ -31,7 +31,7 @@ def odd(spark, tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["chunk_fixed"])
+@pytest.mark.parametrize("name", ["chunk_fixed", "chunk_stats"])
 def test_same_rows_of_odd_texts(spark, odd, name):
     path, con = odd
     ours, theirs = QUERIES[name](spark, path), con.sql(ORACLE_SQL[name])
