@@ -13,7 +13,7 @@ from ..sources import tables
 from ..sources.hooks import Collection
 from ..sources.keyed import KeyedTable
 from ..sources.scratch import folder
-from .common import query, sql_bucket, sql_collapsed, sql_fold, sql_tokens, table
+from .common import query, sql_bucket, sql_collapsed, sql_fold, sql_stripped, sql_tokens, table
 
 
 @query("scan_laws", "select doc_id, cast(length(text) as bigint) as n from documents where text is not null and length(text) >= 400")
@@ -176,8 +176,6 @@ def metadata_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 TRIM = "trim({}, ' ' || chr(10) || chr(9) || chr(13))"
-#: Without white space of any script at either end.
-STRIPPED = "trim({}, " + " || ".join(f"chr({ord(c)})" for c in chunking.WHITE) + ")"
 
 
 CLEANED = "regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
@@ -255,11 +253,11 @@ CHUNKED = f"""
         select s.r, s.i, s.end_at - 200 as next, t.n, length(regexp_extract(substr(t.text, s.end_at - 199, 2000), '(?s)^(.*)\\n\\n', 1)) as blank
         from spans s join texts t on s.r = t.r where s.end_at < t.n)
     ), cut as (
-      select s.r, doc_id, i, {STRIPPED.format('substr(text, start_at + 1, end_at - start_at)')} as chunk from spans s join texts t on s.r = t.r where i >= 0
+      select s.r, doc_id, i, {sql_stripped('substr(text, start_at + 1, end_at - start_at)')} as chunk from spans s join texts t on s.r = t.r where i >= 0
     ), kept as (
       select doc_id, row_number() over (partition by r order by i) - 1 as chunk_index, count(*) over (partition by r) as chunk_count, chunk from (
         select * from cut where length(chunk) >= 200
-        union all select r, doc_id, 0, text from texts where n <= 2000 and {STRIPPED.format('text')} <> '')
+        union all select r, doc_id, 0, text from texts where n <= 2000 and {sql_stripped('text')} <> '')
     )
 """
 

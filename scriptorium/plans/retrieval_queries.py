@@ -12,7 +12,7 @@ from ..functions.vectors import dot, unit
 from ..operators import corpus, instruct, retrieval, verification
 from ..sources.keyed import KeyedTable
 from ..sources.scratch import folder
-from .common import query, sql_tokens, stored_index, table
+from .common import query, sql_stripped, sql_tokens, stored_index, table
 from .corpus_queries import PAIRS, pairs
 
 K, WIDE = 6, 24
@@ -229,14 +229,25 @@ def model_replies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sentences(text: str) -> str:
-    """A mark before what opens a sentence after . ! ?, unless an abbreviation stands there."""
-    held = f"regexp_replace({text}, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(X.ABBREVIATIONS)})\\. (\\s*)', '\\1\\2.' || chr(1) || ' \\3', 'g')"
-    return f"list_filter(list_transform(string_split(regexp_replace({held}, '([.!?])\\s+([A-ZŠĐČĆŽ0-9\\[])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: trim(replace(s, chr(1), ''))), lambda s: s <> '')"
+    """A mark before what opens a sentence after . ! ?, unless a blank after an abbreviation stands there, which has a mark
+    of its own. That one is set in two passes, as abbreviations in a row share the blank between them. Marks are
+    character 1 and a second character; a text's own character 1 gets another second one meanwhile."""
+    own, held, cut = "chr(1) || chr(3)", "chr(1) || chr(4)", "chr(1) || chr(5)"
+    marked = f"replace({text}, chr(1), {own})"
+    for _ in range(2):
+        marked = f"regexp_replace({marked}, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(X.ABBREVIATIONS)})\\. ', '\\1\\2.' || {held} || ' ', 'g')"
+    marked = f"regexp_replace({marked}, '([.!?])[\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]+([A-ZŠĐČĆŽ0-9\\[])', '\\1' || {cut} || '\\2', 'g')"
+    stripped = sql_stripped(f"replace(replace(s, {held}, ''), {own}, chr(1))")
+    return f"list_filter(list_transform(string_split({marked}, {cut}), lambda s: {stripped}), lambda s: s <> '')"
+
+
+#: Without regard to case, for which both dotless and dotted i are an i.
+NO_CLAIM_SQL = f"regexp_matches(translate(s, 'ıİ', 'ii'), '{X.NO_CLAIM.replace('(?iu)', '(?i)')}')"
 
 
 @query(
     "claim_sentences",
-    f"""with chosen as (select doc_id, list_slice(list_filter({_sentences('text')}, lambda s: length(s) >= 15 and not regexp_matches(s, '{X.NO_CLAIM.replace('(?iu)', '(?i)')}')), 1, 8) as c from documents)
+    f"""with chosen as (select doc_id, list_slice(list_filter({_sentences('text')}, lambda s: length(s) >= 15 and not {NO_CLAIM_SQL}), 1, 8) as c from documents)
         select doc_id, cast(generate_subscripts(c, 1) - 1 as integer) as pos, unnest(c) as sentence from chosen""",
 )
 def claim_sentences(spark: SparkSession, d: str) -> DataFrame:
