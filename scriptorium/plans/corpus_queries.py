@@ -469,7 +469,7 @@ def llm_json_items(spark: SparkSession, d: str) -> DataFrame:
     return items.select("doc_id", "i.question", "i.answer")
 
 
-@query("rich_text", f"select doc_id, {TRIM.format('text')} || ' kraj' as text from documents")
+@query("rich_text", f"select doc_id, coalesce(nullif({sql_stripped('text')}, '') || ' ', '') || 'kraj' as text from documents")
 def rich_text(spark: SparkSession, d: str) -> DataFrame:
     tree = F.to_json(F.struct(F.struct(F.array(F.struct(F.array(F.struct("text")).alias("children")), F.struct(F.array(F.struct(F.lit("kraj").alias("text"))).alias("children"))).alias("children")).alias("root")))
     return table(spark, d, "documents").select("doc_id", tables.rich_text(tree).alias("text"))
