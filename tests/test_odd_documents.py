@@ -39,7 +39,7 @@ def odd(spark, tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["chunk_fixed", "chunk_stats", "claim_sentences", "rich_text"])
+@pytest.mark.parametrize("name", ["chunk_fixed", "chunk_stats", "claim_sentences", "rich_text", "search_headline"])
 def test_same_rows_of_odd_texts(spark, odd, name):
     path, con = odd
     ours, theirs = QUERIES[name](spark, path), con.sql(ORACLE_SQL[name])
