@@ -242,18 +242,26 @@ def escape_xml(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(X.xml_escaped(F.col("html"))).alias("digest"))
 
 
-#: The pieces' ends are found a piece at a time: at the last blank line, if beyond half, else after 2,000 characters.
+#: Of texts with blank lines the pieces' ends are found a piece at a time: at the last blank line, if beyond half, else
+#: after 2,000 characters.
 CHUNKED = f"""
     with recursive texts as materialized (
-      select row_number() over () as r, doc_id, text, length(text) as n from documents where text is not null
-    ), spans(r, i, start_at, end_at) as (
-      select r, cast(-1 as bigint), cast(0 as bigint), cast(200 as bigint) from texts where n > 2000
+      select row_number() over () as r, doc_id, text, length(text) as n, contains(text, chr(10) || chr(10)) as broken from documents where text is not null
+    ), long as materialized (
+      select * from texts where n > 2000 and broken
+    ), found(r, i, start_at, end_at) as (
+      select r, cast(-1 as bigint), cast(0 as bigint), cast(200 as bigint) from long
       union all
       select r, i + 1, next, case when next + 2000 < n and blank > 1000 then next + blank else least(n, next + 2000) end from (
         select s.r, s.i, s.end_at - 200 as next, t.n, length(regexp_extract(substr(t.text, s.end_at - 199, 2000), '(?s)^(.*)\\n\\n', 1)) as blank
-        from spans s join texts t on s.r = t.r where s.end_at < t.n)
+        from found s join long t on s.r = t.r where s.end_at < t.n)
+    ), spans as (
+      select r, i, start_at, end_at from found where i >= 0
+      union all
+      select r, start_at // 1800, start_at, least(n, start_at + 2000) from (
+        select r, n, unnest(generate_series(0, greatest(0, n - 201), 1800)) as start_at from texts where n > 2000 and not broken)
     ), cut as (
-      select s.r, doc_id, i, {sql_stripped('substr(text, start_at + 1, end_at - start_at)')} as chunk from spans s join texts t on s.r = t.r where i >= 0
+      select s.r, doc_id, i, {sql_stripped('substr(text, start_at + 1, end_at - start_at)')} as chunk from spans s join texts t on s.r = t.r
     ), kept as (
       select doc_id, row_number() over (partition by r order by i) - 1 as chunk_index, count(*) over (partition by r) as chunk_count, chunk from (
         select * from cut where length(chunk) >= 200
